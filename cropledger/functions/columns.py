@@ -80,6 +80,7 @@ def substrings(c: Column) -> Column:
 
 
 def one_of(df: DataFrame, *names: str) -> Column:
-    """First non-NULL among the columns of ``df`` that match the alias list."""
-    present = [F.col(f"`{n}`") for n in names if n in df.columns]
+    """First non-NULL among the columns of ``df`` that match the alias list; case does not count."""
+    wanted = list(dict.fromkeys(n.lower() for n in names))
+    present = [F.col(f"`{c}`") for n in wanted for c in df.columns if c.lower() == n]
     return F.coalesce(*present) if present else F.lit(None)

@@ -71,3 +71,30 @@ FRAMES = (7, 30, 90)
 
 # fixed values: date text formats tried in order
 DATE_FORMATS = ("d/M/yyyy", "d-M-yyyy", "yyyy-M-d", "d MMM yyyy", "d MMMM yyyy")
+
+# fixed values: physical column names accepted per panel column, in order of preference
+COLUMN_ALIASES = {
+    "date": ["date", "date_time", "timestamp", "Reported Date", "reported_date", "Datesk", "month"],
+    "state": ["state", "state_name", "state_name_english", "stateName"],
+    "district": ["district", "district_name", "district_name_english", "districtName"],
+    "crop": ["crop", "crops", "commodity", "variety", "commodity_name", "Item_Name"],
+    "price": ["price", "modal_price", "Modal Price (Rs./Quintal)", "avg_price", "average_price", "avg_modal_price"],
+    "min_price": ["min_price", "Min Price (Rs./Quintal)", "min", "minimum_price", "avg_min_price"],
+    "max_price": ["max_price", "Max Price (Rs./Quintal)", "max", "maximum_price", "avg_max_price"],
+}
+
+# fixed values: rename list of the merge stage, several physical names per panel column
+COMMON_NAMES = {
+    "date": ["date", "Date", "arrival_date"], "state": ["state", "State"], "district": ["district", "District"],
+    "crop": ["crop", "Crop", "Commodity"],
+    "price": ["price", "Price", "Modal_Price", "modal_price"],
+    "min_price": ["min_price", "Min_Price"], "max_price": ["max_price", "Max_Price"],
+}
+
+# fixed values: names used by the market portal
+PORTAL_NAMES = {
+    "date": ["date", "arrival_date"], "crop": ["commodity", "commodity_name", "cmdt_name"],
+    "state": ["state", "state_name"], "district": ["district", "district_name"],
+    "market": ["market", "market_name"], "price": ["modal_price", "price"],
+    "min_price": ["min_price"], "max_price": ["max_price"],
+}

@@ -55,7 +55,7 @@ def price_change_pct(spark, sf_dir):
 
 def _frames(n, mean="sum(CAST(round(price * 10000) AS BIGINT))"):
     f = f"OVER ({WIN} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
-    return (f"{R(f'{mean} {f} / count(*) {f} / 10000.0')} AS price_ma_{n}, "
+    return (f"round({mean} {f} / count(*) {f}) / 10000.0 AS price_ma_{n}, "
             f"{R(f'stddev_samp(price) {f}', 2)} AS price_std_{n}, "
             f"min(price) {f} AS price_min_{n}, max(price) {f} AS price_max_{n}")
 

@@ -1,6 +1,6 @@
 """Importing the query modules registers them."""
 
-from . import feature_queries  # noqa: F401
+from . import clean_queries, feature_queries, profile_queries, source_queries  # noqa: F401
 from .catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
