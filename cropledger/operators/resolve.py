@@ -251,7 +251,8 @@ def clean_and_consolidate(df: DataFrame, known: DataFrame, order: Sequence[str])
     """Essentials, valid prices, three consolidations, one row per series and day."""
     from . import clean as cl
 
-    kept = cl.filter_valid_price(cl.drop_missing_essentials(df))
+    # The cleaned rows are read four times (three name counts, the result), so they are parsed once.
+    kept = materialize(cl.filter_valid_price(cl.drop_missing_essentials(df)), "cleaned")
     known = materialize(known.select("state", "district").distinct(), "known-places")
     named = consolidate_crops(consolidate_districts(consolidate_states(kept, known), known))
     return cl.dedupe_series_day(named, order)
