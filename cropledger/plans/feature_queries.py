@@ -452,3 +452,33 @@ def feature_catalog(spark, sf_dir):
 
     o = obs(spark, sf_dir)
     return catalog(engineer_all_features(o, wx.weather(o), impute=False))
+
+
+# The feature stage is compared on a cross-section of its columns: every group of features, imputed.
+_WROLL = f"OVER (PARTITION BY state, district ORDER BY crop, {ORDER} ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)"
+_MA7 = f"round(sum(CAST(round(price * 10000) AS BIGINT)) OVER ({WIN} ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) / count(*) OVER ({WIN} ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)) / 10000.0"
+
+
+@query("engineer_all_features", f"""WITH {J}, f AS (SELECT *, lag(price, 1) OVER ({WIN}) AS l1, lag(price, 30) OVER ({WIN}) AS l30, {_MA7} AS ma7,
+     stddev_samp(price) OVER ({WIN} ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS sd7,
+     CASE WHEN count(*) OVER g = 1 THEN 0 ELSE price - lag(price) OVER (g ORDER BY {ORDER}) END AS yoy,
+     avg(temperature) {_WROLL} AS t7, avg(rainfall) {_WROLL} AS r7 FROM joined
+     WINDOW g AS (PARTITION BY crop, state, district, month(date), day(date))),
+   s AS (SELECT state, avg(price) AS m, quantile_cont(price, 0.5) AS md FROM obs GROUP BY 1),
+   c AS (SELECT crop, min(price) AS lo, max(price) AS hi FROM obs GROUP BY 1),
+   i AS (SELECT quantile_cont(l1, 0.5) AS l1, quantile_cont(l30, 0.5) AS l30, quantile_cont(price - l30, 0.5) AS c30, quantile_cont(sd7, 0.5) AS sd7,
+     quantile_cont(yoy, 0.5) AS yoy, avg(temperature) AS t, avg(t7) AS t7, avg(r7) AS r7 FROM f)
+   SELECT {K}, {R('sin(2 * pi() * month(date) / 12)', 6)} AS month_sin, (isodow(date) >= 6)::INT AS is_weekend,
+     {R('(max_price - min_price) / (price + 1e-6)', 6)} AS price_volatility, {R('coalesce(f.l1, i.l1)')} AS price_lag_1, {R('coalesce(f.l30, i.l30)')} AS price_lag_30,
+     {R('coalesce(price - f.l30, i.c30)')} AS price_change_30, {R('coalesce(f.sd7, i.sd7)', 2)} AS price_std_7, {R('coalesce(f.yoy, i.yoy)')} AS price_yoy_change,
+     {R('(price - ma7) / (ma7 + 1e-6)')} AS price_vs_ma_7, {R('(price - s.m) / (s.m + 1e-6)')} AS price_vs_state_avg, {R('s.md')} AS state_price_median,
+     {R('(price - c.lo) / (c.hi - c.lo + 1e-6)')} AS crop_price_position, {R('coalesce(temperature, i.t)', 6)} AS temperature,
+     {R('coalesce(f.t7, i.t7)', 5)} AS temp_ma_7, {R('coalesce(f.r7, i.r7)', 5)} AS rainfall_ma_7 FROM f JOIN s USING (state) JOIN c USING (crop), i""".replace(
+    "FROM f JOIN s USING (state) JOIN c USING (crop), i", "FROM f JOIN s USING (state) JOIN c USING (crop) CROSS JOIN i"))
+def engineer_all(spark, sf_dir):
+    o = obs(spark, sf_dir)
+    digits = {"month_sin": 6, "price_volatility": 6, "price_lag_1": 4, "price_lag_30": 4, "price_change_30": 4, "price_std_7": 2,
+              "price_yoy_change": 4, "price_vs_ma_7": 4, "price_vs_state_avg": 4, "state_price_median": 4, "crop_price_position": 4,
+              "temperature": 6, "temp_ma_7": 5, "rainfall_ma_7": 5}
+    out = engineer_all_features(o, wx.weather(o)).select(*KEY, "is_weekend", *digits)
+    return rounded(out, **digits)

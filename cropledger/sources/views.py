@@ -48,9 +48,12 @@ def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
 
 
-def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per market observation with every key; unused columns are pruned by Catalyst."""
-    line = table(spark, sf_dir, "lineitem")
+def wide(spark: SparkSession, sf_dir: str, line: DataFrame | None = None) -> DataFrame:
+    """One row per market observation with every key; unused columns are pruned by Catalyst.
+
+    ``line`` may be a stream of line items instead of the landed table.
+    """
+    line = table(spark, sf_dir, "lineitem") if line is None else line
     part = table(spark, sf_dir, "part")
     price = F.col("l_extendedprice")
     return (
@@ -75,8 +78,8 @@ def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wide(spark, sf_dir).drop("regionkey", "nationkey")
+def obs(spark: SparkSession, sf_dir: str, line: DataFrame | None = None) -> DataFrame:
+    return wide(spark, sf_dir, line).drop("regionkey", "nationkey")
 
 
 def _crop_index() -> Column:
