@@ -24,10 +24,14 @@ def quantiles(
     probs: Sequence[float],
     group_rows: int = EXACT_GROUP_ROWS,
     accuracy: int = SKETCH_ACCURACY,
+    largest: int | None = None,
 ) -> DataFrame:
-    """One row per key with ``q``, the array of quantiles in the order of ``probs``."""
+    """One row per key with ``q``, the array of quantiles in the order of ``probs``.
+
+    ``largest`` is an upper bound of the rows per key where the caller has one.
+    """
     base = df.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
-    if largest_group(base, keys) <= group_rows:
+    if (largest_group(base, keys) if largest is None else largest) <= group_rows:
         return base.groupBy(*keys).agg(F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs])).alias("q"))
     return _bracketed(base, list(keys), list(probs), accuracy)
 

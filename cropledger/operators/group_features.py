@@ -13,51 +13,60 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import EPS, TICK, ticks
 from ..functions.quantiles import quantiles
-from ..session import materialize, maybe_broadcast
+from ..session import BROADCAST_ROWS, materialize
 
 
-def price_cube(df: DataFrame, price: str = "price") -> DataFrame:
-    """Partial sums per state, district, crop and month."""
-    t = ticks(F.col(price))
-    cube = df.groupBy("state", "district", "crop", F.month("date").alias("month")).agg(
-        F.count(price).alias("n"), F.sum(t).cast("decimal(38,0)").alias("s"),
-        F.avg(price).alias("m"), (F.coalesce(F.var_pop(price), F.lit(0.0)) * F.count(price)).alias("m2"),
-        F.min(price).alias("lo"), F.max(price).alias("hi"), F.count("*").alias("rows"),
-    )
-    return materialize(cube, "price-cube")
+class PriceCube:
+    """Partial sums per state, district, crop and month, written once.
 
+    Every roll-up has at most as many rows as the cube, so one count decides whether all of them may
+    be broadcast. The same cells bound the rows of the largest series and place.
+    """
 
-def stats(cube: DataFrame, keys: Sequence[str], prefix: str, want: Sequence[str]) -> DataFrame:
-    """Roll the cube up to ``keys``: mean, std, min, max and row count."""
-    n = F.sum("n")
-    mean = F.sum("s").cast("double") / n / TICK
-    # Merge of within-cell and between-cell deviations.
-    between = F.sum(F.col("n") * F.pow(F.col("m"), F.lit(2))) - n * F.pow(F.sum(F.col("n") * F.col("m")) / n, F.lit(2))
-    std = F.when(n > 1, F.sqrt(F.greatest(F.sum("m2") + between, F.lit(0.0)) / (n - 1)))
-    made = {"avg": mean, "std": std, "min": F.min("lo"), "max": F.max("hi"), "freq": F.sum("rows")}
-    return cube.groupBy(*keys).agg(*[made[k].alias(f"{prefix}_{k}") for k in want])
+    def __init__(self, df: DataFrame, price: str = "price"):
+        t = ticks(F.col(price))
+        self.panel = df
+        self.cells = materialize(df.groupBy("state", "district", "crop", F.month("date").alias("month")).agg(
+            F.count(price).alias("n"), F.sum(t).cast("decimal(38,0)").alias("s"),
+            F.avg(price).alias("m"), (F.coalesce(F.var_pop(price), F.lit(0.0)) * F.count(price)).alias("m2"),
+            F.min(price).alias("lo"), F.max(price).alias("hi"), F.count("*").alias("rows"),
+        ), "price-cube")
+        self.small = self.cells.count() <= BROADCAST_ROWS
 
+    def largest(self, *keys: str) -> int:
+        return self.cells.groupBy(*keys).agg(F.sum("rows").alias("r")).agg(F.max("r")).first()[0] or 0
 
-def attach(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.join(maybe_broadcast(small), list(keys), "left")
+    def stats(self, keys: Sequence[str], prefix: str, want: Sequence[str]) -> DataFrame:
+        """Roll up to ``keys``: mean, std, min, max and row count."""
+        n = F.sum("n")
+        mean = F.sum("s").cast("double") / n / TICK
+        # Merge of within-cell and between-cell deviations.
+        between = F.sum(F.col("n") * F.pow(F.col("m"), F.lit(2))) - n * F.pow(F.sum(F.col("n") * F.col("m")) / n, F.lit(2))
+        std = F.when(n > 1, F.sqrt(F.greatest(F.sum("m2") + between, F.lit(0.0)) / (n - 1)))
+        made = {"avg": mean, "std": std, "min": F.min("lo"), "max": F.max("hi"), "freq": F.sum("rows")}
+        return self.cells.groupBy(*keys).agg(*[made[k].alias(f"{prefix}_{k}") for k in want])
 
+    def medians(self, keys: Sequence[str], name: str) -> DataFrame:
+        """Exact medians from the panel, written once."""
+        q = quantiles(self.panel, keys, "price", [0.5], largest=self.largest(*keys))
+        return materialize(q.select(*keys, F.col("q")[0].alias(name)), "medians")
 
-def relative(a: str, b: str) -> Column:
-    return (F.col(a) - F.col(b)) / (F.col(b) + EPS)
+    def attach(self, df: DataFrame, rolled: DataFrame, keys: Sequence[str]) -> DataFrame:
+        return df.join(F.broadcast(rolled) if self.small else rolled, list(keys), "left")
 
 
-def medians(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
-    return quantiles(df, keys, "price", [0.5]).select(*keys, F.col("q")[0].alias(name))
+def relative(a: str, b: str) -> Column:
+    return (F.col(a) - F.col(b)) / (F.col(b) + EPS)
 
 
-def state_price_stats(df: DataFrame, cube: DataFrame) -> DataFrame:
-    small = stats(cube, ["state"], "state_price", ["avg", "std"]).join(
-        medians(df, ["state"], "state_price_median"), "state", "left")
-    return attach(df, small, ["state"])
+def state_price_stats(df: DataFrame, cube: PriceCube) -> DataFrame:
+    small = cube.stats(["state"], "state_price", ["avg", "std"]).join(
+        cube.medians(["state"], "state_price_median"), "state", "left")
+    return cube.attach(df, small, ["state"])
 
 
-def district_price_stats(df: DataFrame, cube: DataFrame) -> DataFrame:
-    return attach(df, stats(cube, ["state", "district"], "district_price", ["avg", "std"]), ["state", "district"])
+def district_price_stats(df: DataFrame, cube: PriceCube) -> DataFrame:
+    return cube.attach(df, cube.stats(["state", "district"], "district_price", ["avg", "std"]), ["state", "district"])
 
 
 def price_vs_location(df: DataFrame) -> DataFrame:
@@ -67,21 +76,21 @@ def price_vs_location(df: DataFrame) -> DataFrame:
     })
 
 
-def location_frequency(df: DataFrame, cube: DataFrame) -> DataFrame:
+def location_frequency(df: DataFrame, cube: PriceCube) -> DataFrame:
     """Rows of the state, and of the district by its name alone."""
-    out = attach(df, cube.groupBy("state").agg(F.sum("rows").alias("state_frequency")), ["state"])
-    return attach(out, cube.groupBy("district").agg(F.sum("rows").alias("district_frequency")), ["district"])
+    out = cube.attach(df, cube.cells.groupBy("state").agg(F.sum("rows").alias("state_frequency")), ["state"])
+    return cube.attach(out, cube.cells.groupBy("district").agg(F.sum("rows").alias("district_frequency")), ["district"])
 
 
-def crop_price_stats(df: DataFrame, cube: DataFrame) -> DataFrame:
-    small = stats(cube, ["crop"], "crop_price", ["avg", "std", "min", "max"]).join(
-        medians(df, ["crop"], "crop_price_median"), "crop", "left")
-    return attach(df, small, ["crop"]).withColumn("price_vs_crop_avg", relative("price", "crop_price_avg"))
+def crop_price_stats(df: DataFrame, cube: PriceCube) -> DataFrame:
+    small = cube.stats(["crop"], "crop_price", ["avg", "std", "min", "max"]).join(
+        cube.medians(["crop"], "crop_price_median"), "crop", "left")
+    return cube.attach(df, small, ["crop"]).withColumn("price_vs_crop_avg", relative("price", "crop_price_avg"))
 
 
-def crop_range_position(df: DataFrame, cube: DataFrame) -> DataFrame:
+def crop_range_position(df: DataFrame, cube: PriceCube) -> DataFrame:
     """Needs the crop price columns."""
-    out = attach(df, cube.groupBy("crop").agg(F.sum("rows").alias("crop_frequency")), ["crop"])
+    out = cube.attach(df, cube.cells.groupBy("crop").agg(F.sum("rows").alias("crop_frequency")), ["crop"])
     return out.withColumn("crop_price_range", F.col("crop_price_max") - F.col("crop_price_min")).withColumn(
         "crop_price_position", (F.col("price") - F.col("crop_price_min")) / (F.col("crop_price_range") + EPS))
 
@@ -92,22 +101,21 @@ def crop_price_category(df: DataFrame, avg: str = "crop_price_avg") -> DataFrame
                          .when(c <= 1000, "high").when(c > 1000, "very_high"))
 
 
-def state_crop_interaction(df: DataFrame, cube: DataFrame) -> DataFrame:
-    out = attach(df, stats(cube, ["state", "crop"], "state_crop_price", ["avg", "std"]), ["state", "crop"])
+def state_crop_interaction(df: DataFrame, cube: PriceCube) -> DataFrame:
+    out = cube.attach(df, cube.stats(["state", "crop"], "state_crop_price", ["avg", "std"]), ["state", "crop"])
     return out.withColumn("price_vs_state_crop", relative("price", "state_crop_price_avg"))
 
 
-def state_month_interaction(df: DataFrame, cube: DataFrame) -> DataFrame:
-    return attach(df, stats(cube, ["state", "month"], "state_month_price", ["avg"]), ["state", "month"])
+def state_month_interaction(df: DataFrame, cube: PriceCube) -> DataFrame:
+    return cube.attach(df, cube.stats(["state", "month"], "state_month_price", ["avg"]), ["state", "month"])
 
 
-def crop_month_interaction(df: DataFrame, cube: DataFrame) -> DataFrame:
-    return attach(df, stats(cube, ["crop", "month"], "crop_month_price", ["avg"]), ["crop", "month"])
+def crop_month_interaction(df: DataFrame, cube: PriceCube) -> DataFrame:
+    return cube.attach(df, cube.stats(["crop", "month"], "crop_month_price", ["avg"]), ["crop", "month"])
 
 
-def group_features(df: DataFrame) -> DataFrame:
+def group_features(df: DataFrame, cube: PriceCube) -> DataFrame:
     """All location, commodity and interaction features; needs the month column."""
-    cube = price_cube(df)
     out = price_vs_location(district_price_stats(state_price_stats(df, cube), cube))
     out = location_frequency(out, cube)
     out = crop_price_category(crop_range_position(crop_price_stats(out, cube), cube))

@@ -63,15 +63,19 @@ def price_vs_ma(df: DataFrame, frames: Sequence[int] = FRAMES) -> DataFrame:
     })
 
 
-def lags_and_rolling(df: DataFrame, keys=SERIES, order=ORDER, leak_safe=False, rows_per_task=ROWS_PER_TASK) -> DataFrame:
+def lags_and_rolling(
+    df: DataFrame, keys=SERIES, order=ORDER, leak_safe=False, rows_per_task=ROWS_PER_TASK, largest: int | None = None
+) -> DataFrame:
     """Every lag and row frame of the series in one window: one exchange, one sort."""
     end = -1 if leak_safe else 0
     out = over_series(df, keys, order, lambda w: {**lag_columns(w), **rolling_columns(w, end=end)},
-                      max(LAGS), rows_per_task=rows_per_task)
+                      max(LAGS), rows_per_task=rows_per_task, largest=largest)
     return price_vs_ma(price_change_pct(price_changes(out)))
 
 
-def price_yoy(df: DataFrame, keys=SERIES, order=ORDER, rows_per_task=ROWS_PER_TASK) -> DataFrame:
+def price_yoy(
+    df: DataFrame, keys=SERIES, order=ORDER, rows_per_task=ROWS_PER_TASK, largest: int | None = None
+) -> DataFrame:
     """Change to the previous row of the same month and day.
 
     A row without any neighbour gets 0, the first of several gets NULL. Both are told apart by one
@@ -84,7 +88,7 @@ def price_yoy(df: DataFrame, keys=SERIES, order=ORDER, rows_per_task=ROWS_PER_TA
         return {"price_yoy_change": F.when(before.isNull() & after.isNull(), 0.0).otherwise(F.col("price") - before)}
 
     return over_series(md, [*keys, "_m", "_d"], order, columns, 1, look_ahead=True,
-                       rows_per_task=rows_per_task).drop("_m", "_d")
+                       rows_per_task=rows_per_task, largest=largest).drop("_m", "_d")
 
 
 def price_spread(df: DataFrame) -> DataFrame:
@@ -104,7 +108,9 @@ def rainfall_rolling(df: DataFrame, rows_per_task=ROWS_PER_TASK) -> DataFrame:
     return weather_rolling(df, temperature=False, rows_per_task=rows_per_task)
 
 
-def weather_rolling(df: DataFrame, temperature=True, rain=True, rows_per_task=ROWS_PER_TASK) -> DataFrame:
+def weather_rolling(
+    df: DataFrame, temperature=True, rain=True, rows_per_task=ROWS_PER_TASK, largest: int | None = None
+) -> DataFrame:
     """Row frames per place; the place's rows run crop by crop."""
 
     def columns(w):
@@ -119,7 +125,8 @@ def weather_rolling(df: DataFrame, temperature=True, rain=True, rows_per_task=RO
             out["rainfall_sum_30"] = F.sum("rainfall").over(w.rowsBetween(-29, 0))
         return out
 
-    return over_series(df, PLACE, ["crop", *ORDER], columns, 30, cell=2, rows_per_task=rows_per_task)
+    return over_series(df, PLACE, ["crop", *ORDER], columns, 30, cell=2,
+                       rows_per_task=rows_per_task, largest=largest)
 
 
 def fill_weather_gaps(days: DataFrame, columns=("temperature_2m_max", "temperature_2m_min"), zero=("precipitation_sum",)) -> DataFrame:

@@ -282,14 +282,14 @@ def cols_src(cols):
 def state_price_stats(spark, sf_dir):
     o = obs(spark, sf_dir)
     cols = ["state_price_avg", "state_price_std", "state_price_median"]
-    return rounds(gf.state_price_stats(o, gf.price_cube(o)).select(*KEY, *cols), 4, *cols)
+    return rounds(gf.state_price_stats(o, gf.PriceCube(o)).select(*KEY, *cols), 4, *cols)
 
 
 @query("district_price_stats", _group(["state", "district"], {"district_price_avg": "m", "district_price_std": "sd"}))
 def district_price_stats(spark, sf_dir):
     o = obs(spark, sf_dir)
     cols = ["district_price_avg", "district_price_std"]
-    return rounds(gf.district_price_stats(o, gf.price_cube(o)).select(*KEY, *cols), 4, *cols)
+    return rounds(gf.district_price_stats(o, gf.PriceCube(o)).select(*KEY, *cols), 4, *cols)
 
 
 @query("price_vs_location", with_obs(f"""SELECT {K}, {R('(price - sm) / (sm + 1e-6)')} AS price_vs_state_avg,
@@ -298,8 +298,8 @@ def district_price_stats(spark, sf_dir):
    JOIN (SELECT state, district, avg(price) AS dm FROM obs GROUP BY ALL) USING (state, district)"""))
 def price_vs_location(spark, sf_dir):
     o = obs(spark, sf_dir)
-    cube = gf.price_cube(o)
-    out = gf.attach(o, gf.stats(cube, ["state"], "state_price", ["avg"]), ["state"])
+    cube = gf.PriceCube(o)
+    out = cube.attach(o, cube.stats(["state"], "state_price", ["avg"]), ["state"])
     out = gf.price_vs_location(gf.district_price_stats(out, cube))
     return rounds(out.select(*KEY, "price_vs_state_avg", "price_vs_district_avg"), 4,
                   "price_vs_state_avg", "price_vs_district_avg")
@@ -310,7 +310,7 @@ def price_vs_location(spark, sf_dir):
    JOIN (SELECT district, count(*) AS n FROM obs GROUP BY 1) b USING (district)"""))
 def location_frequency(spark, sf_dir):
     o = obs(spark, sf_dir)
-    return gf.location_frequency(o, gf.price_cube(o)).select(*KEY, "state_frequency", "district_frequency")
+    return gf.location_frequency(o, gf.PriceCube(o)).select(*KEY, "state_frequency", "district_frequency")
 
 
 _CROP = {"crop_price_avg": "m", "crop_price_std": "sd", "crop_price_median": "med", "crop_price_min": "mn", "crop_price_max": "mx"}
@@ -321,7 +321,7 @@ _CROP = {"crop_price_avg": "m", "crop_price_std": "sd", "crop_price_median": "me
 def crop_price_stats(spark, sf_dir):
     o = obs(spark, sf_dir)
     cols = [*_CROP, "price_vs_crop_avg"]
-    return rounds(gf.crop_price_stats(o, gf.price_cube(o)).select(*KEY, *cols), 4, *cols)
+    return rounds(gf.crop_price_stats(o, gf.PriceCube(o)).select(*KEY, *cols), 4, *cols)
 
 
 @query("crop_range_position", with_obs(f"""SELECT {K}, n AS crop_frequency, {R('hi - lo')} AS crop_price_range,
@@ -329,8 +329,8 @@ def crop_price_stats(spark, sf_dir):
    JOIN (SELECT crop, count(*) AS n, min(price) AS lo, max(price) AS hi FROM obs GROUP BY 1) USING (crop)"""))
 def crop_range_position(spark, sf_dir):
     o = obs(spark, sf_dir)
-    cube = gf.price_cube(o)
-    out = gf.attach(o, gf.stats(cube, ["crop"], "crop_price", ["min", "max"]), ["crop"])
+    cube = gf.PriceCube(o)
+    out = cube.attach(o, cube.stats(["crop"], "crop_price", ["min", "max"]), ["crop"])
     out = gf.crop_range_position(out, cube).select(*KEY, "crop_frequency", "crop_price_range", "crop_price_position")
     return rounds(out, 4, "crop_price_range", "crop_price_position")
 
@@ -342,7 +342,8 @@ def crop_range_position(spark, sf_dir):
    FROM (SELECT *, (price - 1500) / 30 AS s FROM obs) JOIN (SELECT crop, avg(price) AS m FROM obs GROUP BY 1) USING (crop)"""))
 def crop_price_category(spark, sf_dir):
     o = obs(spark, sf_dir)
-    out = gf.attach(o, gf.stats(gf.price_cube(o), ["crop"], "crop_price", ["avg"]), ["crop"])
+    cube = gf.PriceCube(o)
+    out = cube.attach(o, cube.stats(["crop"], "crop_price", ["avg"]), ["crop"])
     out = gf.crop_price_category(out).withColumn("s", (F.col("price") - 1500) / 30)
     keep = out.select(*KEY, "s", F.col("crop_price_category").alias("kept"))
     return gf.crop_price_category(keep, "s").select(
@@ -355,14 +356,14 @@ def crop_price_category(spark, sf_dir):
 def state_crop_interaction(spark, sf_dir):
     o = obs(spark, sf_dir)
     cols = ["state_crop_price_avg", "state_crop_price_std", "price_vs_state_crop"]
-    return rounds(gf.state_crop_interaction(o, gf.price_cube(o)).select(*KEY, *cols), 4, *cols)
+    return rounds(gf.state_crop_interaction(o, gf.PriceCube(o)).select(*KEY, *cols), 4, *cols)
 
 
 @query("state_month_interaction", with_obs(f"""SELECT {K}, {R('m')} AS state_month_price_avg FROM obs o
    JOIN (SELECT state, month(date) AS mo, avg(price) AS m FROM obs GROUP BY ALL) g ON g.state = o.state AND g.mo = month(o.date)""".replace(K, "o." + K.replace(", ", ", o."))))
 def state_month_interaction(spark, sf_dir):
     o = obs(spark, sf_dir)
-    out = gf.state_month_interaction(o.withColumn("month", F.month("date")), gf.price_cube(o))
+    out = gf.state_month_interaction(o.withColumn("month", F.month("date")), gf.PriceCube(o))
     return rounds(out.select(*KEY, "state_month_price_avg"), 4, "state_month_price_avg")
 
 
@@ -370,7 +371,7 @@ def state_month_interaction(spark, sf_dir):
    JOIN (SELECT crop, month(date) AS mo, avg(price) AS m FROM obs GROUP BY ALL) g ON g.crop = o.crop AND g.mo = month(o.date)""".replace(K, "o." + K.replace(", ", ", o."))))
 def crop_month_interaction(spark, sf_dir):
     o = obs(spark, sf_dir)
-    out = gf.crop_month_interaction(o.withColumn("month", F.month("date")), gf.price_cube(o))
+    out = gf.crop_month_interaction(o.withColumn("month", F.month("date")), gf.PriceCube(o))
     return rounds(out.select(*KEY, "crop_month_price_avg"), 4, "crop_month_price_avg")
 
 
@@ -382,11 +383,11 @@ def crop_month_interaction(spark, sf_dir):
    JOIN (SELECT state, crop, avg(price) AS m FROM obs GROUP BY ALL) d USING (state, crop)"""))
 def join_group_stats(spark, sf_dir):
     o = obs(spark, sf_dir)
-    cube = gf.price_cube(o)
+    cube = gf.PriceCube(o)
     out = o
     for keys, prefix in ((["state"], "state_price"), (["state", "district"], "district_price"),
                          (["crop"], "crop_price"), (["state", "crop"], "state_crop_price")):
-        out = gf.attach(out, gf.stats(cube, keys, prefix, ["avg"]), keys)
+        out = cube.attach(out, cube.stats(keys, prefix, ["avg"]), keys)
     cols = ["state_price_avg", "district_price_avg", "crop_price_avg", "state_crop_price_avg"]
     return rounds(out.select(*KEY, *cols), 4, *cols)
 
@@ -395,8 +396,9 @@ def join_group_stats(spark, sf_dir):
    JOIN (SELECT crop, count(*) AS n FROM obs GROUP BY 1) USING (crop)"""))
 def join_frequency(spark, sf_dir):
     o = obs(spark, sf_dir)
-    counts = gf.price_cube(o).groupBy("crop").agg(F.sum("rows").alias("crop_frequency"))
-    return gf.attach(o, counts, ["crop"]).select(*KEY, "crop_frequency")
+    cube = gf.PriceCube(o)
+    counts = cube.cells.groupBy("crop").agg(F.sum("rows").alias("crop_frequency"))
+    return cube.attach(o, counts, ["crop"]).select(*KEY, "crop_frequency")
 
 
 # ---- imputation
@@ -438,7 +440,7 @@ MISSING = ["price_ma_7", "seasonal_index", "crop_mean_price", "rainfall_ma_7"]
    (SELECT crop, CASE WHEN crop = 'PROMO' THEN 2000 ELSE avg(price) END AS m FROM obs GROUP BY crop) USING (crop)"""))
 def default_missing_features(spark, sf_dir):
     o = obs(spark, sf_dir)
-    means = gf.stats(gf.price_cube(o), ["crop"], "c", ["avg"]).filter("crop <> 'PROMO'").select(
+    means = gf.PriceCube(o).stats(["crop"], "c", ["avg"]).filter("crop <> 'PROMO'").select(
         "crop", F.col("c_avg").alias("mean_price"))
     out = imp.default_missing_features(o, MISSING, means).select(*KEY, *MISSING)
     return rounded(out, price_ma_7=4, crop_mean_price=4)

@@ -32,12 +32,14 @@ def over_series(
     look_ahead: bool = False,
     cell: int = 1,
     rows_per_task: int = ROWS_PER_TASK,
+    largest: int | None = None,
 ) -> DataFrame:
     """Add ``columns(window)``; frames reach at most ``look_back`` rows back and one row ahead.
 
-    The first ``cell`` order columns name the unit that is never cut (a day).
+    The first ``cell`` order columns name the unit that is never cut (a day). ``largest`` is an upper
+    bound of the rows per group where the caller already has one; otherwise they are counted.
     """
-    if largest_group(df, keys) <= rows_per_task:
+    if (largest_group(df, keys) if largest is None else largest) <= rows_per_task:
         return df.withColumns(columns(Window.partitionBy(*keys).orderBy(*order)))
     cells = _runs(df, list(keys), list(order[:cell]), look_back, look_ahead, rows_per_task)
     rows = df.join(cells, [*keys, *order[:cell]]).withColumn("_run", F.explode("_targets")).drop("_targets")
