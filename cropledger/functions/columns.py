@@ -53,8 +53,13 @@ def to_int(c: Column | str, default: int | None = None) -> Column:
     return value if default is None else F.coalesce(value, F.lit(default))
 
 
-def to_date_any(c: Column | str, as_of: str | None = None, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
-    tries = [F.try_to_date(F.trim(c), f) for f in formats]
+def to_date_any(c: Column | str, as_of: str | None = None, formats: tuple[tuple[str, str], ...] = DATE_FORMATS) -> Column:
+    """Date by the first format that reads the text, else ``as_of``.
+
+    A format is only tried on text of its shape: a failed parse costs far more than the check.
+    """
+    text = F.trim(c)
+    tries = [F.when(text.rlike(shape), F.try_to_date(text, f)) for shape, f in formats]
     if as_of is not None:
         tries.append(F.lit(as_of).cast("date"))
     return F.coalesce(*tries)

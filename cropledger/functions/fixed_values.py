@@ -69,8 +69,14 @@ PLACEHOLDERS = ("unknown", "nan", "")
 LAGS = (1, 7, 30, 90, 365)
 FRAMES = (7, 30, 90)
 
-# fixed values: date text formats tried in order
-DATE_FORMATS = ("d/M/yyyy", "d-M-yyyy", "yyyy-M-d", "d MMM yyyy", "d MMMM yyyy")
+# fixed values: date text formats tried in order, each with the shape of text it can read
+DATE_FORMATS = (
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"),
+    (r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-yyyy"),
+    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
+    (r"^\d{1,2} [A-Za-z]+ \d{4}$", "d MMMM yyyy"),
+)
 
 # fixed values: physical column names accepted per panel column, in order of preference
 COLUMN_ALIASES = {

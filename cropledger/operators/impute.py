@@ -10,7 +10,10 @@ from pyspark.sql.types import NumericType
 
 from ..functions.columns import name_key
 from ..functions.fixed_values import CROP_DEFAULT_PRICES, FALLBACK_PRICES
-from ..functions.quantiles import EXACT_GROUP_ROWS, quantiles
+from ..functions.quantiles import quantiles
+
+
+ONE_BUFFER = 2_000_000
 
 
 def numeric_columns(df: DataFrame, skip: Sequence[str] = ()) -> list[str]:
@@ -20,18 +23,18 @@ def numeric_columns(df: DataFrame, skip: Sequence[str] = ()) -> list[str]:
 def column_medians(df: DataFrame, columns: Sequence[str], rows: int) -> dict[str, Column]:
     """Exact median per column as scalar subqueries.
 
-    Up to a bounded number of rows one aggregation holds all columns; beyond it the columns become
-    (name, value) rows, so that the work spreads over tasks.
+    While all values fit one aggregation buffer, one aggregation holds all columns. Beyond that the
+    columns become (name, value) rows and the medians are bracketed first, see ``quantiles``.
     """
     if not columns:
         return {}
-    if rows <= EXACT_GROUP_ROWS:
+    if rows * len(columns) <= ONE_BUFFER:
         held = df.agg(F.struct(*[F.percentile(c, 0.5).alias(c) for c in columns])).scalar()
         return {c: held[c] for c in columns}
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns
     ])).alias("e")).select("e.*")
-    q = quantiles(long, ["name"], "v", [0.5], largest=rows)
+    q = quantiles(long, ["name"], "v", [0.5], group_rows=0, largest=rows)
     wide = q.agg(*[F.max(F.when(F.col("name") == c, F.col("q")[0])).alias(c) for c in columns])
     held = wide.select(F.struct(*columns)).scalar()
     return {c: held[c] for c in columns}

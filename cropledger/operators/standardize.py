@@ -11,6 +11,7 @@ from ..functions.columns import one_of, to_date_any, to_number
 from ..functions.fixed_values import COLUMN_ALIASES, COMMON_NAMES, PORTAL_NAMES
 
 REQUIRED = ["date", "state", "district", "crop", "price"]
+MONTH_FORMATS = ((r"^\d{4}-\d{2}$", "yyyy-MM"),)
 OPTIONAL = ["min_price", "max_price", "temperature", "rainfall", "data_source", "source_dataset"]
 
 
@@ -198,7 +199,7 @@ def parse_dates_multi(df: DataFrame, column: str, as_of: str) -> DataFrame:
 
 def parse_month_strings(df: DataFrame, column: str) -> DataFrame:
     """Month text first, then any full date, both over the original text."""
-    return df.withColumn("parsed_date", F.coalesce(F.try_to_date(F.trim(column), "yyyy-MM"), to_date_any(column)))
+    return df.withColumn("parsed_date", F.coalesce(to_date_any(column, formats=MONTH_FORMATS), to_date_any(column)))
 
 
 def derive_price(price: Column | None, avg: Column | None, low: Column, high: Column) -> Column:
