@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..plans.series import largest_group
 
-EXACT_GROUP_ROWS = 10_000_000
+EXACT_GROUP_ROWS = 2_000_000
 SKETCH_ACCURACY = 100_000
 
 
