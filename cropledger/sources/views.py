@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import table
+from .tables import spread, table
 
 SERIES = ["crop", "state", "district"]
 TIE = ["orderkey", "linenumber", "partkey", "suppkey", "price"]
@@ -40,25 +40,20 @@ def pick(values: list[str], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
 
-def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation = table(spark, sf_dir, "nation")
-    region = table(spark, sf_dir, "region")
-    return table(spark, sf_dir, "supplier").join(
-        nation, F.col("s_nationkey") == F.col("n_nationkey")
-    ).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-
-
 def wide(spark: SparkSession, sf_dir: str, line: DataFrame | None = None) -> DataFrame:
     """One row per market observation with every key; unused columns are pruned by Catalyst.
 
     ``line`` may be a stream of line items instead of the landed table.
     """
-    line = table(spark, sf_dir, "lineitem") if line is None else line
-    part = table(spark, sf_dir, "part")
+    line = spread(table(spark, sf_dir, "lineitem"), "l_orderkey") if line is None else line
     price = F.col("l_extendedprice")
+    # Dimensions join one by one: each is a plain table whose size Spark knows from its files, so small
+    # ones are broadcast and the line items are only shuffled for a dimension that is really large.
     return (
-        line.join(part, F.col("l_partkey") == F.col("p_partkey"))
-        .join(_places(spark, sf_dir), F.col("l_suppkey") == F.col("s_suppkey"))
+        line.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+        .join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+        .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .select(
             F.col("l_orderkey").alias("orderkey"),
             F.col("l_linenumber").alias("linenumber"),
