@@ -19,5 +19,5 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     The decision uses the file size Spark plans with; a table of real size stays as its splits are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(cores, key) if size <= cores * SMALL_SPLIT else df
