@@ -17,8 +17,8 @@ from cropledger.llm.common import text_of
 from cropledger.session import materialize
 
 BINS = 1 << 18
-#: Bins are kept that depend on the label; so large a share of them may do so by chance (false discovery rate).
-ERROR_RATE = 0.1
+#: Bins are kept that depend on the label, by a chi-squared test with this rate of error over all bins together.
+ERROR_RATE = 0.05
 FACTORS = 4
 ITERATIONS = 120
 #: Labelled documents that the model is fitted on, at most: those with the smallest hashed ids.
@@ -73,7 +73,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> To
     sample = materialize(_hashed(labelled_sample(docs, labels, rows)), "toxic-sample")
     if sample.select("label").distinct().count() < 2:
         return ToxicityModel(None, None)
-    selector = UnivariateFeatureSelector(featuresCol="_bins", labelCol="label", outputCol="_kept", selectionMode="fdr")
+    selector = UnivariateFeatureSelector(featuresCol="_bins", labelCol="label", outputCol="_kept", selectionMode="fwe")
     selector = selector.setFeatureType("categorical").setLabelType("categorical").setSelectionThreshold(ERROR_RATE).fit(sample)
     if not selector.selectedFeatures:
         return ToxicityModel(None, None)
