@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cropledger.llm import ann, decontaminate, ngram_join, sharding, toxicity
+from cropledger.llm import ann, decontaminate, ngram_join, sharding, suffix_dedup, toxicity
 from cropledger.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.op2_jaccard(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.op4_suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op7_decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -31,6 +35,6 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_jaccard, op7_decontaminate, op9_sharding, op10_nearest)
+    f.__name__: f for f in (op1_toxicity, op2_jaccard, op4_suffix_dedup, op7_decontaminate, op9_sharding, op10_nearest)
 }
 ORACLES: dict[str, str] = {"op2_jaccard": ngram_join.OP2_SQL, "op7_decontaminate": decontaminate.OP7_SQL}
