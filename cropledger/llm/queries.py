@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cropledger.llm import ann, decontaminate, ngram_join, sharding, suffix_dedup, toxicity
+from cropledger.llm import ann, decontaminate, line_dedup, mixture, ngram_join, pii, sharding, suffix_dedup, toxicity
 from cropledger.llm.common import table
 
 
@@ -18,14 +18,26 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.op2_jaccard(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.op3_line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.op4_suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.op6_pseudonyms(table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op7_decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.op8_mixture(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op9_sharding(table(spark, sf_dir, "documents"))
 
@@ -35,6 +47,8 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_jaccard, op4_suffix_dedup, op7_decontaminate, op9_sharding, op10_nearest)
+    f.__name__: f for f in (op1_toxicity, op2_jaccard, op3_line_dedup, op4_suffix_dedup, op6_pseudonyms, op7_decontaminate, op8_mixture,
+              op9_sharding, op10_nearest)
 }
-ORACLES: dict[str, str] = {"op2_jaccard": ngram_join.OP2_SQL, "op7_decontaminate": decontaminate.OP7_SQL}
+ORACLES: dict[str, str] = {"op2_jaccard": ngram_join.OP2_SQL, "op3_line_dedup": line_dedup.OP3_SQL, "op7_decontaminate": decontaminate.OP7_SQL,
+                           "op8_mixture": mixture.OP8_SQL}
