@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cropledger.llm import ann, decontaminate, line_dedup, mixture, ngram_join, pii, sharding, suffix_dedup, toxicity
+from cropledger.llm import ann, decontaminate, html_main, line_dedup, mixture, ngram_join, pii, sharding, suffix_dedup, toxicity
 from cropledger.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.op4_suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.op5_html_main(table(spark, sf_dir, "pages"))
+
+
 def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.op6_pseudonyms(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_jaccard, op3_line_dedup, op4_suffix_dedup, op6_pseudonyms, op7_decontaminate, op8_mixture,
+    f.__name__: f for f in (op1_toxicity, op2_jaccard, op3_line_dedup, op4_suffix_dedup, op5_html_main, op6_pseudonyms, op7_decontaminate, op8_mixture,
               op9_sharding, op10_nearest)
 }
 ORACLES: dict[str, str] = {"op2_jaccard": ngram_join.OP2_SQL, "op3_line_dedup": line_dedup.OP3_SQL, "op7_decontaminate": decontaminate.OP7_SQL,
