@@ -475,9 +475,9 @@ def _examples(pages: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def fit_extractor(pages: DataFrame, rows: int = FIT_PAGES) -> BoostedTrees | None:
     """Examples are made in the tasks and the trees are grown on the driver; `rows` bounds both. None without landmarks."""
-    marked = pages.select("page_id", "html").where(F.lower(F.col("html")).rlike(r"<(article|main)[\s>]") & (F.length("html") < 50_000))
-    chosen = marked.select("page_id", F.xxhash64("page_id", "html").alias("h")).orderBy("h", "page_id").limit(rows)
-    sample = marked.join(F.broadcast(chosen), (F.xxhash64(marked["page_id"], marked["html"]) == F.col("h")), "left_semi")
+    marked = pages.select("html", F.xxhash64("page_id", "html").alias("h")).where(F.lower(F.col("html")).rlike(r"<(article|main)[\s>]") & (F.length("html") < 50_000))
+    chosen = marked.select(F.col("h").alias("chosen")).orderBy("chosen").limit(rows)
+    sample = marked.join(F.broadcast(chosen), F.col("h") == F.col("chosen"), "left_semi")
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
