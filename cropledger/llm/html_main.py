@@ -31,7 +31,7 @@ TREES, DEPTH, RATE, BINS = 60, 4, 0.2, 24
 
 # Elements and names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style template noscript svg math head title iframe object canvas audio video select textarea option datalist".split())
+HIDDEN = frozenset("script style template noscript svg math head title iframe object canvas audio video select textarea option datalist button".split())
 RAW = frozenset("script style textarea title xmp iframe noscript noembed noframes".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
                    "h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul br".split())
@@ -155,6 +155,14 @@ def nodes_of(root: Node) -> list[Node]:
     return out
 
 
+def homes(nodes: list[Node]) -> np.ndarray:
+    """For every node the block that its text belongs to: itself, or the block around an inline element."""
+    out = np.zeros(len(nodes), dtype=np.int64)
+    for i, x in enumerate(nodes):
+        out[i] = i if x.tag in BLOCKS or i == 0 else out[x.parent.index]
+    return out
+
+
 _WORDS = re.compile(r"[a-z]+")
 _KINDS = {w: i for i, (_, ws) in enumerate(SIDE_NAMES.items()) for w in ws}
 _MAIN = frozenset(MAIN_NAMES)
@@ -171,12 +179,21 @@ def features(nodes: list[Node]) -> np.ndarray:
     name = np.zeros((n, kinds + 1))
     flag = np.zeros((n, 8))
     link_tag = np.zeros(n)
+    home = homes(nodes)
+    linked = np.zeros(n)  # characters of links that count as a block's own text
+    in_link, hidden = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
     for i, x in enumerate(nodes):
-        if not x.hidden:
+        up = parent[i]
+        hidden[i] = x.hidden or (i > 0 and hidden[up])
+        in_link[i] = x.tag == "a" or (i > 0 and in_link[up] and x.tag not in BLOCKS)
+        if not hidden[i]:
             text = " ".join(p for p in x.parts if type(p) is str)
-            own[i] = len(text) - text.count(" ") if text else 0
-            if own[i]:
-                comma[i], words[i] = text.count(",") + text.count("."), text.count(" ") + 1
+            if text and not text.isspace():
+                h, size = home[i], len(text) - text.count(" ")
+                own[h] += size
+                linked[h] += size * in_link[i]
+                comma[h] += text.count(",") + text.count(".")
+                words[h] += text.count(" ") + 1
         t = x.tag
         block[i], link_tag[i] = t in BLOCKS, t == "a"
         flag[i] = (t in ("ul", "ol", "li", "dl"), t in ("h1", "h2", "h3", "h4", "h5", "h6"), t == "p", t in ("blockquote", "pre"), t in ("table", "tr", "td", "th"),
@@ -187,23 +204,19 @@ def features(nodes: list[Node]) -> np.ndarray:
                     name[i, _KINDS[w]] = 1
                 elif w in _MAIN:
                     name[i, kinds] = 1
-    hidden = np.array([x.hidden for x in nodes])
     above = np.zeros((n, kinds + 5))
     here = np.hstack([name, flag[:, 5:6], flag[:, 7:8], flag[:, 6:7], link_tag[:, None]])
     for i in range(1, n):
         p = parent[i]
         depth[i] = depth[p] + 1
-        hidden[i] |= hidden[p]
         above[i] = np.maximum(above[p], here[p])
-    own[hidden] = comma[hidden] = words[hidden] = 0
-    total, links, commas, blocks, count = own.copy(), own * link_tag, comma.copy(), block.copy(), words.copy()
+    total, links, commas, blocks, count = own.copy(), linked, comma.copy(), block.copy(), words.copy()
     for i in range(n - 1, 0, -1):
         p = parent[i]
         total[p] += total[i]
         commas[p] += commas[i]
         blocks[p] += blocks[i]
         count[p] += count[i]
-        links[i] = total[i] if link_tag[i] else links[i]
         links[p] += links[i]
     place, many, like, before, after, longest = (np.zeros(n) for _ in range(6))
     for x in nodes:
@@ -413,7 +426,19 @@ def layouts(page: str, rng: np.random.Generator, count: int) -> Iterator[tuple[s
 
     for _ in range(count):
         inside = []
-        for t, s in blocks:
+        # Articles of all lengths: some of the blocks, some of them cut to their first words.
+        own = blocks if rng.random() < 0.4 else blocks[:int(rng.integers(1, len(blocks) + 1))]
+        short = rng.random() < 0.5
+        own = [(t, entities.escape(" ".join(entities.unescape(s).split(" ")[:int(rng.integers(6, 30))])) if short and rng.random() < 0.8 else s) for t, s in own]
+        for t, s in own:
+            if rng.random() < 0.3 and " " in s:
+                ws = s.split(" ")
+                i = int(rng.integers(len(ws)))
+                ws[i] = pick(["<b>{}</b>", "<em>{}</em>", '<a href="/x">{}</a>', "<span>{}</span>", "<code>{}</code>"]).format(ws[i])
+                s = " ".join(ws)
+            if rng.random() < 0.12:
+                mark = pick(["ul", "ol"])
+                inside.append(f"<{mark}>" + "".join(f"<li>{say(2, 25)}</li>" for _ in range(int(rng.integers(1, 7)))) + f"</{mark}>")
             inside.append(f"<li>{s}</li>" if t == "li" and rng.random() < 0.5 else f"<{t if t != 'li' else 'p'}>{s}</{t if t != 'li' else 'p'}>")
             if rng.random() < 0.06:
                 inside.append(furniture(pick(["ad", "side", "tool", "note", "form"])))
@@ -502,7 +527,7 @@ def main_text(page: str | None, model: BoostedTrees | None) -> str:
         return text_of_nodes(nodes, np.ones(len(nodes), dtype=bool))
     x = features(nodes)
     own = np.expm1(x[:, 1])
-    return text_of_nodes(nodes, decode(nodes, model.log_odds(x), own))
+    return text_of_nodes(nodes, decode(nodes, model.log_odds(x), own)[homes(nodes)])
 
 
 def extract(pages: DataFrame, model: BoostedTrees | None, keep: list[str]) -> DataFrame:
