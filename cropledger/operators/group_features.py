@@ -13,25 +13,27 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import EPS, TICK, ticks
 from ..functions.quantiles import quantiles
-from ..session import BROADCAST_ROWS, materialize
+from ..session import BROADCAST_ROWS, materialize, maybe_broadcast
+
+SERIES_KEYS = ["crop", "state", "district"]
 
 
 class PriceCube:
     """Partial sums per state, district, crop and month, written once.
 
-    Every roll-up has at most as many rows as the cube, so one count decides whether all of them may
-    be broadcast. The same cells bound the rows of the largest series and place.
+    Every roll-up has at most as many rows as the cube, so a small cube makes all of them small. The same
+    cells bound the rows of the largest series and place.
     """
 
-    def __init__(self, df: DataFrame, price: str = "price"):
-        t = ticks(F.col(price))
+    def __init__(self, df: DataFrame, price: str = "price", limit: int = BROADCAST_ROWS):
+        t, self.limit = ticks(F.col(price)), limit
         self.panel = df
         self.cells = materialize(df.groupBy("state", "district", "crop", F.month("date").alias("month")).agg(
             F.count(price).alias("n"), F.sum(t).cast("decimal(38,0)").alias("s"),
             F.avg(price).alias("m"), (F.coalesce(F.var_pop(price), F.lit(0.0)) * F.count(price)).alias("m2"),
             F.min(price).alias("lo"), F.max(price).alias("hi"), F.count("*").alias("rows"),
         ), "price-cube")
-        self.small = self.cells.count() <= BROADCAST_ROWS
+        self.small = self.cells.count() <= limit
 
     def largest(self, *keys: str) -> int:
         return self.cells.groupBy(*keys).agg(F.sum("rows").alias("r")).agg(F.max("r")).first()[0] or 0
@@ -48,11 +50,12 @@ class PriceCube:
 
     def medians(self, keys: Sequence[str], name: str) -> DataFrame:
         """Exact medians from the panel, written once."""
-        q = quantiles(self.panel, keys, "price", [0.5], largest=self.largest(*keys))
+        q = quantiles(self.panel, keys, "price", [0.5])
         return materialize(q.select(*keys, F.col("q")[0].alias(name)), "medians")
 
     def attach(self, df: DataFrame, rolled: DataFrame, keys: Sequence[str]) -> DataFrame:
-        return df.join(F.broadcast(rolled) if self.small else rolled, list(keys), "left")
+        """Each rolled table is broadcast by its own size: few states are broadcast however many cells there are."""
+        return df.join(F.broadcast(rolled) if self.small else maybe_broadcast(materialize(rolled, "rolled"), self.limit), list(keys), "left")
 
 
 def relative(a: str, b: str) -> Column:
@@ -115,8 +118,37 @@ def crop_month_interaction(df: DataFrame, cube: PriceCube) -> DataFrame:
 
 
 def group_features(df: DataFrame, cube: PriceCube) -> DataFrame:
-    """All location, commodity and interaction features; needs the month column."""
-    out = price_vs_location(district_price_stats(state_price_stats(df, cube), cube))
-    out = location_frequency(out, cube)
-    out = crop_price_category(crop_range_position(crop_price_stats(out, cube), cube))
-    return crop_month_interaction(state_month_interaction(state_crop_interaction(out, cube), cube), cube)
+    """All location, commodity and interaction features; needs the month column.
+
+    In a small cube every cell first gets the figures of all its grains, and the panel is joined once.
+    """
+    place, cell = ["state", "district"], [*SERIES_KEYS, "month"]
+    grains = [
+        (cube.stats(["state"], "state_price", ["avg", "std"]).join(cube.medians(["state"], "state_price_median"), "state", "left")
+         .join(cube.cells.groupBy("state").agg(F.sum("rows").alias("state_frequency")), "state"), ["state"]),
+        (cube.stats(place, "district_price", ["avg", "std"]), place),
+        (cube.cells.groupBy("district").agg(F.sum("rows").alias("district_frequency")), ["district"]),
+        (cube.stats(["crop"], "crop_price", ["avg", "std", "min", "max"]).join(cube.medians(["crop"], "crop_price_median"), "crop", "left")
+         .join(cube.cells.groupBy("crop").agg(F.sum("rows").alias("crop_frequency")), "crop"), ["crop"]),
+        (cube.stats(["state", "crop"], "state_crop_price", ["avg", "std"]), ["state", "crop"]),
+        (cube.stats(["state", "month"], "state_month_price", ["avg"]), ["state", "month"]),
+        (cube.stats(["crop", "month"], "crop_month_price", ["avg"]), ["crop", "month"]),
+    ]
+    if cube.small:
+        wide = cube.cells.select(*cell)
+        for rolled, keys in grains:
+            wide = wide.join(rolled, keys, "left")
+        wide = materialize(wide, "grains")
+        held = wide.select(*[F.col(c).alias(f"_{c}") for c in cell], *[c for c in wide.columns if c not in cell])
+        same = F.lit(True)
+        for c in cell:
+            same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        out = df.join(F.broadcast(held), same, "left").drop(*[f"_{c}" for c in cell])
+    else:
+        out = df
+        for rolled, keys in grains:
+            out = cube.attach(out, rolled, keys)
+    out = price_vs_location(out).withColumns({
+        "price_vs_crop_avg": relative("price", "crop_price_avg"), "price_vs_state_crop": relative("price", "state_crop_price_avg"),
+        "crop_price_range": F.col("crop_price_max") - F.col("crop_price_min")})
+    return crop_price_category(out.withColumn("crop_price_position", (F.col("price") - F.col("crop_price_min")) / (F.col("crop_price_range") + EPS)))

@@ -10,42 +10,19 @@ from pyspark.sql.types import NumericType
 
 from ..functions.columns import name_key
 from ..functions.fixed_values import CROP_DEFAULT_PRICES, FALLBACK_PRICES
-from ..functions.quantiles import quantiles
-
-
-ONE_BUFFER = 2_000_000
+from ..functions.quantiles import column_quantile
 
 
 def numeric_columns(df: DataFrame, skip: Sequence[str] = ()) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType) and f.name not in skip]
 
 
-def column_medians(df: DataFrame, columns: Sequence[str], rows: int) -> dict[str, Column]:
-    """Exact median per column as scalar subqueries.
-
-    While all values fit one aggregation buffer, one aggregation holds all columns. Beyond that the
-    columns become (name, value) rows and the medians are bracketed first, see ``quantiles``.
-    """
-    if not columns:
-        return {}
-    if rows * len(columns) <= ONE_BUFFER:
-        held = df.agg(F.struct(*[F.percentile(c, 0.5).alias(c) for c in columns])).scalar()
-        return {c: held[c] for c in columns}
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns
-    ])).alias("e")).select("e.*")
-    q = quantiles(long, ["name"], "v", [0.5], group_rows=0, largest=rows)
-    wide = q.agg(*[F.max(F.when(F.col("name") == c, F.col("q")[0])).alias(c) for c in columns])
-    held = wide.select(F.struct(*columns)).scalar()
-    return {c: held[c] for c in columns}
-
-
 def impute_by_name_rule(df: DataFrame, target: str = "price", skip: Sequence[str] = ()) -> DataFrame:
     """NULLs of numeric columns: the median where the name contains ``price``, else the mean."""
     cols = numeric_columns(df, (target, *skip))
-    counts = df.agg(F.count("*").alias("_rows"), *[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
+    counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
     gaps = [c for c in cols if counts[c]]
-    fill = column_medians(df, [c for c in gaps if "price" in c.lower()], counts["_rows"])
+    fill = column_quantile(df, [c for c in gaps if "price" in c.lower()], 0.5)
     mean_cols = [c for c in gaps if "price" not in c.lower()]
     if mean_cols:
         means = df.agg(F.struct(*[F.avg(c).alias(c) for c in mean_cols])).scalar()

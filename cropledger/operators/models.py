@@ -78,8 +78,10 @@ def permutation_importance(model, frame: DataFrame, inputs: Sequence[str] = MODE
     rows = frame.filter("split = 'test'").withColumn("h", key).orderBy("h").limit(sample)
     rows = materialize(rows.select("price", "h", *inputs), "sample")
     ranked = rows.select(F.array_sort(F.collect_list(F.struct("h", "price", *inputs))).alias("r"))  # at most ``sample`` entries
-    one = ranked.select("r", F.posexplode("r").alias("i", "x"))
-    other = F.element_at("r", (F.pmod(F.col("i") * 7 + 3, F.size("r")) + 1).cast("int"))
+    # Each entry's partner is the entry of the same rank by a second hash: a permutation of all entries.
+    again = F.array_sort(F.transform("r", lambda x: F.struct(F.xxhash64(x["h"], F.lit("again")).alias("k"), x.alias("x"))))
+    one = ranked.withColumn("o", again).select("o", F.posexplode("r").alias("i", "x"))
+    other = F.get("o", F.col("i"))["x"]
     variants = F.array(*[F.struct(F.lit(f).alias("feature"), *[
         (other[c] if c == f else F.col("x")[c]).alias(c) for c in inputs]) for f in ["", *inputs]])
     long = one.select(F.col("x.price").alias("price"), F.inline(variants))

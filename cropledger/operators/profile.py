@@ -110,7 +110,9 @@ def state_price_rank(df: DataFrame, n: int = 10) -> DataFrame:
 def price_histogram(df: DataFrame, bins: int = 100, price: str = "price") -> DataFrame:
     """Equal-width bins from min to max; the last bin is closed. Bins without rows count 0."""
     ends = df.agg(F.struct(F.min(price).alias("lo"), F.max(price).alias("hi"))).scalar()
-    lo, hi = ends["lo"], ends["hi"]
+    # A single price gets half a unit on either side.
+    half = F.when(ends["lo"] == ends["hi"], 0.5).otherwise(0.0)
+    lo, hi = ends["lo"] - half, ends["hi"] + half
     width = (hi - lo) / bins
     spot = F.least(F.floor((F.col(price) - lo) / width), F.lit(bins - 1)).cast("int")
     counts = df.filter(F.col(price).isNotNull()).groupBy(spot.alias("bin")).agg(F.count("*").alias("records"))
@@ -151,7 +153,7 @@ def state_coverage(expected: DataFrame, observed: DataFrame) -> DataFrame:
     return expected_vs_observed(expected, observed, ["state"]).agg(
         F.count("*").alias("expected"), F.sum("observed").alias("covered"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("observed") == 0, F.col("state")))), ", ").alias("missing"),
-    ).select("expected", "covered", "missing", F.round(F.col("covered") * 100 / F.col("expected"), 2).alias("coverage_pct"))
+    ).select("expected", "covered", "missing", F.round(F.try_divide(F.col("covered") * 100, F.col("expected")), 2).alias("coverage_pct"))
 
 
 def district_coverage(expected: DataFrame, observed: DataFrame) -> DataFrame:

@@ -46,42 +46,47 @@ def number(c: str) -> Column:
     return physical(c).try_cast("double")
 
 
-def adapt_reported_date(df: DataFrame) -> DataFrame:
+def sold(df: DataFrame, *needed: str) -> DataFrame:
+    """Rows with all needed columns and a price above zero."""
+    return df.na.drop(subset=[*needed, "price"]).filter("price > 0")
+
+
+def adapt_reported_date(df: DataFrame, source_dataset: str | None = None) -> DataFrame:
     out = df.select(
         F.try_to_date(physical("Reported Date"), "M/d/yyyy").alias("date"),
         physical("State Name").alias("state"), physical("District Name").alias("district"),
         physical("Commodity").alias("crop"), number("Modal Price (Rs./Quintal)").alias("price"),
         number("Min Price (Rs./Quintal)").alias("min_price"), number("Max Price (Rs./Quintal)").alias("max_price"),
     )
-    return tag_source(out.na.drop(subset=["date", "state", "crop", "price"]), "reported")
+    return tag_source(sold(out, "date", "state", "crop"), "reported", source_dataset)
 
 
-def adapt_arrival_date(df: DataFrame) -> DataFrame:
+def adapt_arrival_date(df: DataFrame, source_dataset: str | None = None) -> DataFrame:
     out = df.select(
         F.try_to_date("Arrival_Date", "d/M/yyyy").alias("date"), F.col("State").alias("state"),
         F.col("District").alias("district"), F.col("Commodity").alias("crop"),
         number("Modal_x0020_Price").alias("price"), number("Min_x0020_Price").alias("min_price"),
         number("Max_x0020_Price").alias("max_price"),
     )
-    return tag_source(out.na.drop(subset=["date", "state", "crop", "price"]), "arrival")
+    return tag_source(sold(out, "date", "state", "crop"), "arrival", source_dataset)
 
 
-def adapt_year_month(df: DataFrame) -> DataFrame:
+def adapt_year_month(df: DataFrame, source_dataset: str | None = None) -> DataFrame:
     out = df.select(
-        F.make_date(F.col("Year").cast("int"), F.col("Month").cast("int"), F.lit(1)).alias("date"),
+        F.try_to_date(F.format_string("%04d-%02d-01", F.col("Year").try_cast("int"), F.col("Month").try_cast("int")), "yyyy-MM-dd").alias("date"),
         F.col("State").alias("state"), F.lit("Unknown").alias("district"), F.trim(physical("Crop ")).alias("crop"),
-        number("Wholesale_Price").alias("price"), number("Temperature").alias("temperature"),
-        number("Rainfall").alias("rainfall"),
+        number("Wholesale_Price [Rs. Per Quintal]").alias("price"),
+        number("Temperature (Celsis)").alias("temperature"), number("Rainfall in mm").alias("rainfall"),
     )
-    return tag_source(out.na.drop(subset=["date", "state", "crop", "price"]), "monthly")
+    return tag_source(sold(out, "date", "state", "crop"), "monthly", source_dataset)
 
 
-def adapt_item_price(df: DataFrame) -> DataFrame:
+def adapt_item_price(df: DataFrame, source_dataset: str | None = None) -> DataFrame:
     out = df.select(
         F.try_to_date("Date", "M/d/yyyy").alias("date"), F.lit("Unknown").alias("state"),
         F.lit("Unknown").alias("district"), F.col("Item_Name").alias("crop"), number("Price").alias("price"),
     )
-    return tag_source(out.na.drop(subset=["date", "crop", "price"]), "items")
+    return tag_source(sold(out, "date", "crop"), "items", source_dataset)
 
 
 def blank_nan(c: Column) -> Column:

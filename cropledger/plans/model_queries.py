@@ -198,13 +198,15 @@ def compare_model_runs(spark, sf_dir):
     return rounded(out, old_r2=6, new_r2=6, r2_improvement_pct=4)
 
 
-@query("retrain_due", f"""WITH {OBS}, m AS (SELECT DISTINCT crop, state, district FROM obs), r AS (SELECT crop, state, district, max(date) AS training_date FROM obs
-   WHERE partkey % 9 = 0 GROUP BY ALL) SELECT m.*, training_date, (DATE '2001-10-15' - training_date)::INT AS days_since,
+@query("retrain_due", f"""WITH {OBS}, m AS (SELECT DISTINCT crop, state, district FROM obs UNION SELECT DISTINCT 'NEW', state, district FROM obs),
+   r AS (SELECT crop, state, district, max(date - (orderkey % 90)::INT) AS training_date FROM obs GROUP BY ALL) SELECT m.*, training_date, (DATE '2001-10-15' - training_date)::INT AS days_since,
    coalesce((DATE '2001-10-15' - training_date >= 30), true)::INT AS due FROM m LEFT JOIN r USING (crop, state, district)""")
 def retrain_due(spark, sf_dir):
     o = obs(spark, sf_dir)
-    runs = o.filter("partkey % 9 = 0").withColumnRenamed("date", "training_date")
-    return ev.retrain_due(o.select(*SERIES).distinct(), runs, SERIES, "2001-10-15")
+    runs = o.withColumn("training_date", F.date_sub("date", (F.col("orderkey") % 90).cast("int")))
+    series = o.select(*SERIES).distinct()
+    fresh = series.withColumn("crop", F.lit("NEW")).distinct()  # series that no run has seen
+    return ev.retrain_due(series.union(fresh), runs, SERIES, "2001-10-15")
 
 
 # ---- fits and scoring

@@ -72,7 +72,7 @@ def export_history(spark, sf_dir):
 
 @query("stream_monitor_daily", f"""WITH {LOG}, d AS (SELECT CAST(ts AS DATE) AS window_start, model, {STATS} FROM log GROUP BY 1, 2)
    SELECT window_start, (window_start + 1)::DATE AS window_end, model, total_predictions, error_rate, average_error, predictions_with_actual
-   FROM d WHERE window_start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM log)""")
+   FROM d""")
 def stream_monitor_daily(spark, sf_dir):
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return r_stats(st.stream_monitor_daily(spark, sf_dir))
@@ -81,7 +81,7 @@ def stream_monitor_daily(spark, sf_dir):
 @query("stream_monitor_sliding", f"""WITH {LOG}, s AS (SELECT *, unnest(range(0, 30)) AS back FROM log),
    d AS (SELECT (CAST(ts AS DATE) - back::INT)::DATE AS window_start, model, {STATS} FROM s GROUP BY 1, 2)
    SELECT window_start, (window_start + 30)::DATE AS window_end, model, total_predictions, error_rate, average_error, predictions_with_actual
-   FROM d WHERE window_start + INTERVAL 30 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM log)""")
+   FROM d""")
 def stream_monitor_sliding(spark, sf_dir):
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return r_stats(st.stream_monitor_sliding(spark, sf_dir))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.columns import is_placeholder, rounded, to_date_any, to_int, to_number
@@ -36,19 +37,20 @@ def scan_pruned(spark, sf_dir):
    CASE WHEN data_source = 'datagov' THEN CAST(CAST(price AS DECIMAL(18,2)) AS VARCHAR) END AS modal_price,
    CASE WHEN data_source = 'enam' THEN linenumber::VARCHAR END AS variety FROM named"""))
 def scan_multi_file(spark, sf_dir):
+    """One folder with files of two encodings and of other columns in another order, and a folder of its own."""
     base = named(spark, sf_dir).select(
         F.date_format("date", "yyyy-MM-dd").alias("date"), "state", "district", F.concat("crop", F.lit(" é")).alias("crop"),
         pay.money(F.col("price")).alias("price"), F.col("linenumber").cast("string").alias("variety"), "data_source")
     root = new_path(spark, "csv-tree")
-    plan = {"enam": ("UTF-8", ["date", "state", "district", "crop", "price", "variety"]),
-            "agmarknet": ("ISO-8859-1", ["date", "state", "district", "crop", "price"]),
-            "datagov": ("UTF-8", ["date", "state", "district", "crop", "price"])}
-    for source, (encoding, cols) in plan.items():
+    plan = {"enam": ("UTF-8", "mixed", ["date", "state", "district", "crop", "price", "variety"]),
+            "agmarknet": ("ISO-8859-1", "mixed", ["price", "crop", "district", "state", "date"]),
+            "datagov": ("UTF-8", "portal", ["date", "state", "district", "crop", "price"])}
+    for source, (encoding, folder, cols) in plan.items():
         part = base.filter(F.col("data_source") == source).select(*cols)
         if source == "datagov":
             part = part.withColumnRenamed("price", "modal_price")
-        part.write.option("header", True).option("encoding", encoding).csv(f"{root}/{source}/deep")
-    folders = [f"{root}/{s}" for s in plan] + [f"{root}/missing"]
+        part.write.option("header", True).option("encoding", encoding).csv(f"{root}/{folder}/{source}")
+    folders = [f"{root}/{f}" for f in ("mixed", "portal", "missing")]
     return ing.scan_multi_file(spark, folders).select("date", "state", "district", "crop", "price", "modal_price", "variety")
 
 
@@ -148,6 +150,11 @@ def _text(spark, sf_dir):
         "money": pay.money(F.col("price")), "low": pay.money(F.col("price") - 1), "high": pay.money(F.col("price") + 1)})
 
 
+def _dealt() -> Column:
+    """The price as text, with some lots that were not sold: zero and below."""
+    return F.when(F.col("linenumber") == 5, F.lit("0")).when(F.col("linenumber") == 6, F.lit("-1.50")).otherwise(F.col("money"))
+
+
 _BOUNDS = "price - 1 AS min_price, price + 1 AS max_price"
 
 
@@ -181,43 +188,45 @@ def rename_common(spark, sf_dir):
 
 
 @query("adapt_reported_date", with_raw(f"""SELECT date, state_raw AS state, district_raw AS district, crop_raw AS crop, {_PRICES},
-   'reported' AS data_source FROM raw_obs WHERE state_raw IS NOT NULL AND orderkey % 13 <> 0"""))
+   'reported' AS data_source FROM raw_obs WHERE state_raw IS NOT NULL AND orderkey % 13 <> 0 AND linenumber NOT IN (5, 6)"""))
 def adapt_reported_date(spark, sf_dir):
     raw = _text(spark, sf_dir).select(
         F.when(F.col("orderkey") % 13 == 0, F.lit("31/31/2020")).otherwise(F.date_format("date", "M/d/yyyy")).alias("Reported Date"),
         F.col("state_raw").alias("State Name"), F.col("district_raw").alias("District Name"), F.col("crop_raw").alias("Commodity"),
-        F.col("money").alias("Modal Price (Rs./Quintal)"), F.col("low").alias("Min Price (Rs./Quintal)"),
+        _dealt().alias("Modal Price (Rs./Quintal)"), F.col("low").alias("Min Price (Rs./Quintal)"),
         F.col("high").alias("Max Price (Rs./Quintal)"))
     return std.adapt_reported_date(raw)
 
 
 @query("adapt_arrival_date", with_raw(f"""SELECT date, state_raw AS state, district_raw AS district, crop_raw AS crop, {_PRICES},
-   'arrival' AS data_source FROM raw_obs WHERE state_raw IS NOT NULL AND linenumber <> 4"""))
+   'arrival' AS data_source FROM raw_obs WHERE state_raw IS NOT NULL AND linenumber NOT IN (4, 5, 6)"""))
 def adapt_arrival_date(spark, sf_dir):
     raw = _text(spark, sf_dir).select(
         F.date_format("date", "dd/MM/yyyy").alias("Arrival_Date"), F.col("state_raw").alias("State"),
         F.col("district_raw").alias("District"), F.col("crop_raw").alias("Commodity"),
-        F.when(F.col("linenumber") == 4, F.lit("NR")).otherwise(F.col("money")).alias("Modal_x0020_Price"),
+        F.when(F.col("linenumber") == 4, F.lit("NR")).otherwise(_dealt()).alias("Modal_x0020_Price"),
         F.col("low").alias("Min_x0020_Price"), F.col("high").alias("Max_x0020_Price"))
     return std.adapt_arrival_date(raw)
 
 
 @query("adapt_year_month", with_raw("""SELECT date_trunc('month', date)::DATE AS date, state_raw AS state, 'Unknown' AS district,
    trim(crop_raw) AS crop, round(price, 2) AS price, (orderkey % 40)::DOUBLE AS temperature, (partkey % 9)::DOUBLE AS rainfall,
-   'monthly' AS data_source FROM raw_obs WHERE state_raw IS NOT NULL"""))
+   'monthly' AS data_source, 'monthly rates' AS source_dataset FROM raw_obs
+   WHERE state_raw IS NOT NULL AND linenumber NOT IN (5, 6) AND orderkey % 17 > 1"""))
 def adapt_year_month(spark, sf_dir):
     raw = _text(spark, sf_dir).select(
-        F.year("date").cast("string").alias("Year"), F.month("date").cast("string").alias("Month"), F.col("state_raw").alias("State"),
-        F.col("crop_raw").alias("Crop "), F.col("money").alias("Wholesale_Price"),
-        (F.col("orderkey") % 40).cast("string").alias("Temperature"), (F.col("partkey") % 9).cast("string").alias("Rainfall"))
-    return std.adapt_year_month(raw)
+        F.when(F.col("orderkey") % 17 == 1, F.lit("NR")).otherwise(F.year("date").cast("string")).alias("Year"),
+        F.when(F.col("orderkey") % 17 == 0, F.lit("13")).otherwise(F.month("date").cast("string")).alias("Month"), F.col("state_raw").alias("State"),
+        F.col("crop_raw").alias("Crop "), _dealt().alias("Wholesale_Price [Rs. Per Quintal]"),
+        (F.col("orderkey") % 40).cast("string").alias("Temperature (Celsis)"), (F.col("partkey") % 9).cast("string").alias("Rainfall in mm"))
+    return std.adapt_year_month(raw, "monthly rates")
 
 
 @query("adapt_item_price", with_raw("""SELECT date, 'Unknown' AS state, 'Unknown' AS district, crop_raw AS crop,
-   round(price, 2) AS price, 'items' AS data_source FROM raw_obs"""))
+   round(price, 2) AS price, 'items' AS data_source FROM raw_obs WHERE linenumber NOT IN (5, 6)"""))
 def adapt_item_price(spark, sf_dir):
     raw = _text(spark, sf_dir).select(F.date_format("date", "MM/dd/yyyy").alias("Date"), F.col("crop_raw").alias("Item_Name"),
-                                      F.col("money").alias("Price"))
+                                      _dealt().alias("Price"))
     return std.adapt_item_price(raw)
 
 
@@ -247,16 +256,16 @@ def adapt_commodityonline(spark, sf_dir):
 
 @query("adapt_exchange", with_raw(f""", q AS (SELECT {any_date('date_raw', AS_OF)} AS date, trim(crop_raw) AS crop,
    round(CASE WHEN linenumber = 2 THEN price ELSE ((price - 1) + (price + 1)) / 2 END, 2) AS price,
-   round(price - 1, 2) AS min_price, round(price + 1, 2) AS max_price FROM raw_obs WHERE data_source = 'datagov'),
-   w AS (SELECT DISTINCT crop, state, district FROM raw_obs WHERE regionkey = 1)
+   round(price - 1, 2) AS min_price, round(price + 1, 2) AS max_price FROM raw_obs),
+   w AS (SELECT DISTINCT crop, state, district FROM raw_obs)
    SELECT q.*, state, district FROM q JOIN w USING (crop)"""))
 def adapt_exchange(spark, sf_dir):
     t = _text(spark, sf_dir)
-    raw = t.filter("data_source = 'datagov'").select(
+    raw = t.select(
         F.col("date_raw").alias("date"), F.col("crop_raw").alias("commodity"),
         F.when(F.col("linenumber") == 2, F.concat(F.lit("Rs "), "money")).alias("spot_price"),
         F.col("low").alias("low_price"), F.col("high").alias("high_price"))
-    return _r2(std.adapt_exchange(raw, t.filter("regionkey = 1"), AS_OF)).select(
+    return _r2(std.adapt_exchange(raw, t, AS_OF)).select(
         "crop", "date", "price", "min_price", "max_price", "state", "district")
 
 

@@ -1,17 +1,18 @@
 """Structured Streaming jobs over the prediction log and the observations.
 
-Every job writes to a table in the shared folder with its own checkpoint and runs to the end of the
-available input; nothing is gathered on the driver.
+Jobs run to the end of the available input and keep a table up to date batch by batch. Rows may come in any order: partial
+figures are merged, so late rows count and windows that are still open are shown. A job given a path of its own resumes there.
 """
 
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.monitor import log_predictions, usage_stats
+from ..operators.monitor import log_predictions
 from ..operators.series_features import latest_n_per_series
 from ..session import new_path
 from ..sources.tables import table
@@ -19,65 +20,91 @@ from ..sources.views import log_columns
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A landed table as a file stream, whether it is one file or a folder."""
+    """A landed table as a file stream, whether it is one file or a folder (a pattern that only this name fits)."""
     schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).parquet(os.path.join(sf_dir, f"{name}.parquet*"))
+    return spark.readStream.schema(schema).parquet(os.path.join(sf_dir, f"{name}.parque[t]"))
 
 
-def run_to_table(stream: DataFrame, label: str) -> DataFrame:
+def run_to_table(stream: DataFrame, label: str, path: str | None = None) -> DataFrame:
+    """Appends the stream's rows to the table under ``path``, from where the last run ended."""
     spark = stream.sparkSession
-    out, state = new_path(spark, label), new_path(spark, f"{label}-state")
+    root = path or new_path(spark, label)
     done = (
-        stream.writeStream.format("parquet").outputMode("append").option("path", out)
-        .option("checkpointLocation", state).trigger(availableNow=True).start()
+        stream.writeStream.format("parquet").outputMode("append").option("path", f"{root}/rows")
+        .option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     )
     done.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).parquet(f"{root}/rows")
+
+
+def upsert_table(stream: DataFrame, merge: Callable[[DataFrame, DataFrame | None], DataFrame], label: str, path: str | None = None) -> DataFrame:
+    """The table that ``merge`` makes of each batch and the table before it.
+
+    Versions take turns in two folders: a batch reads the one and overwrites the other, so a batch that is run again gives the
+    same version, and no more than two are kept. A run without new input returns the table as it was.
+    """
+    spark = stream.sparkSession
+    root = path or new_path(spark, label)
+
+    def upsert(batch: DataFrame, batch_id: int) -> None:
+        before = batch.sparkSession.read.parquet(f"{root}/turn={(batch_id - 1) % 2}").drop("version") if batch_id else None
+        merge(batch, before).withColumn("version", F.lit(batch_id)).write.mode("overwrite").parquet(f"{root}/turn={batch_id % 2}")
+
+    # A first, empty version makes the table readable before any batch.
+    empty = merge(spark.createDataFrame([], stream.schema), None).withColumn("version", F.lit(-1))
+    empty.write.mode("ignore").parquet(f"{root}/turn=start")
+    query = stream.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    versions = spark.read.schema(empty.schema).parquet(f"{root}/turn=*")
+    newest = versions.agg(F.coalesce(F.max("version"), F.lit(-1)).alias("v")).select("v").scalar()
+    return versions.filter(F.col("version") == newest).drop("version")
 
 
 def prediction_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_predictions(log_columns(table_stream(spark, sf_dir, "events")))
 
 
-def windowed_stats(log: DataFrame, size: str, slide: str | None, late: str = "1 day") -> DataFrame:
-    """Usage stats per model and event-time window; a window is emitted once the watermark has passed its end."""
+def partial_stats() -> dict[str, Column]:
+    return {"total": F.count("*"), "failed": F.count("error"), "error_sum": F.sum("absolute_error"), "with_actual": F.count("absolute_error")}
+
+
+def windowed_stats(log: DataFrame, size: str, slide: str | None, label: str, path: str | None = None) -> DataFrame:
+    """Usage stats per model and event-time window. Counts and sums of each batch are added to those before."""
     span = F.window("ts", size, slide) if slide else F.window("ts", size)
-    return log.withWatermark("ts", late).groupBy(span.alias("w"), "model").agg(
-        *[c.alias(n) for n, c in usage_stats().items()]
-    ).select(F.to_date("w.start").alias("window_start"), F.to_date("w.end").alias("window_end"), "model", *usage_stats())
+    keys = ["window_start", "window_end", "model"]
+
+    def merge(batch: DataFrame, before: DataFrame | None) -> DataFrame:
+        own = batch.groupBy(span.alias("w"), "model").agg(*[c.alias(n) for n, c in partial_stats().items()])
+        own = own.select(F.to_date("w.start").alias("window_start"), F.to_date("w.end").alias("window_end"), "model", *partial_stats())
+        both = own if before is None else own.unionByName(before)
+        return both.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in partial_stats()])
+
+    t = upsert_table(log, merge, label, path)
+    return t.select(*keys, F.col("total").alias("total_predictions"), (F.col("failed") * 100.0 / F.col("total")).alias("error_rate"),
+                    F.try_divide(F.col("error_sum"), F.col("with_actual")).alias("average_error"), F.col("with_actual").alias("predictions_with_actual"))
 
 
 def stream_monitor_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_to_table(windowed_stats(prediction_stream(spark, sf_dir), "1 day", None), "daily")
+    return windowed_stats(prediction_stream(spark, sf_dir), "1 day", None, "daily")
 
 
 def stream_monitor_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_to_table(windowed_stats(prediction_stream(spark, sf_dir), "30 days", "1 day"), "sliding")
+    return windowed_stats(prediction_stream(spark, sf_dir), "30 days", "1 day", "sliding")
 
 
-def dedupe_stream(observed: DataFrame, keys: list[str], late: str = "2 days") -> DataFrame:
-    """One row per key; keys are remembered for as long as the watermark admits late rows."""
+def dedupe_stream(observed: DataFrame, keys: list[str], late: str | None = None) -> DataFrame:
+    """One row per key. All keys are remembered; with ``late`` only for as long as the watermark admits late rows, which
+    bounds the state but lets copies through that are further apart."""
+    if late is None:
+        return observed.dropDuplicates(keys)
     return observed.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def latest_conditions(observed: DataFrame, label: str = "latest", rows: int = 30) -> DataFrame:
-    """Latest rows per series, kept up to date batch by batch.
+def latest_conditions(observed: DataFrame, label: str = "latest", rows: int = 30, path: str | None = None) -> DataFrame:
+    """Latest rows per series, kept up to date batch by batch."""
 
-    Each batch merges its own latest rows with the previous version of the table and writes the next
-    version under its batch number. A batch that is run again writes the same version again.
-    """
-    spark = observed.sparkSession
-    root, state = new_path(spark, label), new_path(spark, f"{label}-state")
-    versions = []
+    def merge(batch: DataFrame, before: DataFrame | None) -> DataFrame:
+        own = latest_n_per_series(batch, rows).drop("rn")
+        return own if before is None else latest_n_per_series(own.unionByName(before), rows).drop("rn")
 
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        merged = latest_n_per_series(batch, rows).drop("rn")
-        if batch_id > 0:
-            merged = merged.unionByName(batch.sparkSession.read.parquet(f"{root}/v{batch_id - 1}"))
-            merged = latest_n_per_series(merged, rows).drop("rn")
-        merged.write.mode("overwrite").parquet(f"{root}/v{batch_id}")
-        versions.append(batch_id)
-
-    query = observed.writeStream.foreachBatch(upsert).option("checkpointLocation", state).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(observed.schema).parquet(f"{root}/v{max(versions)}")
+    return upsert_table(observed, merge, label, path)

@@ -16,6 +16,7 @@ from cropledger.operators import impute as imp
 from cropledger.operators import market as mk
 from cropledger.operators import models as md
 from cropledger.operators import monitor as mo
+from cropledger.operators import profile as pr
 from cropledger.operators import resolve as rs
 from cropledger.operators import series_features as sf
 from cropledger.operators import standardize as std
@@ -242,8 +243,8 @@ def test_percent_error_of_a_zero_actual(spark):
     assert [tuple(r)[2:] for r in mo.log_predictions(log).collect()] == [(2.0, 0.0), (1.0, 25.0), (None, None)]
 
 
-def test_late_rows_are_left_out_and_state_is_carried(spark, tmp_path):
-    """Each file is a batch: rows behind the watermark of the batch before go, the latest table is merged."""
+def test_late_rows_count_and_tables_are_carried(spark, tmp_path):
+    """Each file is a batch, and they are out of order: all rows count, and a run without new files changes nothing."""
     src = str(tmp_path / "in")
     one = [(1, dt.datetime(2024, 1, 1, 5), "m", 1.0, 2.0, None), (2, dt.datetime(2024, 1, 9), "m", 1.0, 2.0, None)]
     two = [(3, dt.datetime(2024, 1, 1, 6), "m", 1.0, 9.0, None), (4, dt.datetime(2024, 1, 20), "m", 1.0, 2.0, "e")]
@@ -252,8 +253,9 @@ def test_late_rows_are_left_out_and_state_is_carried(spark, tmp_path):
     for part in (one, two, three):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-    out = st.run_to_table(st.windowed_stats(mo.log_predictions(stream), "1 day", None), "late").orderBy("window_start").collect()
-    assert [(r.window_start.day, r.total_predictions) for r in out] == [(1, 2), (9, 1)]
+    for _ in range(2):
+        out = st.windowed_stats(mo.log_predictions(stream), "1 day", None, "late", str(tmp_path / "out")).orderBy("window_start").collect()
+        assert [(r.window_start.day, r.total_predictions) for r in out] == [(1, 2), (2, 1), (9, 1), (20, 1), (21, 1)]
 
     panel = str(tmp_path / "panel")
     for lo in (0, 20):
@@ -262,3 +264,26 @@ def test_late_rows_are_left_out_and_state_is_carried(spark, tmp_path):
     rows = spark.readStream.schema(COLS).option("maxFilesPerTrigger", 1).parquet(panel)
     latest = st.latest_conditions(rows).select("price").collect()
     assert sorted(r.price for r in latest) == [float(i) for i in range(10, 40)]
+
+
+def test_files_of_one_folder_are_read_by_their_own_header_and_encoding(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("date,state,price\n2020-01-01,Kérala,10\n".encode())
+    (tmp_path / "b.csv").write_bytes("state,price,date\nGoéa,20,2020-01-02\n".encode("latin-1"))
+    (tmp_path / "empty.csv").write_bytes(b"")
+    got = {(r.date, r.state, r.price) for r in ing.scan_multi_file(spark, [str(tmp_path), str(tmp_path / "none")]).collect()}
+    assert got == {("2020-01-01", "Kérala", "10"), ("2020-01-02", "Goéa", "20")}
+    with pytest.raises(ValueError):
+        ing.scan_multi_file(spark, [str(tmp_path / "none")])
+
+
+def test_outer_table_keeps_its_rows_around_a_nested_one(spark):
+    page = ("<table><tr><th>Price</th><th>Date</th></tr><tr><td>1</td><td>a</td></tr><tr><td><table><tr><th>Price</th></tr><tr><td>9</td></tr></table></td><td>b</td></tr>"
+            "<tr><td>3</td><td>c</td></tr></table>")
+    cells = ing.harvest_html_tables(spark.createDataFrame([(1, page)], "k int, html string"), "html", ["k"]).collect()
+    assert sorted(r.cell for r in cells if r.header == "Date") == ["a", "b", "c"]
+    assert sorted(r.cell for r in cells if r.header == "Price") == ["", "1", "3", "9"]
+
+
+def test_histogram_of_one_price(spark):
+    got = pr.price_histogram(spark.createDataFrame([(5.0,), (5.0,), (None,)], "price double"), 4).orderBy("bin").collect()
+    assert [r.records for r in got] == [0, 0, 2, 0] and got[0].lower == 4.5 and got[-1].upper == 5.5

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cropledger.functions.quantiles import quantiles
+from cropledger.functions.quantiles import column_quantile, quantiles
+from cropledger.operators import group_features as gf
 from cropledger.operators import impute as imp
 from cropledger.operators import series_features as sf
 from cropledger.plans.series import global_position, over_series
@@ -74,15 +75,32 @@ def test_bracketed_quantiles(spark, accuracy):
     rows = [(k, float(v)) for k, vs in groups.items() for v in vs]
     df = spark.createDataFrame(rows, "k string, v double")
     probs = [0.0, 0.01, 0.25, 0.5, 0.7, 0.99, 1.0]
-    for r in quantiles(df, ["k"], "v", probs, group_rows=0, accuracy=accuracy).collect():
+    for r in quantiles(df, ["k"], "v", probs, accuracy=accuracy).collect():
         assert r.q == pytest.approx(list(np.quantile(groups[r.k], probs)), abs=1e-9)
-    whole = quantiles(df, [], "v", [0.3], group_rows=0, accuracy=accuracy).first().q[0]
+    whole = quantiles(df, [], "v", [0.3], accuracy=accuracy).first().q[0]
     assert whole == pytest.approx(np.quantile([v for _, v in rows], 0.3))
 
 
-def test_column_medians_both_ways(spark, monkeypatch):
+@pytest.mark.parametrize("accuracy", [10, 100_000])
+def test_column_quantile(spark, accuracy):
+    rng = np.random.default_rng(1)
+    cols = {"a": rng.normal(size=500).round(1), "b": rng.integers(0, 4, 500).astype(float)}
+    df = spark.createDataFrame([(*map(float, r), None) for r in zip(*cols.values())], "a double, b double, c double")
+    row = df.select(*[q.alias(c) for c, q in column_quantile(df, ["a", "b", "c"], 0.3, accuracy).items()]).first()
+    assert (row.a, row.b) == (pytest.approx(np.quantile(cols["a"], 0.3)), pytest.approx(np.quantile(cols["b"], 0.3))) and row.c is None
+
+
+def test_gaps_are_filled_by_name(spark):
     df = spark.createDataFrame([(1.0, None, 5.0), (2.0, 4.0, None), (10.0, 8.0, 7.0), (None, None, 1.0)], "price_a double, price_b double, t double")
-    plain = sorted(imp.impute_by_name_rule(df).collect())
-    monkeypatch.setattr(imp, "ONE_BUFFER", 0)
-    assert sorted(imp.impute_by_name_rule(df).collect()) == plain
-    assert (1.0, 6.0, 5.0) in plain and (2.0, 6.0, 1.0) in plain
+    got = sorted(imp.impute_by_name_rule(df).collect())
+    assert (1.0, 6.0, 5.0) in got and (2.0, 6.0, 1.0) in got
+
+
+def test_few_states_are_broadcast_though_cells_are_many(panel):
+    """With a low limit the state table is still broadcast; larger grains are joined by a shuffle."""
+    with_month = panel.withColumn("month", F.month("date"))
+    cube = gf.PriceCube(panel, limit=1)
+    assert not cube.small
+    plan = gf.state_price_stats(with_month, cube)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    same(gf.group_features(with_month, cube), gf.group_features(with_month, gf.PriceCube(panel)))
