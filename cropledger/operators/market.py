@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import TICK, name_key, ticks
 from ..plans.series import first_per_group
+from ..session import materialize
 from ..sources.views import ORDER
 from .clean import filter_previous_week
 
@@ -73,9 +74,19 @@ def _by_grain(requests: DataFrame, grains: dict[str, DataFrame]) -> DataFrame:
     return out.select(*requests.columns, hit.alias("m"), grain.alias("grain"))
 
 
+def latest_by_series(df: DataFrame, order: Sequence[str], rows: int, primary: str = "enam") -> DataFrame:
+    """The latest rows of each series, of the primary source and of the others, from one pass over the facts, written once.
+
+    The latest rows of a state or crop are among those of its series, and whether it has primary rows shows in them too.
+    """
+    own = df.withColumn("_primary", F.coalesce(F.col("data_source") == primary, F.lit(False)))
+    latest = first_per_group(own, [*GRAINS[0][1], "_primary"], [F.desc(c) for c in order], rows)
+    return materialize(latest.drop("rn", "_primary"), "latest")
+
+
 def market_conditions_fallback(requests: DataFrame, df: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
     """Market state per request at the finest grain with rows; the commodity grain has no trend."""
-    panel = with_keys(df)
+    panel = latest_by_series(with_keys(df), order, 30)
     grains = {}
     for label, keys in GRAINS:
         g = market_conditions(panel, keys, order).join(primary_keys(panel, keys), keys)
@@ -88,7 +99,7 @@ def market_conditions_fallback(requests: DataFrame, df: DataFrame, order: Sequen
 
 def previous_week_conditions(requests: DataFrame, df: DataFrame, as_of: str, order: Sequence[str] = ORDER) -> DataFrame:
     """Market state of the week before last at the finest grain with rows; both means are the week's."""
-    panel = with_keys(filter_previous_week(df, as_of))
+    panel = latest_by_series(with_keys(filter_previous_week(df, as_of)), order, 7)
     grains = {label: market_conditions(panel, keys, order, 7).withColumn("avg_price_30d", F.col("avg_price_7d")) for label, keys in GRAINS}
     day = F.lit(as_of).cast("date")
     span = F.concat_ws(" to ", F.date_sub(day, 14), F.date_sub(day, 7))

@@ -12,6 +12,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 ROWS_PER_TASK = 4_000_000
 
 
@@ -76,16 +78,15 @@ def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
 
 
 def global_position(df: DataFrame, by: str, tie: Sequence[str]) -> DataFrame:
-    """``position`` (from 1) and ``total`` over all rows without a one-task sort of the rows.
+    """``position`` (from 1) and ``total`` over all rows, by one sort into ranges.
 
-    Rows per value of ``by`` (a day) are counted and summed up first; that table has one row per
-    day. Rows themselves are only numbered inside their own day.
+    Rows are dealt by ranges of the whole order, so a day with most of the rows is spread like any other, and written once with
+    their place in their range. What comes before a range is a sum over the ranges, one row each.
     """
-    counts = df.groupBy(by).agg(F.count("*").alias("_n"))
-    offsets = counts.select(
-        by,
-        (F.sum("_n").over(Window.orderBy(by)) - F.col("_n")).alias("_offset"),
-        F.sum("_n").over(Window.partitionBy(F.lit(1))).alias("total"),
-    )
-    rn = F.row_number().over(Window.partitionBy(by).orderBy(*tie))
-    return df.join(offsets, by).withColumn("position", F.col("_offset") + rn).drop("_offset")
+    order = [by, *tie]
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    placed = materialize(placed, "ordered").withColumns({"_part": F.shiftright("_id", 33), "_rank": F.col("_id").bitwiseAND((1 << 33) - 1)})
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))  # one row per range
+    offsets = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_offset"),
+                            F.sum("_n").over(Window.partitionBy(F.lit(1))).alias("total"))
+    return placed.join(F.broadcast(offsets), "_part").withColumn("position", F.col("_offset") + F.col("_rank") + 1).drop("_offset", "_part", "_rank", "_id")
