@@ -1,9 +1,13 @@
 """Approximate nearest neighbours by inner product with a permutation index.
 
-Every vector is represented by its nearest pivots in order and posted in the inverted files of the first of them. A query
-visits the files of its own nearest pivots, ranks their vectors by the footrule distance of the two orders, and the best are
-ranked again by their exact inner products. Vectors get one component more that makes all of them as long as the longest,
-so that nearness and inner product order them alike.
+Every vector is represented by the order in which it is near to a set of pivots. An index block holds an inverted file for each
+pivot: the pivot's place in the order of every vector of the block. A query sums up, over the files, how far its own places
+are off (the footrule distance of the two orders), and the vectors of least distance are ranked again by their exact inner
+products. Vectors get one component more that makes all of them as long as the longest, so that nearness and inner product
+order them alike.
+
+Whole orders are kept and all files are read: on vectors with little structure, orders cut to their first pivots, or visits to
+the nearest files only, lose too many neighbours. Queries meet all rows, in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -20,20 +24,16 @@ from cropledger.session import materialize
 NEIGHBOURS = 20
 PIVOTS = 128  # at most; drawn from the sample
 SAMPLE_ROWS = 4_096  # the rows with the smallest hashed ids, from which pivots are drawn
-PREFIX = 24  # pivots kept of a vector's order
-POSTED = 2  # files in which a vector is posted
-VISIT_SHARE = 0.3  # a query visits files until this share of the postings is seen
-VISIT_ROWS = 4_000  # and as many postings at least
-RERANKED = 400  # vectors of a file ranked again by exact products
-FILE_ROWS = 8_000  # postings of a file in one task
-QUERY_ROWS = 2_000  # visits in one task
+RERANK_SHARE = 0.05  # of a block's vectors are ranked again by exact products
+RERANK_LEAST = 400  # and so many at least
+BLOCK_ROWS = 8_000  # vectors of an index block
+QUERY_ROWS = 2_000  # queries that meet a block in one task
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(vec_id, v) of the vectors that take part: ids and vectors present, finite, not zero, of the commonest length."""
     v = F.col(vec_col).cast("array<double>")
     ok = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), v.alias("v"), F.col(vec_col).alias("_raw"))
     rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull()).where(ok)
     top = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     return rows.where(F.size("v") == (top["n"] if top else 0))
@@ -61,30 +61,32 @@ def lengthened(x: np.ndarray, longest: float) -> np.ndarray:
     return np.hstack([x, rest[:, None]])
 
 
-def _orders(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
-    return np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :prefix].astype(np.int16)
+def _places(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """The place of each pivot in each vector's order, from 0."""
+    order = np.argsort(-(x @ pivots.T), axis=1, kind="stable")
+    places = np.empty(order.shape, dtype=np.int16)
+    np.put_along_axis(places, order, np.arange(order.shape[1], dtype=np.int16)[None, :], axis=1)
+    return places
 
 
-def _search(files: pd.DataFrame, visits: pd.DataFrame, n_pivots: int, prefix: int, reranked: int, k: int) -> pd.DataFrame:
-    """The k best of one file block for each visiting query: footrule distance first, exact products of the best then."""
-    if not len(files) or not len(visits):
+def _search(block: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best of one block for each query: footrule distance first, exact products of the best then."""
+    if not len(block) or not len(asked):
         return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-    files = files.sort_values("vec_id", kind="stable")
-    ids, x, orders = files["vec_id"].to_numpy(), np.stack(files["v"].to_numpy()), np.stack(files["pivots"].to_numpy()).astype(np.int64)
-    place = np.full((len(ids), n_pivots), orders.shape[1], dtype=np.int16)
-    np.put_along_axis(place, orders, np.arange(orders.shape[1], dtype=np.int16)[None, :], axis=1)
-    place = np.ascontiguousarray(place.T)
+    block = block.sort_values("vec_id", kind="stable")
+    ids, x = block["vec_id"].to_numpy(), np.stack(block["v"].to_numpy())
+    files = np.ascontiguousarray(np.stack(block["places"].to_numpy()).T)
+    reranked = max(RERANK_LEAST, int(RERANK_SHARE * len(ids)))
     out = []
-    for query, v, order in zip(visits["query_id"], visits["v"], visits["pivots"]):
-        foot = np.zeros(len(ids), dtype=np.int32)
-        for rank, p in enumerate(order):
-            foot += np.abs(place[p] - np.int16(rank))
+    for query, v, places in zip(asked["query_id"], asked["v"], asked["places"]):
+        foot = np.zeros(len(ids), dtype=np.int16)
+        for file, place in zip(files, places):
+            foot += np.abs(file - place)
         others = np.flatnonzero(ids != query)
         if len(others) > reranked:
             f = foot[others]
             limit = np.partition(f, reranked - 1)[reranked - 1]
-            tied = others[f == limit]
-            sure = others[f < limit]
+            sure, tied = others[f < limit], others[f == limit]  # ties go to smaller ids
             others = np.concatenate([sure, tied[:reranked - len(sure)]])
         score = (x[others] * np.asarray(v)).sum(1)
         best = np.lexsort((ids[others], -score))[:k]
@@ -99,53 +101,29 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, id_col:
     own; a vector row repeated under one id is found once. An empty table gives no rows.
     """
     rows = usable(vectors, id_col, vec_col)
-    top = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()[0]
-    if top is None:
+    size = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), F.count("*")).first()
+    if not size[1]:
         return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    longest = float(np.sqrt(top)) * (1 + 1e-12)
+    longest = float(np.sqrt(size[0])) * (1 + 1e-12)
     pivots = choose_pivots(rows, PIVOTS, SAMPLE_ROWS, longest)
-    n_pivots, prefix = len(pivots), min(PREFIX, len(pivots))
 
-    def represent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def represent(batches: Iterator[pd.DataFrame], own: bool) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                yield b.assign(pivots=list(_orders(lengthened(np.stack(b["v"].to_numpy()), longest), pivots, prefix)))
-
-    index = materialize(rows.mapInPandas(represent, "vec_id bigint, v array<double>, pivots array<smallint>"), "permutations")
-    posted = index.withColumn("pivot", F.explode(F.slice("pivots", 1, POSTED)))
-    sizes = np.zeros(n_pivots, dtype=np.int64)
-    for r in posted.groupBy("pivot").count().collect():  # a number for each pivot
-        sizes[r["pivot"]] = r["count"]
-    enough = min(int(sizes.sum()), max(VISIT_ROWS, int(VISIT_SHARE * sizes.sum()), POSTED * (k + 1)))
-
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
-            x = np.stack(b["v"].to_numpy())
-            order = _orders(np.hstack([x, np.zeros((len(x), 1))]), pivots, n_pivots)
-            seen = np.cumsum(sizes[order], axis=1)
-            count = np.minimum((seen < enough).sum(1) + 1, n_pivots)
-            yield b.assign(pivots=list(order[:, :prefix]), visited=[o[:c] for o, c in zip(order, count)])
+                x = np.stack(b["v"].to_numpy())
+                # A query is not lengthened: its order is that of its inner products.
+                x = lengthened(x, longest) if own else np.hstack([x, np.zeros((len(x), 1))])
+                yield b.assign(places=list(_places(x, pivots)))
 
+    index = materialize(rows.mapInPandas(lambda b: represent(b, True), "vec_id bigint, v array<double>, places array<smallint>"), "permutations")
     asked = usable(queries, id_col, vec_col).where(F.size("v") == pivots.shape[1] - 1).select(F.col("vec_id").alias("query_id"), "v").dropDuplicates(["query_id"])
-    visits = materialize(asked.mapInPandas(visit, "query_id bigint, v array<double>, pivots array<smallint>, visited array<smallint>"), "visits")
-    visits = visits.withColumn("pivot", F.explode("visited")).drop("visited")
-    asks = np.zeros(n_pivots, dtype=np.int64)
-    for r in visits.groupBy("pivot").count().collect():
-        asks[r["pivot"]] = r["count"]
-    cut = {p: (int(max(1, -(-sizes[p] // FILE_ROWS))), int(max(1, -(-asks[p] // QUERY_ROWS)))) for p in range(n_pivots)}
-    blocks = F.create_map(*[x for p, (a, b) in cut.items() for x in (F.lit(p).cast("smallint"), F.struct(F.lit(a).alias("f"), F.lit(b).alias("q")))])
-    every = lambda what: F.explode(F.sequence(F.lit(0), F.element_at(blocks, F.col("pivot")).getField(what) - 1))
-    mine = lambda what, of: F.pmod(F.xxhash64(of), F.element_at(blocks, F.col("pivot")).getField(what)).cast("int")
-    left = posted.withColumn("fb", mine("f", "vec_id")).withColumn("qb", every("q"))
-    right = visits.withColumn("qb", mine("q", "query_id")).withColumn("fb", every("f"))
-
-    def meet(files: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        return _search(files, own, n_pivots, prefix, RERANKED, k)
-
-    block = ["pivot", "fb", "qb"]
-    found = left.groupBy(*block).cogroup(right.groupBy(*block)).applyInPandas(meet, "query_id bigint, vec_id bigint, score double")
+    asked = materialize(asked.mapInPandas(lambda b: represent(b, False), "query_id bigint, v array<double>, places array<smallint>"), "queries")
+    blocks, parts = -(-size[1] // BLOCK_ROWS), max(1, -(-asked.count() // QUERY_ROWS))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(int(n) - 1)))
+    left = index.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("part", every(parts))
+    right = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int")).withColumn("block", every(blocks))
+    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(
+        lambda block, own: _search(block, own, k), "query_id bigint, vec_id bigint, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -389,7 +389,8 @@ def brute_nearest(rows, q, k=20):
 
 
 def test_nearest_recall_and_exact_scores(spark, monkeypatch):
-    monkeypatch.setattr(ann, "VISIT_ROWS", 200)
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 400)
+    monkeypatch.setattr(ann, "RERANK_LEAST", 20)
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(12, 16))
     rows = [(i, (centres[i % 12] + 0.4 * rng.normal(size=16)).tolist(), 0) for i in range(1500)]
