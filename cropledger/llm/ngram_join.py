@@ -260,7 +260,7 @@ def _large_block_links(members: DataFrame, stars: DataFrame, large: DataFrame, c
 def op2_jaccard(docs: DataFrame, n: int = 3, p: int = 90, q: int = 100) -> DataFrame:
     """Per document: size of its set, and the smallest doc_id that it reaches by links (equal sets are linked)."""
     rows = materialize(similarity_classes(docs, n, p, q), "classes")
-    least = rows.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("least"))
+    least = materialize(rows.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("least")), "least")
     out = rows.join(least, "root", "left")
     return out.select("doc_id", F.col("n_grams").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
@@ -269,7 +269,7 @@ def keep_one(docs: DataFrame, n: int = 5, p: int = 8, q: int = 10) -> DataFrame:
     """One document of each group of linked ones, that of the smallest doc_id (then text hash), with its columns as they
     are. Of rows repeated with id and text one stays. Documents without words all stay."""
     rows = materialize(similarity_classes(docs, n, p, q).where(F.col("root").isNotNull()), "classes")
-    first = rows.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("first"))
+    first = materialize(rows.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("first")), "first")
     gone = rows.join(first, "root").where(~F.struct("doc_id", "th").eqNullSafe(F.col("first")))
     gone = materialize(gone.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct(), "gone")
     th = F.xxhash64(text_of(docs["text"]))

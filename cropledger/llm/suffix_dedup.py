@@ -83,25 +83,39 @@ def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
+def _sorted_by(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of keys of so many bits, and where a key differs from the one before. Key and place are sorted as one number
+    where both fit into 64 bits, which is much faster."""
+    n = len(key)
+    width = max(1, n - 1).bit_length()
+    if bits + width <= 64:
+        both = np.sort((key << np.uint64(width)) | np.arange(n, dtype=np.uint64))
+        order, key = (both & np.uint64((1 << width) - 1)).astype(np.int64), both >> np.uint64(width)
+    else:
+        order = np.argsort(key)
+        key = key[order]
+    return order, np.r_[False, key[1:] != key[:-1]]
+
+
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes sorted by their first `depth` bytes at least (prefix doubling from eight bytes on)."""
+    """Suffixes sorted by their first `depth` bytes at least (prefix doubling from a few bytes on)."""
     n = len(text)
-    padded = np.concatenate([text, np.zeros(8, dtype=np.uint8)]).astype(np.uint64)
-    key = np.zeros(n, dtype=np.uint64)
-    for j in range(8):
+    width = max(1, n).bit_length()
+    done = max(1, min(7, (64 - width) // 8))
+    padded = np.concatenate([text, np.zeros(done, dtype=np.uint8)]).astype(np.uint64)
+    key, bits = np.zeros(n, dtype=np.uint64), 8 * done
+    for j in range(done):
         key = (key << np.uint64(8)) | padded[j:n + j]
-    done = 8
     while True:
-        order = np.argsort(key, kind="stable")
-        k = key[order]
-        step = np.r_[False, k[1:] != k[:-1]]
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = np.cumsum(step)
-        if done >= depth or rank[order[-1]] == n - 1:
+        order, step = _sorted_by(key, bits)
+        if done >= depth or step.sum() == n - 1:
             return order
-        later = np.zeros(n, dtype=np.int64)
-        later[:n - done] = rank[done:] + 1 if done < n else 0
-        key = (rank.astype(np.uint64) << np.uint64(32)) | later.astype(np.uint64)
+        rank = np.empty(n, dtype=np.uint64)
+        rank[order] = np.cumsum(step).astype(np.uint64)
+        later = np.zeros(n, dtype=np.uint64)
+        if done < n:
+            later[:n - done] = rank[done:] + np.uint64(1)
+        key, bits = (rank << np.uint64(width)) | later, 2 * width
         done *= 2
 
 
@@ -109,11 +123,9 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, length: int) -> np.ndar
     """For every boundary between neighbours of the suffix order the length of their common prefix, -1 for `length` or more."""
     n = len(text)
     before = text[order - 1]  # the transform; the first suffix is preceded by the last byte
-    counts = np.bincount(before, minlength=256)
     extended = np.empty(n, dtype=np.int64)  # where the suffix one byte longer stands
     by_byte = np.argsort(before, kind="stable")
     extended[by_byte] = np.arange(n)
-    del counts
     prefix = np.full(n + 1, -1, dtype=np.int32)
     prefix[0] = prefix[n] = 0
     low, high = np.zeros(1, dtype=np.int64), np.full(1, n, dtype=np.int64)
@@ -124,7 +136,7 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, length: int) -> np.ndar
         which = np.repeat(np.arange(len(low)), width)
         at = np.arange(len(which)) - np.repeat(np.cumsum(width) - width, width) + np.repeat(low, width)
         to = extended[at]
-        sort = np.argsort(to)
+        sort, _ = _sorted_by(to.astype(np.uint64), n.bit_length())
         to, which, byte = to[sort], which[sort], before[at[sort]]
         first = np.flatnonzero(np.r_[True, (which[1:] != which[:-1]) | (byte[1:] != byte[:-1]) | (to[1:] != to[:-1] + 1)])
         last = np.r_[first[1:], len(to)] - 1
@@ -185,7 +197,8 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Data
     slice_kind = "array<struct<anchor: bigint, a: bigint, b: bigint, first: int, windows: int>>"
     rows = materialize(source.mapInPandas(read, f"doc_id {kind}, tid bigint, n_bytes bigint, sha string, slices {slice_kind}"), "slices")
     every = rows.select("tid", "n_bytes", F.explode("slices").alias("s")).select("tid", "n_bytes", "s.*")
-    common = every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # Written first, so that the join below is one of plain tables, whose hot anchors Spark can split.
+    common = materialize(every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "common-anchors")
     shared = materialize(every.join(common, "anchor"), "shared-slices")
     kinds = shared.groupBy("a", "b").agg(F.min("anchor").alias("anchor"), F.min("windows").alias("windows"), F.count("*").alias("m"),
                                          F.min(F.struct("tid", "n_bytes", "first")).alias("one"))
