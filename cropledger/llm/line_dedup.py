@@ -24,10 +24,18 @@ WIDE_KEY = 32
 
 
 def end_keys(ends: Column, chars: Column) -> Column:
-    """Keys of all variants of a line of so many characters, from the line itself or from its first and last END + 1."""
-    key = lambda v, n: F.xxhash64(n, F.left(v, F.lit(END)), F.right(v, F.lit(END)))
-    less = F.transform(F.sequence(F.lit(1), F.length(ends)), lambda i: key(F.concat(F.left(ends, i - 1), F.substring(ends, i + 1, F.length(ends))), chars - 1))
-    return F.array_distinct(F.concat(F.array(key(ends, chars)), less))
+    """Keys of all variants of a line of so many characters, from the line itself or, for a long one, from its first and last
+    END + 1. Long lines have their variants spelled out place by place, which Spark compiles; places in between give the same
+    key as the last one of the first END + 1."""
+    key = lambda n, head, tail: F.xxhash64(n, head, tail)
+    without = lambda s, i: F.concat(F.substring(s, 1, i - 1), F.substring(s, i + 1, END + 1 - i))
+    head, tail = F.left(ends, F.lit(END + 1)), F.right(ends, F.lit(END + 1))
+    first, last = F.left(ends, F.lit(END)), F.right(ends, F.lit(END))
+    long = F.array(key(chars, first, last), *[key(chars - 1, without(head, i), last) for i in range(1, END + 2)],
+                   *[key(chars - 1, first, without(tail, i)) for i in range(2, END + 2)])
+    whole = lambda v, n: key(n, F.left(v, F.lit(END)), F.right(v, F.lit(END)))
+    short = F.transform(F.sequence(F.lit(1), F.length(ends)), lambda i: whole(F.concat(F.left(ends, i - 1), F.substring(ends, i + 1, F.length(ends))), chars - 1))
+    return F.array_distinct(F.when(chars > 2 * END + 2, long).otherwise(F.concat(F.array(whole(ends, chars)), short)))
 
 
 def whole_keys(line: Column) -> Column:
@@ -72,7 +80,9 @@ def line_status(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     later = F.coalesce(later, F.struct(F.col("x").alias("h1"), F.col("x_h2").alias("h2")))
     near = near.select(later.alias("k")).select("k.*").distinct().withColumn("near", F.lit(True))
     status = kinds.select("h1", "h2", "first").join(near, ["h1", "h2"], "left")
-    return lines.select("doc_id", "th", "line_no", "h1", "h2"), status.select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    # Written, so that a line which stands in many documents is joined to a plain table, which Spark can split.
+    status = materialize(status.select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near")), "line-status")
+    return lines.select("doc_id", "th", "line_no", "h1", "h2"), status
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
