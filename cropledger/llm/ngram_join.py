@@ -1,8 +1,10 @@
 """Exact n-gram Jaccard join with signature trees.
 
 A document is the set of its hashed word n-grams; documents with equal sets are one class. Two sets of the wanted similarity
-differ in few elements, so when the elements are dealt into some more parts than that, at least one part is equal: classes
-that share a part are candidates, and connected candidates form a block. In every block the sets are the leaves of a
+differ in few elements, so when the elements are dealt into a quarter more parts than that, at least that quarter is equal.
+Classes that share as many parts as they must are candidates, and connected candidates form a block. Parts that very many
+classes share (of a common passage, or of a group of near copies) are not paired; they only count for classes that would not
+have enough other parts in common. In every block the sets are the leaves of a
 signature tree, whose nodes hold OR-combined bitmaps of elements and ranges of sizes. A dual traversal from the root leaves
 out each pair of nodes whose largest possible overlap, or whose sizes, cannot reach the similarity, and compares the sets
 of the leaf pairs that remain. Pairs that are already known to be connected need not be compared.
@@ -22,6 +24,8 @@ from cropledger.llm.components import components
 from cropledger.session import materialize, maybe_broadcast
 
 FANOUT = 8
+#: A part that more classes share is wide: its classes are not paired with each other.
+WIDE_PART = 32
 #: Blocks of more classes are compared in pairs of chunks of CHUNK_ROWS, after their stars are known.
 BLOCK_ROWS = 400
 CHUNK_ROWS = 200
@@ -65,13 +69,13 @@ class Levels:
             self.low.append(self.low[-1] * self.q * self.q // (self.p * self.p) + 1)
         return int(np.searchsorted(self.low, n, side="right")) - 1
 
-    def keys(self, grams: np.ndarray) -> np.ndarray:
-        """Hashes of (level, part, elements in the part) by which the set meets every similar, not equal set."""
-        n = len(grams)
+    def keys(self, grams: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+        """(level, spare, keys) at each level: hashes of (level, part, elements in the part). Of the parts of this set, similar
+        sets that meet it there have at least `spare` in common."""
+        n, out = len(grams), []
         if not n:
-            return grams
+            return out
         band = self.band(n)
-        out = []
         for level in (band, band + 1):
             if level > band and n * self.q // self.p < self.low[level]:
                 continue
@@ -79,16 +83,17 @@ class Levels:
                 self.low.append(self.low[-1] * self.q * self.q // (self.p * self.p) + 1)
             differ = 2 * (self.low[level + 1] - 1) * (self.q - self.p) // (self.q + self.p)
             if not differ:
-                continue
-            parts = differ + 2 + differ // 16
+                continue  # only equal sets are similar
+            parts = differ + 2 + differ // 4
             part = ((grams >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # rises with the sorted hashes
             first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
             salt = np.uint64((level + 1) * 0x9E3779B97F4A7C15 % 2**64)
-            out.append(_mix(np.add.reduceat(_mix(grams ^ salt), first) + _mix(part[first] + salt)))
+            keys = _mix(np.add.reduceat(_mix(grams ^ salt), first) + _mix(part[first] + salt))
             if len(first) <= differ:  # so many parts are empty that an equal one may be: those count as well
                 empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[first])
-                out.append(_mix(_mix(empty + salt)))
-        return np.concatenate(out) if out else grams[:0]
+                keys = np.concatenate([keys, _mix(_mix(empty + salt))])
+            out.append((level, len(first) - differ, keys))
+        return out
 
 
 def similar(x: np.ndarray, y: np.ndarray, p: int, q: int) -> bool:
@@ -162,6 +167,87 @@ def _links(ids: list[int], group: np.ndarray, sets: list[np.ndarray], p: int, q:
     return out
 
 
+def _class_of(grams: np.ndarray) -> int | None:
+    return int(_mix(_mix(grams).sum(keepdims=True) + np.uint64(len(grams))).view(np.int64)[0]) if len(grams) else None
+
+
+def _meetings(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
+    """(x, y, level, spare of x, wide) from postings sorted by key and class: all pairs x < y of a key, or, for a wide key, every
+    class x and the first one y. No more than `most` classes of a key are held at a time."""
+    key, last, wide, seen, out = None, None, False, [], []
+
+    def close() -> None:
+        out.extend((a[0], b[0], a[1], a[2], False) for i, a in enumerate(seen) for b in seen[i + 1:])
+
+    def flush() -> pd.DataFrame:
+        made = pd.DataFrame(out, columns=["x", "y", "level", "spare", "wide"])
+        out.clear()
+        return made.astype({"x": "int64", "y": "int64", "level": "int32", "spare": "int32", "wide": "bool"})
+
+    for b in batches:
+        if not len(b):
+            continue
+        k, c, level, spare = (b[x].to_numpy() for x in ("key", "cls", "level", "spare"))
+        more = np.r_[True, k[1:] == k[:-1]]  # keys that stand alone within the batch are passed over
+        at = np.flatnonzero(more | np.r_[more[1:], True])
+        for key_i, c_i, level_i, spare_i in zip(k[at].tolist(), c[at].tolist(), level[at].tolist(), spare[at].tolist()):
+            if key_i != key:
+                close()
+                key, last, wide, seen = key_i, None, False, []
+            if c_i == last:
+                continue
+            last = c_i
+            if not wide:
+                seen.append((c_i, level_i, spare_i))
+                if len(seen) > most:
+                    wide, hub = True, seen[0][0]
+                    out.extend((m[0], hub, m[1], m[2], True) for m in seen)
+                    seen = []
+            else:
+                out.append((c_i, hub, level_i, spare_i, True))
+        if out:
+            yield flush()
+    close()
+    if out:
+        yield flush()
+
+
+def _candidates(source: DataFrame, n: int, p: int, q: int) -> DataFrame:
+    """(cls, hub): edges that connect all classes which may be similar.
+
+    Of x's parts, similar classes share `spare` at least; of those that are not wide, `spare` less the number of x's wide parts.
+    Where that is one or more, the pair meets in parts that are paired, and pairs with fewer meetings go. Where it is none,
+    for both, x and y share a wide part, and their edges to its first class connect them.
+    """
+
+    def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        levels, done = Levels(p, q), set()
+        for b in batches:
+            made = []
+            for text in b["text"]:
+                g = gram_set(text, n)
+                cls = _class_of(g)
+                if cls is None or cls in done:
+                    continue  # equal sets are posted once by a task
+                done.add(cls)
+                made += [(cls, level, spare, keys) for level, spare, keys in levels.keys(g)]
+            for i in range(0, len(made), 256):
+                some = made[i:i + 256]
+                size = [len(m[3]) for m in some]
+                yield pd.DataFrame({"key": np.concatenate([m[3] for m in some]).view(np.int64), "cls": np.repeat([m[0] for m in some], size),
+                                    "level": np.repeat([m[1] for m in some], size).astype(np.int32), "spare": np.repeat([m[2] for m in some], size).astype(np.int32)})
+
+    posted = source.select("text").mapInPandas(post, "key bigint, cls bigint, level int, spare int")
+    most = WIDE_PART
+    met = posted.repartition("key").sortWithinPartitions("key", "cls").mapInPandas(lambda batches: _meetings(batches, most), "x bigint, y bigint, level int, spare int, wide boolean")
+    met = materialize(met, "meetings")
+    wide = materialize(met.where("wide").groupBy("x", "level").agg(F.count("*").alias("n_wide")), "wide-parts")
+    pairs = met.where("not wide").groupBy("x", "y", "level").agg(F.count("*").alias("n"), F.min("spare").alias("spare")).join(wide, ["x", "level"], "left")
+    pairs = pairs.where(F.col("n") >= F.greatest(F.lit(1), F.col("spare") - F.coalesce("n_wide", F.lit(0)))).select(F.col("y").alias("cls"), F.col("x").alias("hub"))
+    hubs = met.where("wide and x <> y").join(wide, ["x", "level"]).where("spare <= n_wide").select(F.col("x").alias("cls"), F.col("y").alias("hub"))
+    return pairs.union(hubs).distinct()
+
+
 def similarity_classes(docs: DataFrame, n: int, p: int, q: int) -> DataFrame:
     """doc_id, th (hash of the text), n_grams, cls and root of every row: equal sets have one cls, linked ones one root.
 
@@ -170,21 +256,13 @@ def similarity_classes(docs: DataFrame, n: int, p: int, q: int) -> DataFrame:
     source = docs.select("doc_id", F.xxhash64(text_of()).alias("th"), text_of().alias("text"))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        levels = Levels(p, q)
         for b in batches:
-            size, cls, keys = [], [], []
-            for text in b["text"]:
-                g = gram_set(text, n)
-                size.append(len(g))
-                cls.append(int(_mix(_mix(g).sum(keepdims=True) + np.uint64(len(g))).view(np.int64)[0]) if len(g) else None)
-                keys.append(levels.keys(g).view(np.int64))
-            yield b[["doc_id", "th"]].assign(n_grams=size, cls=pd.array(cls, dtype="Int64"), keys=keys)
+            sets = [gram_set(text, n) for text in b["text"]]
+            yield b[["doc_id", "th"]].assign(n_grams=[len(g) for g in sets], cls=pd.array([_class_of(g) for g in sets], dtype="Int64"))
 
     kind = dict(docs.dtypes)["doc_id"]
-    rows = materialize(source.mapInPandas(read, f"doc_id {kind}, th bigint, n_grams bigint, cls bigint, keys array<bigint>"), "gram-sets")
-    posted = rows.select(F.explode("keys").alias("key"), "cls")
-    shared = posted.groupBy("key").agg(F.min("cls").alias("hub"), F.max("cls").alias("other")).where("hub <> other").select("key", "hub")
-    stars = materialize(posted.join(shared, "key").where("cls <> hub").groupBy("cls", "hub").agg(F.lit(1)).select("cls", "hub"), "stars")
+    rows = materialize(source.mapInPandas(read, f"doc_id {kind}, th bigint, n_grams bigint, cls bigint"), "gram-sets")
+    stars = materialize(_candidates(source, n, p, q), "stars")
     blocks = components(stars.select(F.col("cls").alias("a"), F.col("hub").alias("b")))
     links = materialize(_block_links(source, rows, stars, blocks, n, p, q), "links")
     found = components(links).select(F.col("node").alias("cls"), "root")

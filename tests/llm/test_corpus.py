@@ -105,7 +105,9 @@ def test_jaccard_components_are_those_of_brute_force(spark, n, p, q):
     assert [got[i]["component_id"] for i in range(len(texts))] == comp
 
 
-def test_jaccard_large_blocks_by_chunks(spark, monkeypatch):
+@pytest.mark.parametrize("wide", [32, 1, 3])
+def test_jaccard_large_blocks_by_chunks(spark, monkeypatch, wide):
+    monkeypatch.setattr(ngram_join, "WIDE_PART", wide)
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 5)
     monkeypatch.setattr(ngram_join, "CHUNK_ROWS", 3)
     texts = near_texts(random.Random(8), groups=5, copies=30, words=40)
@@ -123,7 +125,9 @@ def test_similar_sets_always_share_a_key():
             drop, add = int(rng.integers(0, len(x) // 3 + 1)), int(rng.integers(0, len(x) // 3 + 1))
             y = np.unique(np.r_[rng.permutation(x)[drop:], rng.integers(0, 2**63, add).astype(np.uint64)])
             if len(y) and ngram_join.similar(x, y, p, q) and not np.array_equal(x, y):
-                assert set(levels.keys(x).tolist()) & set(levels.keys(y).tolist())
+                mine, other = ({level: (spare, set(keys.tolist())) for level, spare, keys in levels.keys(s)} for s in (x, y))
+                shared = {level: len(mine[level][1] & other[level][1]) for level in mine if level in other}
+                assert any(shared[level] >= max(1, mine[level][0], other[level][0]) for level in shared)
 
 
 def test_keep_one_keeps_columns_first_rows_and_wordless_rows(spark):
