@@ -27,6 +27,7 @@ from cropledger.llm.common import schema_of
 #: Pages that the trees are trained on, at most: those of the smallest hashed ids among the pages with a landmark.
 FIT_PAGES = 400
 LAYOUTS = 5  # rebuilt forms of each of them
+PAGES_AT_ONCE = 128
 TREES, DEPTH, RATE, BINS = 60, 4, 0.2, 24
 
 # Elements and names.
@@ -155,11 +156,11 @@ def nodes_of(root: Node) -> list[Node]:
     return out
 
 
-def homes(nodes: list[Node]) -> np.ndarray:
+def homes(nodes: list[Node]) -> list[int]:
     """For every node the block that its text belongs to: itself, or the block around an inline element."""
-    out = np.zeros(len(nodes), dtype=np.int64)
+    out: list[int] = []
     for i, x in enumerate(nodes):
-        out[i] = i if x.tag in BLOCKS or i == 0 else out[x.parent.index]
+        out.append(i if x.tag in BLOCKS or i == 0 else out[x.parent.index])
     return out
 
 
@@ -172,69 +173,68 @@ FEATURES = (["depth", "own chars", "chars", "share of page", "links", "commas",
             + [f"{k} name" for k in SIDE_NAMES] + ["main name"] + [f"{k} above" for k in SIDE_NAMES] + ["main above", "form above", "furniture above", "landmark above", "link above"])
 
 
+_FLAGS = {t: i for i, ts in enumerate((
+    ("ul", "ol", "li", "dl"), ("h1", "h2", "h3", "h4", "h5", "h6"), ("p",), ("blockquote", "pre"), ("table", "tr", "td", "th"),
+    ("form", "input", "button", "select", "textarea", "label", "fieldset"), LANDMARKS, ("nav", "footer", "header", "aside"))) for t in ts}
+
+
 def features(nodes: list[Node]) -> np.ndarray:
-    n, kinds = len(nodes), len(SIDE_NAMES)
-    parent = np.array([x.parent.index if x.parent is not None else -1 for x in nodes])
-    own, link, comma, block, words, depth = (np.zeros(n) for _ in range(6))
-    name = np.zeros((n, kinds + 1))
-    flag = np.zeros((n, 8))
-    link_tag = np.zeros(n)
+    """One row for each node. Plain lists in the loops: pages are small, and there are many."""
+    n, kinds, flags = len(nodes), len(SIDE_NAMES), 8
+    width = flags + (kinds + 1) + (kinds + 5)
     home = homes(nodes)
-    linked = np.zeros(n)  # characters of links that count as a block's own text
-    in_link, hidden = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+    own, links, comma, words, block = ([0.0] * n for _ in range(5))
+    in_link, hidden, above = [False] * n, [False] * n, [0] * n  # above: bits of what the ancestors are
+    here, marks, depth = [0] * n, [0] * n, [0] * n
     for i, x in enumerate(nodes):
-        up = parent[i]
-        hidden[i] = x.hidden or (i > 0 and hidden[up])
-        in_link[i] = x.tag == "a" or (i > 0 and in_link[up] and x.tag not in BLOCKS)
+        t, up = x.tag, x.parent.index if i else 0
+        hidden[i] = x.hidden or hidden[up]
+        in_link[i] = t == "a" or (in_link[up] and t not in BLOCKS)
         if not hidden[i]:
-            text = " ".join(p for p in x.parts if type(p) is str)
+            text = " ".join([p for p in x.parts if type(p) is str])
             if text and not text.isspace():
-                h, size = home[i], len(text) - text.count(" ")
+                h, blanks = home[i], text.count(" ")
+                size = len(text) - blanks
                 own[h] += size
-                linked[h] += size * in_link[i]
+                links[h] += size * in_link[i]
                 comma[h] += text.count(",") + text.count(".")
-                words[h] += text.count(" ") + 1
-        t = x.tag
-        block[i], link_tag[i] = t in BLOCKS, t == "a"
-        flag[i] = (t in ("ul", "ol", "li", "dl"), t in ("h1", "h2", "h3", "h4", "h5", "h6"), t == "p", t in ("blockquote", "pre"), t in ("table", "tr", "td", "th"),
-                   t in ("form", "input", "button", "select", "textarea", "label", "fieldset"), t in LANDMARKS, t in ("nav", "footer", "header", "aside"))
+                words[h] += blanks + 1
+        block[i] = 1.0 if t in BLOCKS else 0.0
+        flag, names = _FLAGS.get(t), 0
         if x.names:
             for w in _WORDS.findall(x.names):
-                if w in _KINDS:
-                    name[i, _KINDS[w]] = 1
-                elif w in _MAIN:
-                    name[i, kinds] = 1
-    above = np.zeros((n, kinds + 5))
-    here = np.hstack([name, flag[:, 5:6], flag[:, 7:8], flag[:, 6:7], link_tag[:, None]])
-    for i in range(1, n):
-        p = parent[i]
-        depth[i] = depth[p] + 1
-        above[i] = np.maximum(above[p], here[p])
-    total, links, commas, blocks, count = own.copy(), linked, comma.copy(), block.copy(), words.copy()
+                names |= 1 << _KINDS[w] if w in _KINDS else 1 << kinds if w in _MAIN else 0
+        marks[i] = (1 << flag if flag is not None else 0) | names << flags
+        here[i] = names | (flag == 5) << kinds + 1 | (flag == 7) << kinds + 2 | (flag == 6) << kinds + 3 | (t == "a") << kinds + 4
+        if i:
+            depth[i], above[i] = depth[up] + 1, above[up] | here[up]
+    total, commas, blocks, count = own[:], comma[:], block[:], words[:]
     for i in range(n - 1, 0, -1):
-        p = parent[i]
+        p = nodes[i].parent.index
         total[p] += total[i]
         commas[p] += commas[i]
         blocks[p] += blocks[i]
         count[p] += count[i]
         links[p] += links[i]
-    place, many, like, before, after, longest = (np.zeros(n) for _ in range(6))
+    place, many, like, before, after, longest = ([0.0] * n for _ in range(6))
     for x in nodes:
-        c = [k.index for k in x.children]
-        if c:
-            size = total[c]
-            place[c] = np.arange(len(c)) / max(1, len(c) - 1)
-            many[c] = len(c)
-            tags = [k.tag for k in x.children]
-            like[c] = [tags.count(t) for t in tags] if len(c) < 200 else len(c)
-            before[c], after[c] = np.r_[0, size[:-1]], np.r_[size[1:], 0]
-            longest[c] = size.max()
-    page = max(1.0, total[0])
-    start = np.cumsum(own) - own
-    log = np.log1p
+        if x.children:
+            c = [k.index for k in x.children]
+            tags: dict[str, int] = {}
+            for k in x.children:
+                tags[k.tag] = tags.get(k.tag, 0) + 1
+            most, last = max([total[k] for k in c]), max(1, len(c) - 1)
+            for j, k in enumerate(c):
+                place[k], many[k], like[k], longest[k] = j / last, len(c), tags[nodes[k].tag], most
+                before[k] = total[c[j - 1]] if j else 0.0
+                after[k] = total[c[j + 1]] if j + 1 < len(c) else 0.0
+    depth, own, total, links, commas, blocks, count, place, many, like, before, after, longest = np.array(
+        [depth, own, total, links, commas, blocks, count, place, many, like, before, after, longest], dtype=float)
+    start, page, log = np.cumsum(own) - own, max(1.0, total[0]), np.log1p
     shape = np.stack([depth, log(own), log(total), total / page, links / (total + 1), commas / (total + 1), blocks / (total + 1), total / (count + 1), place, log(many),
                       log(like), log(before), log(after), log(longest), start / page, (start + total) / page], axis=1)
-    return np.hstack([shape, flag, name, above])
+    bits = np.array([m | a << flags + kinds + 1 for m, a in zip(marks, above)], dtype=np.int64)
+    return np.hstack([shape, (bits[:, None] >> np.arange(width)) & 1])
 
 
 class BoostedTrees:
@@ -285,12 +285,13 @@ class BoostedTrees:
 
     def log_odds(self, x: np.ndarray) -> np.ndarray:
         b = self._binned(x, self.edges)
+        flat, row = b.ravel(), np.arange(len(x)) * x.shape[1]
         z = np.full(len(x), self.base)
         for feature, cut, value in self._flat():
             at = np.zeros(len(x), dtype=np.int64)
             for _ in range(DEPTH):
                 f = feature[at]
-                at = np.where(f < 0, at, 2 * at + 1 + (b[np.arange(len(x)), f] > cut[at]))
+                at = np.where(f < 0, at, 2 * at + 1 + (flat[row + f] > cut[at]))
             z += value[at]
         return z
 
@@ -312,20 +313,17 @@ def decode(nodes: list[Node], odds: np.ndarray, own: np.ndarray) -> np.ndarray:
     """Which nodes' own texts are taken. Every text votes with its log-odds times its size; a subtree is taken or left out as
     one, or divided at some cost, whichever sums to most."""
     n = len(nodes)
-    vote = odds * np.sqrt(own)
-    whole = vote.copy()
+    vote = (odds * np.sqrt(own)).tolist()
+    whole, below, divide = vote[:], [0.0] * n, [False] * n
     for i in range(n - 1, 0, -1):
         whole[nodes[i].parent.index] += whole[i]
-    best, divide = np.zeros(n), np.zeros(n, dtype=bool)
-    below = np.zeros(n)
     for i in range(n - 1, -1, -1):
-        split = below[i] + max(vote[i], 0) - 1.0
-        best[i] = max(whole[i], 0.0)
-        if nodes[i].children and split > best[i]:
-            best[i], divide[i] = split, True
+        best, split = max(whole[i], 0.0), below[i] + max(vote[i], 0.0) - 1.0
+        if nodes[i].children and split > best:
+            best, divide[i] = split, True
         if i:
-            below[nodes[i].parent.index] += best[i]
-    state, taken = np.zeros(n, dtype=np.int8), np.zeros(n, dtype=bool)  # 0: open, 1: taken, -1: left out
+            below[nodes[i].parent.index] += best
+    state, taken = [0] * n, np.zeros(n, dtype=bool)  # 0: open, 1: taken, -1: left out
     for i, node in enumerate(nodes):
         s = state[node.parent.index] if i else 0
         if s == 0 and not divide[i]:
@@ -520,14 +518,18 @@ def fit_extractor(pages: DataFrame, rows: int = FIT_PAGES) -> BoostedTrees | Non
     return BoostedTrees.fit(x, y, w) if 0 < y.mean() < 1 else None
 
 
-def main_text(page: str | None, model: BoostedTrees | None) -> str:
-    """The page's main text. Without a model all text that is shown is taken."""
-    nodes = nodes_of(parse(page))
+def main_texts(pages: list[str | None], model: BoostedTrees | None) -> list[str]:
+    """The main text of each page; the trees look at the nodes of all of them at once. Without a model all text that is shown is taken."""
+    trees = [nodes_of(parse(p)) for p in pages]
     if model is None:
-        return text_of_nodes(nodes, np.ones(len(nodes), dtype=bool))
-    x = features(nodes)
-    own = np.expm1(x[:, 1])
-    return text_of_nodes(nodes, decode(nodes, model.log_odds(x), own)[homes(nodes)])
+        return [text_of_nodes(nodes, np.ones(len(nodes), dtype=bool)) for nodes in trees]
+    x = [features(nodes) for nodes in trees]
+    odds = np.split(model.log_odds(np.vstack(x)), np.cumsum([len(nodes) for nodes in trees])[:-1])
+    return [text_of_nodes(nodes, decode(nodes, z, np.expm1(f[:, 1]))[homes(nodes)]) for nodes, z, f in zip(trees, odds, x)]
+
+
+def main_text(page: str | None, model: BoostedTrees | None) -> str:
+    return main_texts([page], model)[0]
 
 
 def extract(pages: DataFrame, model: BoostedTrees | None, keep: list[str]) -> DataFrame:
@@ -536,7 +538,8 @@ def extract(pages: DataFrame, model: BoostedTrees | None, keep: list[str]) -> Da
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            text = [main_text(h, model) for h in b["_html"]]
+            html = b["_html"].tolist()
+            text = [t for i in range(0, len(html), PAGES_AT_ONCE) for t in main_texts(html[i:i + PAGES_AT_ONCE], model)]
             yield b[keep].assign(text=text, n_chars=[len(t) for t in text])
 
     return source.mapInPandas(run, schema_of(source, keep, "text string, n_chars bigint"))
