@@ -53,6 +53,12 @@ class PriceCube:
         q = quantiles(self.panel, keys, "price", [0.5])
         return materialize(q.select(*keys, F.col("q")[0].alias(name)), "medians")
 
+    def medians_by(self, names: dict[str, str]) -> dict[str, DataFrame]:
+        """Exact medians by each of several columns, in the passes of one quantile: every row counts for each column."""
+        rows = self.panel.select("price", F.explode(F.array(*[F.struct(F.lit(k).alias("grain"), F.col(k).alias("key")) for k in names])).alias("g"))
+        q = materialize(quantiles(rows.select("g.*", "price"), ["grain", "key"], "price", [0.5]), "medians")
+        return {k: q.filter(F.col("grain") == k).select(F.col("key").alias(k), F.col("q")[0].alias(n)) for k, n in names.items()}
+
     def attach(self, df: DataFrame, rolled: DataFrame, keys: Sequence[str]) -> DataFrame:
         """Each rolled table is broadcast by its own size: few states are broadcast however many cells there are."""
         return df.join(F.broadcast(rolled) if self.small else maybe_broadcast(materialize(rolled, "rolled"), self.limit), list(keys), "left")
@@ -122,13 +128,14 @@ def group_features(df: DataFrame, cube: PriceCube) -> DataFrame:
 
     In a small cube every cell first gets the figures of all its grains, and the panel is joined once.
     """
+    median = cube.medians_by({"state": "state_price_median", "crop": "crop_price_median"})
     place, cell = ["state", "district"], [*SERIES_KEYS, "month"]
     grains = [
-        (cube.stats(["state"], "state_price", ["avg", "std"]).join(cube.medians(["state"], "state_price_median"), "state", "left")
+        (cube.stats(["state"], "state_price", ["avg", "std"]).join(median["state"], "state", "left")
          .join(cube.cells.groupBy("state").agg(F.sum("rows").alias("state_frequency")), "state"), ["state"]),
         (cube.stats(place, "district_price", ["avg", "std"]), place),
         (cube.cells.groupBy("district").agg(F.sum("rows").alias("district_frequency")), ["district"]),
-        (cube.stats(["crop"], "crop_price", ["avg", "std", "min", "max"]).join(cube.medians(["crop"], "crop_price_median"), "crop", "left")
+        (cube.stats(["crop"], "crop_price", ["avg", "std", "min", "max"]).join(median["crop"], "crop", "left")
          .join(cube.cells.groupBy("crop").agg(F.sum("rows").alias("crop_frequency")), "crop"), ["crop"]),
         (cube.stats(["state", "crop"], "state_crop_price", ["avg", "std"]), ["state", "crop"]),
         (cube.stats(["state", "month"], "state_month_price", ["avg"]), ["state", "month"]),
