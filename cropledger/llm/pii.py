@@ -1,7 +1,8 @@
 """Format-preserving pseudonyms for personal numbers and dates.
 
-Values are found by their format and validated (check digits, number plans, calendar). Their digits are permuted by a keyed
-Feistel network over all values of the format, so a pseudonym has the format of its value, passes the same validation, and
+Values are found by their format and validated (check digits, social security number rules, calendar; phones by their format
+alone). Their digits are permuted by a keyed
+Feistel network over all values of the format, so a pseudonym has the format of its value, passes the same validation (a phone number of the number plan stays in it), and
 equal values, however they are punctuated, have equal pseudonyms in all documents. Whoever has the key can invert it.
 """
 
@@ -128,10 +129,12 @@ class Pseudonyms:
         d = value.replace("-", "")
         return _refill(value, self.digits(d, "ssn", _ssn_ok)) if _ssn_ok(d) else None
 
-    def _phone(self, value: str) -> str | None:
+    def _phone(self, value: str) -> str:
         d = re.sub(r"\D", "", value)
         own = d[-10:]
-        return _refill(value, d[:-10] + self.digits(own, "phone", _phone_ok)) if _phone_ok(own) else None
+        # Numbers of the plan stay in it, and the others outside: whatever has the format is somebody's number.
+        planned = _phone_ok(own)
+        return _refill(value, d[:-10] + self.digits(own, "phone", lambda x: _phone_ok(x) == planned))
 
     def _ip(self, value: str) -> str | None:
         parts = value.split(".")
