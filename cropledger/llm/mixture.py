@@ -1,7 +1,8 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Tokens are summed by source, language and topic. The cells' weights are raked to the target shares of one dimension after the
-other, again and again, until all marginals hold; documents are then sampled with probabilities in proportion to the weights.
+other, again and again, until all marginals hold; documents are then sampled in proportion to the weights. Where that is more
+than once, whole copies are drawn, so the sample holds the marginals too: a probability, which 1 bounds, could not.
 """
 
 from __future__ import annotations
@@ -44,6 +45,17 @@ def with_cells(docs: DataFrame) -> DataFrame:
     return rows.select("_row", blank("source").alias("_source"), blank("lang").alias("_lang"), topic_of(text, F.col("_tokens")).alias("_topic"), "_tokens")
 
 
+def target_shares(cells: DataFrame, d: str, flatten: float = FLATTEN, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(d, share): shares as parts of one, among the values that hold tokens."""
+    if targets and d in targets:
+        aim = targets[d].select(F.col("value").alias(d), "share")
+    else:
+        aim = cells.groupBy(d).agg(F.sum("tokens").alias("t")).select(d, F.pow(F.col("t").cast("double"), F.lit(flatten)).alias("share"))
+    aim = cells.where("tokens > 0").select(d).distinct().join(aim, d)
+    whole = aim.agg(F.sum("share")).first()[0] or 1.0
+    return aim.withColumn("share", F.col("share") / whole)
+
+
 def rake(cells: DataFrame, dims: list[str], rounds: int = ROUNDS, flatten: float = FLATTEN, targets: dict[str, DataFrame] | None = None) -> DataFrame:
     """Cells (dims, tokens) with `weight`: tokens * weight has the target share of each value of each dimension.
 
@@ -51,15 +63,7 @@ def rake(cells: DataFrame, dims: list[str], rounds: int = ROUNDS, flatten: float
     share get weight 0. Sums are combined in the map tasks; every round is written to the shared folder.
     """
     total = cells.agg(F.sum("tokens")).first()[0] or 0
-    aims = []
-    for d in dims:
-        if targets and d in targets:
-            aim = targets[d].select(F.col("value").alias(d), "share")
-        else:
-            aim = cells.groupBy(d).agg(F.sum("tokens").alias("t")).select(d, F.pow(F.col("t").cast("double"), F.lit(flatten)).alias("share"))
-        aim = cells.where("tokens > 0").select(d).distinct().join(aim, d)  # shares as parts of one, among values that hold tokens
-        whole = aim.agg(F.sum("share")).first()[0] or 1.0
-        aims.append(materialize(aim.withColumn("share", F.col("share") / whole), f"aim{d}"))
+    aims = [materialize(target_shares(cells, d, flatten, targets), f"aim{d}") for d in dims]
     fitted = cells.withColumn("weight", F.lit(1.0))
     for _ in range(rounds):
         for d, aim in zip(dims, aims):
@@ -71,19 +75,24 @@ def rake(cells: DataFrame, dims: list[str], rounds: int = ROUNDS, flatten: float
 
 
 def calibrate(cells: DataFrame, keep: float = KEEP) -> DataFrame:
-    """Cells with `p`, their documents' probability: weights times one factor, 1 at most, so that `keep` of the tokens is
-    expected. Cells that would pass 1 are taken whole, and the factor of the others rises."""
+    """Cells with `expected`, the copies of each of their documents in a sample that holds the targets: weights times one factor,
+    so that `keep` of the tokens is expected, copies counted, or less where it would be more than `keep` of the documents (a
+    column `docs` counts them): short texts of much weight would make a sample of more rows than there are documents. And with `p`, for a sample that holds every document once at most:
+    1 at most, cells that would pass 1 are taken whole, and the factor of the others rises. Such a sample misses the targets."""
     total, weighted = cells.agg(F.sum("tokens"), F.sum(F.col("tokens") * F.col("weight"))).first()
     if not total or not weighted:
-        return cells.withColumn("p", F.lit(0.0))
-    factor = keep * total / weighted
+        return cells.withColumns({"p": F.lit(0.0), "expected": F.lit(0.0)})
+    factor = rate = keep * total / weighted
+    if "docs" in cells.columns:
+        have, drawn = cells.agg(F.sum("docs"), F.sum(F.col("docs") * F.col("weight"))).first()
+        rate = min(rate, keep * have / drawn)
     for _ in range(CAP_ROUNDS):
         full = F.col("weight") * factor >= 1
         r = cells.agg(F.coalesce(F.sum(F.when(full, F.col("tokens"))), F.lit(0)).alias("t"), F.sum(F.when(~full, F.col("tokens") * F.col("weight"))).alias("w")).first()
         if not r["w"] or keep * total <= r["t"]:
             break
         factor = (keep * total - r["t"]) / r["w"]
-    return cells.withColumn("p", F.least(F.lit(1.0), F.col("weight") * factor))
+    return cells.withColumns({"p": F.least(F.lit(1.0), F.col("weight") * factor), "expected": F.col("weight") * rate})
 
 
 def draw(doc_id: Column) -> Column:
@@ -91,30 +100,76 @@ def draw(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / float(2**32)
 
 
-def mix(docs: DataFrame, keep: float = KEEP) -> DataFrame:
-    """_row (all columns), _source, _lang, _topic, _tokens, weight, p and kept of every document.
+def _cells(rows: DataFrame) -> DataFrame:
+    return materialize(rows.groupBy(*[f"_{d}" for d in DIMENSIONS]).agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("docs")), "cells")
 
-    A document without tokens is drawn like the others of its cell. An empty table gives no rows.
-    """
-    rows = with_cells(docs)
+
+def _own(targets: dict[str, DataFrame] | None) -> dict[str, DataFrame] | None:
+    if unknown := set(targets or {}) - set(DIMENSIONS):
+        raise ValueError(f"targets for {sorted(unknown)}; the dimensions are {DIMENSIONS}")
+    return {f"_{d}": t for d, t in targets.items()} if targets else None
+
+
+def _drawn(rows: DataFrame, cells: DataFrame, keep: float, targets: dict[str, DataFrame] | None) -> DataFrame:
     dims = [f"_{d}" for d in DIMENSIONS]
-    cells = materialize(rows.groupBy(*dims).agg(F.sum("_tokens").alias("tokens")), "cells")
-    fitted = materialize(calibrate(rake(cells, dims), keep).drop("tokens"), "calibrated")
+    fitted = materialize(calibrate(rake(cells, dims, targets=targets), keep).drop("tokens", "docs"), "calibrated")
     on = reduce(lambda a, b: a & b, [rows[d] == fitted[d] for d in dims])
-    both = rows.join(maybe_broadcast(fitted), on).select("_row", *[rows[d] for d in dims], "_tokens", "weight", "p")
-    return both.withColumn("kept", draw(F.col("_row.doc_id")) < F.col("p"))
+    both = rows.join(maybe_broadcast(fitted), on).select("_row", *[rows[d] for d in dims], "_tokens", "weight", "p", "expected")
+    u = draw(F.col("_row.doc_id"))
+    copies = F.floor("expected") + (u < F.col("expected") - F.floor("expected")).cast("bigint")
+    # More copies of a document without tokens would add nothing to any share.
+    return both.withColumns({"kept": u < F.col("p"), "copies": F.when(F.col("_tokens") > 0, copies).otherwise(F.least(copies, F.lit(1)))})
+
+
+def mix(docs: DataFrame, keep: float = KEEP, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+    """_row (all columns), _source, _lang, _topic, _tokens, weight, p, expected, kept and copies of every document.
+
+    `copies` make the sample that holds the targets, `kept` the one without repeats. targets: by name of a dimension a table
+    (value, share) of one's own. A document without tokens is drawn like the others of its cell, once at most. An empty table
+    gives no rows.
+    """
+    rows = with_cells(docs)
+    return _drawn(rows, _cells(rows), keep, _own(targets))
 
 
 def op8_mixture(docs: DataFrame) -> DataFrame:
-    """Cell, weight, probability and decision of every document."""
+    """Cell, weight, and probability and decision of every document where none may be repeated."""
     m = mix(docs.select("doc_id", "text", "source", "lang"))
     return m.select("_row.doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"),
                     F.col("_tokens").alias("tokens"), F.round("weight", 6).alias("weight"), F.round("p", 6).alias("p"), "kept")
 
 
-def keep_sampled(docs: DataFrame, keep: float = KEEP) -> DataFrame:
-    """The sampled documents with their columns as they are."""
-    return mix(docs, keep).where("kept").select("_row.*")
+def op8_copies(docs: DataFrame) -> DataFrame:
+    """Cell, weight, expected and drawn copies of every document; the copies together hold the targets."""
+    m = mix(docs.select("doc_id", "text", "source", "lang"))
+    return m.select("_row.doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"),
+                    F.col("_tokens").alias("tokens"), F.round("weight", 6).alias("weight"), F.round("expected", 6).alias("expected"), "copies")
+
+
+def op8_shares(docs: DataFrame, keep: float = KEEP, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Of each value of each dimension its share of the tokens: in the documents, as a target, expected and drawn in the sample
+    of copies, and drawn in the one without repeats."""
+    own = _own(targets)
+    rows = with_cells(docs.select("doc_id", "text", "source", "lang"))
+    cells = _cells(rows)
+    of = {"input_share": F.col("_tokens"), "expected_share": F.col("_tokens") * F.col("expected"), "sampled_share": F.col("_tokens") * F.col("copies"),
+          "once_share": F.when(F.col("kept"), F.col("_tokens")).otherwise(0)}
+    dims = [f"_{d}" for d in DIMENSIONS]
+    sums = materialize(_drawn(rows, cells, keep, own).groupBy(*dims).agg(*[F.sum(c).cast("double").alias(n) for n, c in of.items()]), "shares")
+    whole = sums.agg(F.struct(*[F.sum(n).alias(n) for n in of])).scalar()
+    parts = []
+    for name, d in zip(DIMENSIONS, dims):
+        have = sums.groupBy(d).agg(*[F.coalesce(F.try_divide(F.sum(n), whole[n]), F.lit(0.0)).alias(n) for n in of])
+        aim = materialize(target_shares(cells, d, targets=own), f"aim{d}")
+        parts.append(have.join(aim, d, "left").select(F.lit(name).alias("dimension"), F.col(d).alias("value"), "input_share",
+                                                      F.coalesce("share", F.lit(0.0)).alias("target_share"), *list(of)[1:]))
+    return reduce(DataFrame.unionAll, parts)
+
+
+def keep_sampled(docs: DataFrame, keep: float = KEEP, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The sampled documents with their columns as they are, as many times as they are drawn."""
+    drawn = mix(docs, keep, targets).where("copies > 0")
+    return drawn.select("_row", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).select("_row.*")
 
 
 def _sql() -> str:

@@ -42,6 +42,14 @@ def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.op8_mixture(table(spark, sf_dir, "documents"))
 
 
+def op8_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.op8_copies(table(spark, sf_dir, "documents"))
+
+
+def op8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.op8_shares(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op9_sharding(table(spark, sf_dir, "documents"))
 
@@ -52,7 +60,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_toxicity, op2_jaccard, op3_line_dedup, op4_suffix_dedup, op5_html_main, op6_pseudonyms, op7_decontaminate, op8_mixture,
-              op9_sharding, op10_nearest)
+              op8_copies, op8_shares, op9_sharding, op10_nearest)
 }
 ORACLES: dict[str, str] = {"op2_jaccard": ngram_join.OP2_SQL, "op3_line_dedup": line_dedup.OP3_SQL, "op7_decontaminate": decontaminate.OP7_SQL,
                            "op8_mixture": mixture.OP8_SQL}

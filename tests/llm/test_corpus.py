@@ -351,6 +351,24 @@ def test_mixture_of_odd_rows(spark):
     assert mixture.op8_mixture(docs.limit(0)).count() == 0
 
 
+def test_the_sample_holds_the_targets(spark):
+    docs = docs_of(spark, ["w " * n for n in (5, 150, 150, 150, 1200) for _ in range(1500)])
+    docs = docs.withColumn("lang", F.when(F.col("doc_id") % 7 == 0, "es").otherwise("en"))
+    shares = {(r["dimension"], r["value"]): r for r in mixture.op8_shares(docs).collect()}
+    assert shares["topic", "note"]["target_share"] > 2.5 * shares["topic", "note"]["once_share"]  # so copies are needed
+    for r in shares.values():
+        assert abs(r["expected_share"] - r["target_share"]) < 1e-3 and abs(r["sampled_share"] - r["target_share"]) < 0.04
+    size = F.size(F.split(F.trim("text"), " "))
+    sample = mixture.keep_sampled(docs).select("lang", size.alias("t")).toPandas()
+    assert abs(sample.t[sample.t == 5].sum() / sample.t.sum() - shares["topic", "note"]["target_share"]) < 0.005
+    assert len(sample) / 7500 < mixture.KEEP + 0.02 and sample.t.sum() / (1655 * 1500) < mixture.KEEP + 0.02
+    own = spark.createDataFrame([("es", 1.0), ("en", 1.0)], "value string, share double")
+    even = mixture.keep_sampled(docs, targets={"lang": own}).select("lang", size.alias("t")).toPandas()
+    assert abs(even.t[even.lang == "es"].sum() / even.t.sum() - 0.5) < 0.04
+    with pytest.raises(ValueError):
+        mixture.mix(docs, targets={"_lang": own})
+
+
 # 9 sharding
 
 def test_rendezvous_moves_few_keys_and_slots_have_no_gaps(spark):
