@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkContext
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
@@ -15,20 +16,28 @@ from ..functions.quantiles import quantiles
 from ..session import materialize, maybe_broadcast
 from . import calendar as cal
 from .evaluate import metric_columns, metrics, scale_features, split_by_date_quantile
-from .impute import impute_train_means
-from .series_features import lags_and_rolling
+from .impute import impute_train_means, numeric_columns
+from .panel_features import NOT_FEATURES, engineer_all_features
+from .weather import weather
 
-MODEL_INPUTS = ["price_lag_1", "price_lag_7", "price_lag_30", "price_ma_7", "price_ma_30", "price_ma_90", "price_std_30",
-                "price_min_90", "price_max_90", "month", "day_of_year", "day_of_week", "week_of_year", "quarter"]
+#: Rounds without a better validation error after which boosting ends.
+PATIENCE = 20
 
 
-def training_frame(panel: DataFrame, inputs: Sequence[str] = MODEL_INPUTS) -> DataFrame:
-    """Leak-safe inputs, date split, train-mean imputation, one vector. Written once: trainers read it many times."""
-    f = cal.calendar_parts(lags_and_rolling(panel, leak_safe=True))
+def inputs_of(frame: DataFrame) -> list[str]:
+    """All numeric columns that are features."""
+    return numeric_columns(frame, NOT_FEATURES)
+
+
+def training_frame(panel: DataFrame, inputs: Sequence[str] | None = None) -> DataFrame:
+    """Leak-safe inputs (all features without a choice), date split, train-mean imputation. Written once: trainers read it many
+    times. An input without a value in any train row is 0."""
+    f = engineer_all_features(panel, weather(panel), impute=False, leak_safe=True)
+    inputs = list(inputs or inputs_of(f))
     split = split_by_date_quantile(f).select("crop", "state", "district", "date", "orderkey", "linenumber", "price", "split",
-                                             *[F.col(c).cast("double").alias(c) for c in inputs])
+                                             *[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in inputs])
     written = materialize(split, "model-inputs")
-    return materialize(impute_train_means(written, inputs), "training")
+    return materialize(impute_train_means(written, inputs).fillna(0.0, inputs), "training")
 
 
 def with_vector(df: DataFrame, inputs: Sequence[str]) -> DataFrame:
@@ -40,40 +49,68 @@ def booster(trees: int, **more) -> GBTRegressor:
                         stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42, **more)
 
 
-def train_boosted_trees(frame: DataFrame, trees: int = 200, inputs: Sequence[str] = MODEL_INPUTS) -> GBTRegressionModel:
-    return booster(trees).fit(with_vector(frame.filter("split = 'train'"), inputs))
+def train_boosted_trees(frame: DataFrame, trees: int = 200, inputs: Sequence[str] | None = None) -> GBTRegressionModel:
+    return booster(trees).fit(with_vector(frame.filter("split = 'train'"), inputs or inputs_of(frame)))
+
+
+def best_round(losses: Sequence[float], patience: int = PATIENCE) -> int:
+    """How many rounds give the least loss, where one stops after ``patience`` rounds that are no better."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
+def first_trees(model: GBTRegressionModel, n: int) -> GBTRegressionModel:
+    """The model as it was after ``n`` rounds."""
+    jvm, old = SparkContext._active_spark_context._jvm, model._java_obj
+    trees = SparkContext._gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    weights = SparkContext._gateway.new_array(jvm.double, n)
+    for i in range(n):
+        trees[i], weights[i] = old.trees()[i], float(old.treeWeights()[i])
+    new = jvm.org.apache.spark.ml.regression.GBTRegressionModel(f"{old.uid()}_{n}", trees, weights, old.numFeatures())
+    new.setFeaturesCol("features")
+    new.setPredictionCol("prediction")
+    return GBTRegressionModel(new)
 
 
-def train_trees_early_stop(frame: DataFrame, trees: int = 200, inputs: Sequence[str] = MODEL_INPUTS) -> GBTRegressionModel:
-    """Stops when the validation rows no longer improve."""
-    both = frame.filter("split <> 'test'").withColumn("held_out", F.col("split") == "val")
-    return booster(trees, validationIndicatorCol="held_out", validationTol=0.01).fit(with_vector(both, inputs))
+def train_trees_early_stop(frame: DataFrame, trees: int = 200, inputs: Sequence[str] | None = None, patience: int = PATIENCE) -> GBTRegressionModel:
+    """Ends where the validation rows have not improved for ``patience`` rounds, and keeps the best round."""
+    inputs = inputs or inputs_of(frame)
+    model = train_boosted_trees(frame, trees, inputs)
+    val = with_vector(frame.filter("split = 'val'"), inputs)
+    return first_trees(model, best_round(model.evaluateEachIteration(val, "squared"), patience)) if val.take(1) else model
 
 
-def score(model, frame: DataFrame, name: str, inputs: Sequence[str] = MODEL_INPUTS) -> DataFrame:
+def score(model, frame: DataFrame, name: str, inputs: Sequence[str] | None = None) -> DataFrame:
     """Metrics of a fitted model per split."""
-    out = model.transform(with_vector(frame, inputs)).select("split", F.lit(name).alias("model"), F.col("price").alias("y"), F.col("prediction").alias("y_hat"))
+    out = model.transform(with_vector(frame, inputs or inputs_of(frame))).select("split", F.lit(name).alias("model"), F.col("price").alias("y"), F.col("prediction").alias("y_hat"))
     return metrics(out, ["model", "split"])
 
 
-def train_scaled_linear(frame: DataFrame, inputs: Sequence[str] = MODEL_INPUTS) -> DataFrame:
+def train_scaled_linear(frame: DataFrame, inputs: Sequence[str] | None = None) -> DataFrame:
     """Linear member on scaled inputs: metrics per split."""
+    inputs = inputs or inputs_of(frame)
     scaled = scale_features(frame, inputs)
     names = [f"{c}_scaled" for c in inputs]
     model = LinearRegression(featuresCol="features", labelCol="price", regParam=0.01).fit(with_vector(scaled.filter("split = 'train'"), names))
     return score(model, scaled, "scaled_linear", names)
 
 
-def feature_importance(model: GBTRegressionModel, frame: DataFrame, inputs: Sequence[str] = MODEL_INPUTS, top: int = 20) -> DataFrame:
-    values = [(n, float(v)) for n, v in zip(inputs, model.featureImportances.toArray())]
+def feature_importance(model: GBTRegressionModel, frame: DataFrame, inputs: Sequence[str] | None = None, top: int = 20) -> DataFrame:
+    values = [(n, float(v)) for n, v in zip(inputs or inputs_of(frame), model.featureImportances.toArray())]
     return frame.sparkSession.createDataFrame(values, "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(top)
 
 
-def permutation_importance(model, frame: DataFrame, inputs: Sequence[str] = MODEL_INPUTS, sample: int = 1000) -> DataFrame:
+def permutation_importance(model, frame: DataFrame, inputs: Sequence[str] | None = None, sample: int = 1000) -> DataFrame:
     """Rise of the absolute error when one input is shuffled, on a fixed sample of the test rows.
 
     The sample is a feature of the method: attribution looks at ``sample`` rows.
     """
+    inputs = inputs or inputs_of(frame)
     key = F.xxhash64("crop", "state", "district", "date", "orderkey", "linenumber")
     rows = frame.filter("split = 'test'").withColumn("h", key).orderBy("h").limit(sample)
     rows = materialize(rows.select("price", "h", *inputs), "sample")
@@ -82,9 +119,9 @@ def permutation_importance(model, frame: DataFrame, inputs: Sequence[str] = MODE
     again = F.array_sort(F.transform("r", lambda x: F.struct(F.xxhash64(x["h"], F.lit("again")).alias("k"), x.alias("x"))))
     one = ranked.withColumn("o", again).select("o", F.posexplode("r").alias("i", "x"))
     other = F.get("o", F.col("i"))["x"]
-    variants = F.array(*[F.struct(F.lit(f).alias("feature"), *[
-        (other[c] if c == f else F.col("x")[c]).alias(c) for c in inputs]) for f in ["", *inputs]])
-    long = one.select(F.col("x.price").alias("price"), F.inline(variants))
+    pairs = one.select("x", other.alias("other"), F.explode(F.array(*[F.lit(f) for f in ["", *inputs]])).alias("feature"))
+    long = pairs.select("feature", F.col("x.price").alias("price"), *[
+        F.when(F.col("feature") == c, F.col("other")[c]).otherwise(F.col("x")[c]).alias(c) for c in inputs])
     scored = model.transform(with_vector(long, inputs)).groupBy("feature").agg(F.avg(F.abs(F.col("prediction") - F.col("price"))).alias("mae"))
     base = scored.filter("feature = ''").select("mae").scalar()
     return scored.filter("feature <> ''").select("feature", (F.col("mae") - base).alias("mae_increase")).orderBy(F.desc("mae_increase"), "feature")

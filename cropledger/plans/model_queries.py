@@ -19,8 +19,6 @@ from .clean_queries import _REQ
 from .source_queries import PK
 from .sqltext import OBS, ORDER as ORDER_SQL, R, with_named
 
-# Trees per registered training query. The operators default to 200; the depth, rate and sampling are the same.
-QUERY_TREES = 20
 MODELS = ["naive", "week", "month"]
 
 CUTS = """, cuts AS (SELECT quantile_cont(date - DATE '1970-01-01', 0.7) AS c1, quantile_cont(date - DATE '1970-01-01', 0.8) AS c2 FROM obs),
@@ -283,13 +281,13 @@ def score_location_grid(spark, sf_dir):
 @query("train_boosted_trees")
 def train_boosted_trees(spark, sf_dir):
     frame = md.training_frame(obs(spark, sf_dir))
-    return md.score(md.train_boosted_trees(frame, QUERY_TREES), frame, "boosted_trees")
+    return md.score(md.train_boosted_trees(frame), frame, "boosted_trees")
 
 
 @query("train_trees_early_stop")
 def train_trees_early_stop(spark, sf_dir):
     frame = md.training_frame(obs(spark, sf_dir))
-    return md.score(md.train_trees_early_stop(frame, QUERY_TREES), frame, "trees_early_stop")
+    return md.score(md.train_trees_early_stop(frame), frame, "trees_early_stop")
 
 
 @query("train_scaled_linear")
@@ -300,10 +298,10 @@ def train_scaled_linear(spark, sf_dir):
 @query("feature_importance")
 def feature_importance(spark, sf_dir):
     frame = md.training_frame(obs(spark, sf_dir))
-    return md.feature_importance(md.train_boosted_trees(frame, QUERY_TREES), frame)
+    return md.feature_importance(md.train_boosted_trees(frame), frame)
 
 
 @query("permutation_importance")
 def permutation_importance(spark, sf_dir):
     frame = md.training_frame(obs(spark, sf_dir))
-    return md.permutation_importance(md.train_boosted_trees(frame, QUERY_TREES), frame)
+    return md.permutation_importance(md.train_boosted_trees(frame), frame)
