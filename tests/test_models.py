@@ -28,3 +28,15 @@ def test_all_features_are_inputs_and_early_models_are_beginnings(spark):
     assert md.feature_importance(model, frame).count() == 20
     two = md.first_trees(model, 2)
     assert two.getNumTrees == 2 and {r.split for r in md.score(two, frame, "two").collect()} == {"train", "val", "test"}
+
+
+def test_early_stop_permutation_and_linear_on_a_small_frame(spark):
+    frame = spark.range(600).selectExpr(
+        "'c' AS crop", "'s' AS state", "'d' AS district", "date'2000-01-01' AS date", "id AS orderkey", "1L AS linenumber",
+        "cast(id % 17 + id % 5 AS double) AS price", "CASE WHEN id % 10 < 7 THEN 'train' WHEN id % 10 < 8 THEN 'val' ELSE 'test' END AS split",
+        "cast(id % 17 AS double) AS a", "cast(id % 5 AS double) AS b", "cast(id % 3 AS double) AS z")
+    assert md.inputs_of(frame) == ["a", "b", "z"]
+    model = md.train_trees_early_stop(frame, 5)
+    assert 1 <= model.getNumTrees <= 5
+    assert [r.feature for r in md.permutation_importance(model, frame).collect()][0] == "a"
+    assert {r.split for r in md.train_scaled_linear(frame).collect()} == {"train", "val", "test"}
