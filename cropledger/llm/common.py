@@ -19,3 +19,10 @@ def text_of(column: str | Column = "text") -> Column:
 def schema_of(df: DataFrame, keep: list[str], more: str) -> T.StructType:
     """The kept columns of a frame as they are, and further columns given as DDL."""
     return T.StructType([df.schema[c] for c in keep] + T.StructType.fromDDL(more).fields)
+
+
+def release(df: DataFrame) -> None:
+    """Empty a written intermediate table that nothing reads any more."""
+    files = df.inputFiles()
+    if files:
+        df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(files[0].rsplit("/", 1)[0])

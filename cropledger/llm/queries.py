@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cropledger.llm import ann, decontaminate, html_main, line_dedup, mixture, ngram_join, pii, sharding, suffix_dedup, toxicity
+from cropledger.llm import ann, decontaminate, html_main, line_dedup, mixture, ngram_join, pii, sharding, substring_dedup, suffix_dedup, toxicity
 from cropledger.llm.common import table
 
 
@@ -58,9 +58,13 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.op10_nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op12_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.op12_passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_toxicity, op2_jaccard, op3_line_dedup, op4_suffix_dedup, op5_html_main, op6_pseudonyms, op7_decontaminate, op8_mixture,
-              op8_copies, op8_shares, op9_sharding, op10_nearest)
+              op8_copies, op8_shares, op9_sharding, op10_nearest, op12_passages)
 }
 ORACLES: dict[str, str] = {"op2_jaccard": ngram_join.OP2_SQL, "op3_line_dedup": line_dedup.OP3_SQL, "op7_decontaminate": decontaminate.OP7_SQL,
-                           "op8_mixture": mixture.OP8_SQL}
+                           "op8_mixture": mixture.OP8_SQL, "op12_passages": substring_dedup.OP12_SQL}
