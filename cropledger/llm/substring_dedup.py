@@ -520,6 +520,6 @@ win AS (SELECT r, doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM
 firsts AS (SELECT s, min(doc_id) AS least FROM win GROUP BY s),
 gone AS (SELECT r, list(DISTINCT i + k) AS hits FROM win JOIN firsts USING (s), range(0, 13) t(k) WHERE least < doc_id GROUP BY r)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(hits), 0)::BIGINT AS n_removed,
-    sha256(array_to_string(CASE WHEN hits IS NULL THEN w ELSE list_filter(w, (x, i) -> NOT list_contains(hits, i)) END, ' ')) AS kept_sha256
+    sha256(array_to_string(CASE WHEN hits IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(hits, i)) END, ' ')) AS kept_sha256
 FROM d LEFT JOIN gone USING (r)
 """
