@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cropledger.llm import ann, decontaminate, html_main, line_dedup, mixture, ngram_join, pii, sharding, substring_dedup, suffix_dedup, toxicity
+from cropledger.llm import ann, conv_repair, decontaminate, html_main, line_dedup, mixture, ngram_join, pii, prefix_trie, sharding, substring_dedup, suffix_dedup, toxicity
 from cropledger.llm.common import table
 
 
@@ -58,13 +58,23 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.op10_nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conv_repair.op11_repair(table(spark, sf_dir, "conversations"))
+
+
 def op12_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.op12_passages(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.op13_prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_toxicity, op2_jaccard, op3_line_dedup, op4_suffix_dedup, op5_html_main, op6_pseudonyms, op7_decontaminate, op8_mixture,
-              op8_copies, op8_shares, op9_sharding, op10_nearest, op12_passages)
+              op8_copies, op8_shares, op9_sharding, op10_nearest, op11_repair, op12_passages,
+              op13_prefix_trie)
 }
 ORACLES: dict[str, str] = {"op2_jaccard": ngram_join.OP2_SQL, "op3_line_dedup": line_dedup.OP3_SQL, "op7_decontaminate": decontaminate.OP7_SQL,
-                           "op8_mixture": mixture.OP8_SQL, "op12_passages": substring_dedup.OP12_SQL}
+                           "op8_mixture": mixture.OP8_SQL, "op11_repair": conv_repair.OP11_SQL, "op12_passages": substring_dedup.OP12_SQL,
+                           "op13_prefix_trie": prefix_trie.OP13_SQL}

@@ -307,7 +307,6 @@ def _sources(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _slices(source: DataFrame, length: int, gram: int) -> DataFrame:
     """Flat rows: of every text one with n_words and sha (of its words joined by one space), and one for every slice, `once`
     where its anchor stands in the text for the first time. A text without id has no slices."""
-    columns = ["tid", "doc", "n_words", "sha", "anchor", "kind", "first", "windows", "once"]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache, done = WordHashes(), set()
@@ -318,23 +317,27 @@ def _slices(source: DataFrame, length: int, gram: int) -> DataFrame:
             text, first, windows, anchor, kind = cut_slices(np.concatenate([x[4] for x in held]), ends, length, gram)
             once = np.zeros(len(text), dtype=bool)
             once[np.unique(_mix(anchor.view(np.uint64) + text.astype(np.uint64)), return_index=True)[1]] = True
-            tid, doc = (np.array([x[i] for x in held], dtype=np.int64)[text] for i in (0, 1))
-            slices = pd.DataFrame({"tid": tid, "doc": doc, "anchor": anchor, "kind": kind, "first": (first - (ends - sizes)[text]).astype(np.int32),
-                                   "windows": windows.astype(np.int32), "once": once})
-            texts = pd.DataFrame({"tid": [x[0] for x in held], "n_words": [x[2] for x in held], "sha": [x[3] for x in held]})
-            return pd.concat([texts, slices], ignore_index=True)[[c for c in columns if c in texts or c in slices]].astype(
-                {"doc": "Int64", "n_words": "Int64", "anchor": "Int64", "kind": "Int64", "first": "Int32", "windows": "Int32", "once": "boolean"})
+            tid, doc = (np.array([x[i] for x in held], dtype=np.int64) for i in (0, 1))
+            n, none = len(held), len(text)
+
+            def both(of_texts, of_slices, kind: str) -> pd.array:  # nullable, so that whole numbers stay exact
+                parts = [pd.array([pd.NA] * size, dtype=kind) if x is None else pd.array(x, dtype=kind) for x, size in ((of_texts, n), (of_slices, none))]
+                return pd.concat([pd.Series(x) for x in parts], ignore_index=True).array
+
+            return pd.DataFrame({
+                "tid": np.r_[tid, tid[text]], "doc": np.r_[doc, doc[text]], "n_words": both([x[2] for x in held], None, "Int64"), "sha": [x[3] for x in held] + [None] * none,
+                "anchor": both(None, anchor, "Int64"), "kind": both(None, kind, "Int64"), "first": both(None, first - (ends - sizes)[text], "Int32"),
+                "windows": both(None, windows, "Int32"), "once": both(None, once, "boolean")})
 
         for b in batches:
             held, n = [], 0
-            for tid, doc, text in zip(b["tid"].tolist(), b["doc"].tolist(), b["text"]):
-                without = doc is None or doc != doc
+            for tid, doc, without, text in zip(b["tid"].tolist(), b["doc"].tolist(), b["without"].tolist(), b["text"]):
                 if (tid, without) in done:
                     continue  # rows repeated word for word
                 done.add((tid, without))
                 words = words_of(text)
                 digest = hashlib.sha256(b" ".join(words)).hexdigest()
-                held.append((tid, 0 if without else int(doc), len(words), digest, cache.of([] if without else words)))
+                held.append((tid, doc, len(words), digest, cache.of([] if without else words)))
                 n += len(words)
                 if n >= _GROUP_WORDS:
                     yield close(held)
@@ -342,7 +345,8 @@ def _slices(source: DataFrame, length: int, gram: int) -> DataFrame:
             if held:
                 yield close(held)
 
-    return source.mapInPandas(read, "tid bigint, doc bigint, n_words bigint, sha string, anchor bigint, kind bigint, first int, windows int, once boolean")
+    numbered = source.select("tid", F.coalesce("doc", F.lit(0)).alias("doc"), F.col("doc").isNull().alias("without"), "text")
+    return numbered.mapInPandas(read, "tid bigint, doc bigint, n_words bigint, sha string, anchor bigint, kind bigint, first int, windows int, once boolean")
 
 
 def _wanted(slices: DataFrame) -> DataFrame:
@@ -356,13 +360,19 @@ def _wanted(slices: DataFrame) -> DataFrame:
 
 
 def _shard_rows(source: DataFrame, kinds: DataFrame, length: int) -> DataFrame:
-    """(anchor, kind, doc, ofs, window, words) of every kind: whole, or window by window where the anchor is hot (with the
-    window's hash). Words are hashes."""
-    per_text = kinds.groupBy("tid").agg(F.collect_list(F.struct("anchor", "kind", "doc", "first", "windows", "hot")).alias("slices"))
+    """(anchor, kind, doc, uses, ofs, window, words) of every kind: whole, or window by window where the anchor is hot (with the
+    window's hash). Words are hashes; uses are the slices of the kind."""
+    columns = ["anchor", "kind", "doc", "uses", "ofs", "window", "words"]
+    per_text = kinds.groupBy("tid").agg(F.collect_list(F.struct("anchor", "kind", "doc", "uses", "first", "windows", "hot")).alias("slices"))
     texts = source.where("doc is not null").join(maybe_broadcast(kinds.select(F.col("tid").alias("_tid")).distinct()), F.col("tid") == F.col("_tid"), "left_semi")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = WordHashes()
+
+        def frame(out: list[tuple]) -> pd.DataFrame:
+            made = pd.DataFrame([x[:5] + x[6:] for x in out], columns=columns[:5] + columns[6:])
+            return made.assign(window=pd.array([x[5] for x in out], dtype="Int64"))[columns]
+
         for b in batches:
             out = []
             for text, slices in zip(b["text"], b["slices"]):
@@ -370,15 +380,16 @@ def _shard_rows(source: DataFrame, kinds: DataFrame, length: int) -> DataFrame:
                 for s in slices:
                     at, n = s["first"], s["windows"]
                     if not s["hot"]:
-                        out.append((s["anchor"], s["kind"], s["doc"], 0, None, h[at:at + n + length - 1]))
+                        out.append((s["anchor"], s["kind"], s["doc"], s["uses"], 0, None, h[at:at + n + length - 1]))
                     else:
-                        out += [(s["anchor"], s["kind"], s["doc"], i, xxhash.xxh3_64_intdigest(h[at + i:at + i + length].tobytes()) >> 1, h[at + i:at + i + length]) for i in range(n)]
+                        windows = [h[i:i + length] for i in range(at, at + n)]
+                        out += [(s["anchor"], s["kind"], s["doc"], s["uses"], i, xxhash.xxh3_64_intdigest(w.tobytes()) >> 1, w) for i, w in enumerate(windows)]
                 if len(out) > 50_000:
-                    yield pd.DataFrame(out, columns=["anchor", "kind", "doc", "ofs", "window", "words"]).astype({"window": "Int64"})
+                    yield frame(out)
                     out = []
-            yield pd.DataFrame(out, columns=["anchor", "kind", "doc", "ofs", "window", "words"]).astype({"window": "Int64"})
+            yield frame(out)
 
-    cut_kind = "anchor bigint, kind bigint, doc bigint, ofs int, window bigint, words array<bigint>"
+    cut_kind = "anchor bigint, kind bigint, doc bigint, uses bigint, ofs int, window bigint, words array<bigint>"
     return texts.select("tid", "text").join(per_text, "tid").select("text", "slices").mapInPandas(cut, cut_kind)
 
 
@@ -403,8 +414,8 @@ def _search(rows: DataFrame, words: int, length: int) -> DataFrame:
 
 def _repeats(source: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """(anchor, kind, ofs, n, least) of all kinds of slices."""
-    kinds = wanted.groupBy("anchor", "kind").agg(F.min(F.struct("doc", "tid", "first")).alias("m"), F.max("windows").alias("windows"))
-    kinds = materialize(kinds.select("anchor", "kind", "windows", "m.*"), "kinds")
+    kinds = wanted.groupBy("anchor", "kind").agg(F.min(F.struct("doc", "tid", "first")).alias("m"), F.max("windows").alias("windows"), F.count("*").alias("uses"))
+    kinds = materialize(kinds.select("anchor", "kind", "windows", "uses", "m.*"), "kinds")
     hot = materialize(kinds.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT_SLICES).select("anchor"), "hot-anchors")
     any_hot = hot.limit(1).count() > 0
     flagged = kinds.join(maybe_broadcast(hot.withColumn("hot", F.lit(True))), "anchor", "left") if any_hot else kinds.withColumn("hot", F.lit(False))
@@ -415,7 +426,7 @@ def _repeats(source: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
         return _search(rows, words, length)
     rows = materialize(rows, "shard-rows")
     cold, each = rows.where("window is null"), rows.where("window is not null")
-    shared = each.groupBy("window").agg(F.min("doc").alias("doc"), F.first("words").alias("words"), F.count("*").alias("n")).where("n > 1")
+    shared = each.groupBy("window").agg(F.min("doc").alias("doc"), F.first("words").alias("words"), F.sum("uses").alias("uses")).where("uses > 1")
     shared = materialize(shared.select(F.col("window").alias("anchor"), F.lit(0).cast("bigint").alias("kind"), "doc", "words"), "hot-windows")
     total = cold.select("words").union(shared.select("words")).agg(F.sum(F.size("words"))).first()[0] or 0
     found = materialize(_search(cold.select("anchor", "kind", "doc", "words").union(shared), total, length), "shard-runs")
