@@ -320,14 +320,16 @@ def _slices(source: DataFrame, length: int, gram: int) -> DataFrame:
             tid, doc = (np.array([x[i] for x in held], dtype=np.int64) for i in (0, 1))
             n, none = len(held), len(text)
 
-            def both(of_texts, of_slices, kind: str) -> pd.array:  # nullable, so that whole numbers stay exact
-                parts = [pd.array([pd.NA] * size, dtype=kind) if x is None else pd.array(x, dtype=kind) for x, size in ((of_texts, n), (of_slices, none))]
-                return pd.concat([pd.Series(x) for x in parts], ignore_index=True).array
+            def nullable(values: np.ndarray | list, of_texts: bool) -> pd.array:  # whole numbers stay exact
+                out, known = np.zeros(n + none, dtype=np.int64), np.zeros(n + none, dtype=bool)
+                own = slice(0, n) if of_texts else slice(n, None)
+                out[own], known[own] = values, True
+                return pd.arrays.IntegerArray(out, ~known)
 
             return pd.DataFrame({
-                "tid": np.r_[tid, tid[text]], "doc": np.r_[doc, doc[text]], "n_words": both([x[2] for x in held], None, "Int64"), "sha": [x[3] for x in held] + [None] * none,
-                "anchor": both(None, anchor, "Int64"), "kind": both(None, kind, "Int64"), "first": both(None, first - (ends - sizes)[text], "Int32"),
-                "windows": both(None, windows, "Int32"), "once": both(None, once, "boolean")})
+                "tid": np.r_[tid, tid[text]], "doc": np.r_[doc, doc[text]], "n_words": nullable([x[2] for x in held], True), "sha": [x[3] for x in held] + [None] * none,
+                "anchor": nullable(anchor, False), "kind": nullable(kind, False), "first": nullable(first - (ends - sizes)[text], False).astype("Int32"),
+                "windows": nullable(windows, False).astype("Int32"), "once": np.r_[np.zeros(n, dtype=bool), once]})
 
         for b in batches:
             held, n = [], 0
