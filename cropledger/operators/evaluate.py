@@ -156,7 +156,7 @@ def with_fold(df: DataFrame, keys: Sequence[str], folds: int = 5) -> DataFrame:
     return df.withColumn("fold", F.pmod(F.xxhash64(*keys), F.lit(folds)).cast("int"))
 
 
-def kfold_scores(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+def kfold_mean_scores(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """R2 per fold of the group mean over the other folds; needs ``fold``.
 
     Group totals minus the fold's own totals give every out-of-fold mean, so rows are read once more
@@ -172,12 +172,17 @@ def kfold_scores(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return per.withColumns({"mean_r2": over["m"], "std_r2": over["s"]})
 
 
-def timeseries_cv_scores(df: DataFrame, tie: Sequence[str], folds: int = 5) -> DataFrame:
-    """Expanding folds over date-ordered rows, scored by the mean of everything before the fold."""
+def with_expanding_fold(df: DataFrame, tie: Sequence[str], folds: int = 5) -> DataFrame:
+    """``fold`` 0 to folds - 1 by position in date order, folds of one size; -1 for what lies before the first."""
     placed = global_position(df, "date", tie)
     size = F.floor(F.col("total") / (folds + 1))
     block = F.floor((F.col("position") - 1 - (F.col("total") - folds * size)) / size)
-    rows = placed.select(F.col("price").alias("y"), F.greatest(block, F.lit(-1)).cast("int").alias("fold"))
+    return placed.withColumn("fold", F.greatest(block, F.lit(-1)).cast("int")).drop("position", "total")
+
+
+def timeseries_mean_scores(df: DataFrame, tie: Sequence[str], folds: int = 5) -> DataFrame:
+    """Expanding folds over date-ordered rows, scored by the mean of everything before the fold."""
+    rows = with_expanding_fold(df, tie, folds).select(F.col("price").alias("y"), "fold")
     sums = rows.groupBy("fold").agg(F.sum("y").alias("s"), F.count("y").alias("c"))
     before = Window.orderBy("fold").rowsBetween(Window.unboundedPreceding, -1)  # one row per fold
     means = sums.select("fold", (F.sum("s").over(before) / F.sum("c").over(before)).alias("y_hat"), F.sum("c").over(before).alias("train_rows"))

@@ -1,4 +1,4 @@
-"""Learned models on MLlib and closed-form fits per group."""
+"""Learned models and closed-form fits per group."""
 
 from __future__ import annotations
 
@@ -6,16 +6,17 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import SparkContext
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import quantiles
 from ..session import materialize, maybe_broadcast
+from . import boosting as bo
 from . import calendar as cal
-from .evaluate import metric_columns, metrics, scale_features, split_by_date_quantile
+from . import perceptron as pc
+from .evaluate import metric_columns, metrics, scale_features, split_by_date_quantile, with_expanding_fold
 from .impute import impute_train_means, numeric_columns
 from .panel_features import NOT_FEATURES, engineer_all_features
 from .weather import weather
@@ -53,36 +54,55 @@ def train_boosted_trees(frame: DataFrame, trees: int = 200, inputs: Sequence[str
     return booster(trees).fit(with_vector(frame.filter("split = 'train'"), inputs or inputs_of(frame)))
 
 
-def best_round(losses: Sequence[float], patience: int = PATIENCE) -> int:
-    """How many rounds give the least loss, where one stops after ``patience`` rounds that are no better."""
-    best = 0
-    for i, loss in enumerate(losses):
-        if loss < losses[best]:
-            best = i
-        elif i - best >= patience:
-            break
-    return best + 1
-
-
-def first_trees(model: GBTRegressionModel, n: int) -> GBTRegressionModel:
-    """The model as it was after ``n`` rounds."""
-    jvm, old = SparkContext._active_spark_context._jvm, model._java_obj
-    trees = SparkContext._gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
-    weights = SparkContext._gateway.new_array(jvm.double, n)
-    for i in range(n):
-        trees[i], weights[i] = old.trees()[i], float(old.treeWeights()[i])
-    new = jvm.org.apache.spark.ml.regression.GBTRegressionModel(f"{old.uid()}_{n}", trees, weights, old.numFeatures())
-    new.setFeaturesCol("features")
-    new.setPredictionCol("prediction")
-    return GBTRegressionModel(new)
-
-
-def train_trees_early_stop(frame: DataFrame, trees: int = 200, inputs: Sequence[str] | None = None, patience: int = PATIENCE) -> GBTRegressionModel:
-    """Ends where the validation rows have not improved for ``patience`` rounds, and keeps the best round."""
+def train_trees_early_stop(frame: DataFrame, trees: int = 200, inputs: Sequence[str] | None = None, patience: int = PATIENCE) -> bo.Booster:
+    """Leaf-wise trees. Training ends when the validation rows have not improved for ``patience`` rounds; the best round is kept."""
+    code = F.when(F.col("split") == "train", 0).when(F.col("split") == "val", 1).otherwise(2)
+    params = bo.Params(trees=trees, rate=0.1, depth=6, leaves=31, least_rows=20, inputs=0.8, patience=patience)
+    (model,), _ = bo.fit(frame.withColumn("_use", code), inputs or inputs_of(frame), "price", "_use", [{0: bo.TRAIN, 1: bo.VALIDATE}], params)
+    return model
+
+
+def score_booster(model: bo.Booster, frame: DataFrame, name: str) -> DataFrame:
+    """Metrics of leaf-wise trees per split."""
+    out = bo.predict(model, frame.select("split", "price", *model.inputs))
+    return metrics(out.select("split", F.lit(name).alias("model"), F.col("price").alias("y"), F.col("prediction").alias("y_hat")), ["model", "split"])
+
+
+def train_perceptron(frame: DataFrame, inputs: Sequence[str] | None = None, **more) -> DataFrame:
+    """Dense member on scaled inputs: metrics per split."""
     inputs = inputs or inputs_of(frame)
-    model = train_boosted_trees(frame, trees, inputs)
-    val = with_vector(frame.filter("split = 'val'"), inputs)
-    return first_trees(model, best_round(model.evaluateEachIteration(val, "squared"), patience)) if val.take(1) else model
+    names = [f"{c}_scaled" for c in inputs]
+    scaled = materialize(scale_features(frame, inputs).select("split", "price", *names), "scaled")
+    out = pc.predict(pc.fit(scaled, names, **more), scaled)
+    return metrics(out.select("split", F.lit("perceptron").alias("model"), F.col("price").alias("y"), F.col("prediction").alias("y_hat")), ["model", "split"])
+
+
+#: Cross-validation fits 100 trees a fold, of depth 6, each leaf of one row at least.
+CV_PARAMS = bo.Params(trees=100, rate=0.3, depth=6, leaves=64, least_rows=1, penalty=1.0)
+
+
+def kfold_scores(frame: DataFrame, inputs: Sequence[str] | None = None, folds: int = 5, params: bo.Params = CV_PARAMS) -> DataFrame:
+    """R2 per fold of trees fitted on all other folds; needs ``fold`` from 0 on. All folds are trained in the same passes, on
+    all their rows."""
+    roles = [{c: bo.TRAIN for c in range(folds) if c != f} for f in range(folds)]
+    models, blocks = bo.fit(frame, inputs or inputs_of(frame), "price", "fold", roles, params)
+    per = metrics(bo.block_predictions(blocks, models, [{f} for f in range(folds)]).withColumnRenamed("model", "fold"), ["fold"]).select("fold", "n", "r2")
+    per = materialize(per, "fold-scores")
+    over = per.agg(F.struct(F.avg("r2").alias("m"), F.stddev_pop("r2").alias("s"))).scalar()
+    return per.withColumns({"mean_r2": over["m"], "std_r2": over["s"]})
+
+
+def timeseries_cv_scores(frame: DataFrame, tie: Sequence[str], inputs: Sequence[str] | None = None, folds: int = 5, params: bo.Params = CV_PARAMS) -> DataFrame:
+    """Expanding folds over date-ordered rows: trees fitted on everything before a fold, scored on the fold."""
+    inputs = list(inputs or inputs_of(frame))
+    placed = with_expanding_fold(frame, tie, folds).withColumn("_use", F.col("fold") + 1)
+    roles = [{c: bo.TRAIN for c in range(f + 1)} for f in range(folds)]
+    models, blocks = bo.fit(placed, inputs, "price", "_use", roles, params)
+    scored = bo.block_predictions(blocks, models, [{f + 1} for f in range(folds)]).withColumnRenamed("model", "fold")
+    before = Window.orderBy("fold").rowsBetween(Window.unboundedPreceding, -1)  # one row per fold
+    rows = placed.groupBy("fold").agg(F.count("price").alias("c")).select("fold", F.sum("c").over(before).alias("train_rows"))
+    out = metrics(scored, ["fold"]).join(rows, "fold")
+    return out.select((F.col("fold") + 1).alias("fold"), "train_rows", F.col("n").alias("test_rows"), "r2")
 
 
 def score(model, frame: DataFrame, name: str, inputs: Sequence[str] | None = None) -> DataFrame:

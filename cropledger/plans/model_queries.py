@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
+from ..operators import attribution as at
 from ..operators import evaluate as ev
 from ..operators import forecast as fc
 from ..operators import impute as imp
@@ -19,6 +20,8 @@ from .clean_queries import _REQ
 from .source_queries import PK
 from .sqltext import OBS, ORDER as ORDER_SQL, R, with_named
 
+#: What tells the rows of the feature table apart.
+PK_COLUMNS = ["crop", "state", "district", "date", "orderkey", "linenumber"]
 MODELS = ["naive", "week", "month"]
 
 CUTS = """, cuts AS (SELECT quantile_cont(date - DATE '1970-01-01', 0.7) AS c1, quantile_cont(date - DATE '1970-01-01', 0.8) AS c2 FROM obs),
@@ -167,23 +170,23 @@ def abs_error_percentiles(spark, sf_dir):
     return rounded(ev.abs_error_percentiles(tested(spark, sf_dir)), abs_error=3)
 
 
-@query("kfold_scores", f"""WITH {OBS}, f AS (SELECT *, ((orderkey * 31 + linenumber * 7 + partkey) % 5)::INT AS fold FROM obs),
+@query("kfold_mean_scores", f"""WITH {OBS}, f AS (SELECT *, ((orderkey * 31 + linenumber * 7 + partkey) % 5)::INT AS fold FROM obs),
    o AS (SELECT crop, state, fold, sum(price) AS s, count(*) AS c FROM f GROUP BY ALL), t AS (SELECT crop, state, sum(s) AS ts, sum(c) AS tc FROM o GROUP BY ALL),
    x AS (SELECT f.fold, price AS y, (ts - s) / (tc - c) AS p FROM f JOIN o USING (crop, state, fold) JOIN t USING (crop, state)),
    r AS (SELECT fold, count(*) AS n, 1 - sum((p - y) ** 2) / (count(*) * var_pop(y)) AS r2 FROM x GROUP BY fold)
    SELECT fold, n, {R('r2', 6)} AS r2, {R('avg(r2) OVER ()', 6)} AS mean_r2, {R('stddev_pop(r2) OVER ()', 6)} AS std_r2 FROM r""")
-def kfold_scores(spark, sf_dir):
+def kfold_mean_scores(spark, sf_dir):
     folded = obs(spark, sf_dir).withColumn("fold", F.expr("(orderkey * 31 + linenumber * 7 + partkey) % 5").cast("int"))
-    return rounded(ev.kfold_scores(folded, ["crop", "state"]), r2=6, mean_r2=6, std_r2=6)
+    return rounded(ev.kfold_mean_scores(folded, ["crop", "state"]), r2=6, mean_r2=6, std_r2=6)
 
 
-@query("timeseries_cv_scores", f"""WITH {OBS}, p AS (SELECT price AS y, row_number() OVER (ORDER BY {ORDER_SQL}) - 1 AS i, count(*) OVER () AS n FROM obs),
+@query("timeseries_mean_scores", f"""WITH {OBS}, p AS (SELECT price AS y, row_number() OVER (ORDER BY {ORDER_SQL}) - 1 AS i, count(*) OVER () AS n FROM obs),
    k AS (SELECT *, n // 6 AS ts FROM p), f AS (SELECT y, i, n, ts, unnest(range(0, 5)) AS fold FROM k),
    m AS (SELECT fold, avg(y) AS mean, count(*) AS train_rows FROM f WHERE i < n - (5 - fold) * ts GROUP BY fold),
    t AS (SELECT f.fold, f.y, mean, train_rows FROM f JOIN m USING (fold) WHERE i >= n - (5 - f.fold) * ts AND i < n - (4 - f.fold) * ts)
    SELECT (fold + 1)::INT AS fold, train_rows, count(*) AS test_rows, {R('1 - sum((y - mean) ** 2) / (count(*) * var_pop(y))', 6)} AS r2 FROM t GROUP BY 1, 2""")
-def timeseries_cv_scores(spark, sf_dir):
-    return rounded(ev.timeseries_cv_scores(obs(spark, sf_dir), TIE), r2=6)
+def timeseries_mean_scores(spark, sf_dir):
+    return rounded(ev.timeseries_mean_scores(obs(spark, sf_dir), TIE), r2=6)
 
 
 @query("compare_model_runs", f"""WITH {SCORED}, per AS (SELECT split, model, 1 - sum((y_hat - y) ** 2) / (count(*) * var_pop(y)) AS r2 FROM melted GROUP BY ALL),
@@ -287,7 +290,29 @@ def train_boosted_trees(spark, sf_dir):
 @query("train_trees_early_stop")
 def train_trees_early_stop(spark, sf_dir):
     frame = md.training_frame(obs(spark, sf_dir))
-    return md.score(md.train_trees_early_stop(frame), frame, "trees_early_stop")
+    return md.score_booster(md.train_trees_early_stop(frame), frame, "trees_early_stop")
+
+
+@query("train_perceptron")
+def train_perceptron(spark, sf_dir):
+    return md.train_perceptron(md.training_frame(obs(spark, sf_dir)))
+
+
+@query("kfold_scores")
+def kfold_scores(spark, sf_dir):
+    frame = md.training_frame(obs(spark, sf_dir))
+    return md.kfold_scores(ev.with_fold(frame, PK_COLUMNS))
+
+
+@query("timeseries_cv_scores")
+def timeseries_cv_scores(spark, sf_dir):
+    return md.timeseries_cv_scores(md.training_frame(obs(spark, sf_dir)), PK_COLUMNS)
+
+
+@query("shap_importance")
+def shap_importance(spark, sf_dir):
+    frame = md.training_frame(obs(spark, sf_dir))
+    return at.shap_importance(md.train_trees_early_stop(frame), frame.filter("split = 'test'"))
 
 
 @query("train_scaled_linear")

@@ -14,20 +14,17 @@ def test_queries_train_200_trees_and_patience_is_twenty_rounds():
     assert not hasattr(mq, "QUERY_TREES")
     for f in (md.train_boosted_trees, md.train_trees_early_stop):
         assert inspect.signature(f).parameters["trees"].default == 200
-    assert md.best_round([5, 4, *[4.5] * 19, 3]) == 22  # better again within twenty rounds
-    assert md.best_round([5, 4, *[4.5] * 20, 3]) == 2
-    assert md.best_round([3, 2, 1]) == 3
+    assert inspect.signature(md.train_trees_early_stop).parameters["patience"].default == 20
 
 
-def test_all_features_are_inputs_and_early_models_are_beginnings(spark):
+def test_all_features_are_inputs(spark):
     frame = md.training_frame(obs(spark, "/root/testdata/sf0.001"))
     inputs = md.inputs_of(frame)
     assert len(inputs) == 86
     assert frame.select(F.count_if(F.greatest(*[F.col(c).isNull() for c in inputs]))).first()[0] == 0
     model = md.train_boosted_trees(frame, 3)
     assert md.feature_importance(model, frame).count() == 20
-    two = md.first_trees(model, 2)
-    assert two.getNumTrees == 2 and {r.split for r in md.score(two, frame, "two").collect()} == {"train", "val", "test"}
+    assert {r.split for r in md.score(model, frame, "three").collect()} == {"train", "val", "test"}
 
 
 def test_early_stop_permutation_and_linear_on_a_small_frame(spark):
@@ -37,6 +34,7 @@ def test_early_stop_permutation_and_linear_on_a_small_frame(spark):
         "cast(id % 17 AS double) AS a", "cast(id % 5 AS double) AS b", "cast(id % 3 AS double) AS z")
     assert md.inputs_of(frame) == ["a", "b", "z"]
     model = md.train_trees_early_stop(frame, 5)
-    assert 1 <= model.getNumTrees <= 5
-    assert [r.feature for r in md.permutation_importance(model, frame).collect()][0] == "a"
+    assert 1 <= len(model.trees) <= 5 and {r.split for r in md.score_booster(model, frame, "trees").collect()} == {"train", "val", "test"}
+    assert [r.feature for r in md.permutation_importance(md.train_boosted_trees(frame, 5), frame).collect()][0] == "a"
+    assert {r.split for r in md.train_perceptron(frame, steps=5).collect()} == {"train", "val", "test"}
     assert {r.split for r in md.train_scaled_linear(frame).collect()} == {"train", "val", "test"}
