@@ -2,7 +2,7 @@
 
 A document is the set of its hashed word n-grams; documents with equal sets are one class. Two sets of the wanted similarity
 differ in few elements, so when the elements are dealt into a quarter more parts than that, at least that quarter is equal.
-Classes that share as many parts as they must are candidates, and connected candidates form a block. Parts that very many
+Classes that share as many parts as they must are candidates, and connected candidates form a block. Parts that many
 classes share (of a common passage, or of a group of near copies) are not paired; they only count for classes that would not
 have enough other parts in common. In every block the sets are the leaves of a
 signature tree, whose nodes hold OR-combined bitmaps of elements and ranges of sizes. A dual traversal from the root leaves
@@ -19,16 +19,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cropledger.llm.common import text_of
+from cropledger.llm.common import release, text_of
 from cropledger.llm.components import components
 from cropledger.session import materialize, maybe_broadcast
 
 FANOUT = 8
 #: A part that more classes share is wide: its classes are not paired with each other.
-WIDE_PART = 32
-#: Blocks of more classes are compared in pairs of chunks of CHUNK_ROWS, after their stars are known.
+WIDE_PART = 8
+#: Blocks of more classes are first compared with about HUBS of their classes, in ROUNDS, each in chunks of CHUNK_ROWS.
 BLOCK_ROWS = 400
 CHUNK_ROWS = 200
+HUBS = 16
+ROUNDS = 3
 #: Classes that one task compares at a time, in blocks put together.
 TASK_ROWS = 600
 
@@ -213,7 +215,8 @@ def _meetings(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFra
 
 
 def _candidates(source: DataFrame, n: int, p: int, q: int) -> DataFrame:
-    """(cls, hub): edges that connect all classes which may be similar.
+    """(cls, hub, wide): edges that connect all classes which may be similar. Pairs that may be similar are edges themselves, but for
+    pairs of two classes that both have wide edges.
 
     Of x's parts, similar classes share `spare` at least; of those that are not wide, `spare` less the number of x's wide parts.
     Where that is one or more, the pair meets in parts that are paired, and pairs with fewer meetings go. Where it is none,
@@ -243,9 +246,11 @@ def _candidates(source: DataFrame, n: int, p: int, q: int) -> DataFrame:
     met = materialize(met, "meetings")
     wide = materialize(met.where("wide").groupBy("x", "level").agg(F.count("*").alias("n_wide")), "wide-parts")
     pairs = met.where("not wide").groupBy("x", "y", "level").agg(F.count("*").alias("n"), F.min("spare").alias("spare")).join(wide, ["x", "level"], "left")
-    pairs = pairs.where(F.col("n") >= F.greatest(F.lit(1), F.col("spare") - F.coalesce("n_wide", F.lit(0)))).select(F.col("y").alias("cls"), F.col("x").alias("hub"))
-    hubs = met.where("wide and x <> y").join(wide, ["x", "level"]).where("spare <= n_wide").select(F.col("x").alias("cls"), F.col("y").alias("hub"))
-    return pairs.union(hubs).distinct()
+    pairs = pairs.where(F.col("n") >= F.greatest(F.lit(1), F.col("spare") - F.coalesce("n_wide", F.lit(0)))).select(F.col("y").alias("cls"), F.col("x").alias("hub"), F.lit(False).alias("wide"))
+    hubs = met.where("wide and x <> y").join(wide, ["x", "level"]).where("spare <= n_wide").select(F.col("x").alias("cls"), F.col("y").alias("hub"), F.lit(True).alias("wide"))
+    edges = materialize(pairs.union(hubs).distinct(), "candidates")
+    release(met)
+    return edges
 
 
 def similarity_classes(docs: DataFrame, n: int, p: int, q: int) -> DataFrame:
@@ -262,14 +267,15 @@ def similarity_classes(docs: DataFrame, n: int, p: int, q: int) -> DataFrame:
 
     kind = dict(docs.dtypes)["doc_id"]
     rows = materialize(source.mapInPandas(read, f"doc_id {kind}, th bigint, n_grams bigint, cls bigint"), "gram-sets")
-    stars = materialize(_candidates(source, n, p, q), "stars")
-    blocks = components(stars.select(F.col("cls").alias("a"), F.col("hub").alias("b")))
-    links = materialize(_block_links(source, rows, stars, blocks, n, p, q), "links")
+    edges = _candidates(source, n, p, q)
+    blocks = components(edges.select(F.col("cls").alias("a"), F.col("hub").alias("b")))
+    links = materialize(_block_links(source, rows, edges, blocks, n, p, q), "links")
+    release(edges)
     found = components(links).select(F.col("node").alias("cls"), "root")
     return rows.select("doc_id", "th", "n_grams", "cls").join(found, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
 
 
-def _block_links(source: DataFrame, rows: DataFrame, stars: DataFrame, blocks: DataFrame, n: int, p: int, q: int) -> DataFrame:
+def _block_links(source: DataFrame, rows: DataFrame, edges: DataFrame, blocks: DataFrame, n: int, p: int, q: int) -> DataFrame:
     """(a, b): links between classes that connect all similar classes of every block."""
     one = rows.join(blocks.select(F.col("node").alias("cls"), F.col("root").alias("block")), "cls")
     one = materialize(one.groupBy("cls", "block").agg(F.min(F.struct("doc_id", "th")).alias("m")).select("cls", "block", "m.*"), "members")
@@ -299,25 +305,35 @@ def _block_links(source: DataFrame, rows: DataFrame, stars: DataFrame, blocks: D
     links = small.groupBy("task").applyInPandas(compare, "a bigint, b bigint")
     if not some_large:
         return links
-    return links.union(_large_block_links(members, stars, large, compare, p, q))
+    return links.union(_large_block_links(members, edges, large, compare, p, q))
 
 
-def _large_block_links(members: DataFrame, stars: DataFrame, large: DataFrame, compare, p: int, q: int) -> DataFrame:
+def _large_block_links(members: DataFrame, edges: DataFrame, large: DataFrame, compare, p: int, q: int) -> DataFrame:
     """Links in blocks too large for one tree.
 
-    Each class is first compared with one hub. What is connected then is a group, and a group is never compared with
-    itself: chunks of a large group meet only chunks of other groups, so a group of copies costs work in proportion.
+    Each class is first compared with some hubs of its block. What is connected then is a group, and a group is never compared
+    with itself. Of the candidate pairs only those between two groups are compared; then, among classes with wide parts alone,
+    chunks of different groups meet. So a group of copies costs work in proportion.
     """
-    own = members.join(large, "block").select("block", "cls", "grams").dropDuplicates(["cls"])
+    own = members.join(large, "block").select("block", "cls", "grams", "n_block").dropDuplicates(["cls"])
     own = materialize(own, "large-sets")
-    star = stars.groupBy("cls").agg(F.min("hub").alias("hub")).join(own.select("cls", F.col("grams").alias("x")), "cls")
-    star = star.join(own.select(F.col("cls").alias("hub"), F.col("grams").alias("y")), "hub")
-    both = F.size(F.array_intersect("x", "y"))
-    sure = materialize(star.where(both * q >= p * (F.size("x") + F.size("y") - both)).select(F.col("cls").alias("a"), F.col("hub").alias("b")), "star-links")
+    sure = None
+    for number in range(ROUNDS):
+        groups = components(sure.select("a", "b")) if sure is not None else None
+        found = materialize(_hub_links(own, groups, number, p, q), "hub-links")
+        sure = found if sure is None else materialize(sure.union(found), "sure-links")
     groups = components(sure)
-    rows = own.join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("grp", F.coalesce("root", "cls")).drop("root")
-    rows = materialize(rows, "grouped")
+    pairs = _open_pairs(edges.where("not wide and cls <> hub"), own, groups)
+    pairs = pairs.join(own.select(F.col("cls").alias("a"), F.col("grams").alias("x")), "a").join(own.select(F.col("cls").alias("b"), F.col("grams").alias("y")), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    pairs = pairs.where(both * q >= p * (F.size("x") + F.size("y") - both)).select("a", "b")
+    sure = materialize(sure.union(pairs), "sure-links")
+    wide = edges.where("wide").select(F.explode(F.array("cls", "hub")).alias("cls")).distinct()
+    rows = own.join(components(sure).withColumnRenamed("node", "cls"), "cls", "left").withColumn("grp", F.coalesce("root", "cls"))
+    rows = materialize(rows.join(wide, "cls", "left_semi").select("block", "cls", "grp", "grams"), "grouped")
     per = rows.groupBy("block", "grp").agg(F.count("*").alias("n"))
+    open_ = per.groupBy("block").agg(F.count("*").alias("groups")).where("groups > 1").select("block")  # the others are of one group
+    per = per.join(open_, "block", "left_semi")
     mixed = per.where(F.col("n") <= CHUNK_ROWS).groupBy("block").agg(F.sum("n").alias("n_mixed"))
     per = per.join(mixed, "block", "left")
     chunk = F.when(F.col("n") > CHUNK_ROWS, F.xxhash64("grp", F.pmod(F.xxhash64("cls"), F.ceil(F.col("n") / CHUNK_ROWS))))
@@ -335,6 +351,45 @@ def _large_block_links(members: DataFrame, stars: DataFrame, large: DataFrame, c
     return out.union(sure.select("a", "b"))
 
 
+def _hub_links(own: DataFrame, groups: DataFrame | None, number: int, p: int, q: int) -> DataFrame:
+    """(a, b): each class and the hubs that it is similar to. Hubs are about HUBS classes of each block, of different groups and
+    drawn by hash; classes in the group of a hub are not compared with it."""
+    if groups is None:
+        rows = own.withColumn("grp", F.col("cls"))
+    else:
+        rows = own.join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("grp", F.coalesce("root", "cls")).drop("root")
+        rows = materialize(rows, "round")
+    tops = rows.where("cls = grp")
+    share = tops.groupBy("block").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / HUBS)).alias("one_of"))
+    tops = tops.join(share, "block").where(F.pmod(F.xxhash64("cls", F.lit(number)), F.col("one_of")) == 0)
+    n_chunks = F.greatest(F.lit(1), F.ceil(F.col("n_block") / CHUNK_ROWS))
+    to = tops.select("block", "cls", "grp", "grams", F.explode(F.sequence(F.lit(0), (n_chunks - 1).cast("int"))).alias("no"), F.lit(True).alias("is_hub"))
+    every = rows.select("block", "cls", "grp", "grams", F.pmod(F.xxhash64("cls", F.lit("chunk")), n_chunks).cast("int").alias("no"), F.lit(False).alias("is_hub"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.asarray(x).view(np.uint64) for x in pdf["grams"]]
+        cls, grp, hub = pdf["cls"].tolist(), pdf["grp"].tolist(), pdf["is_hub"].tolist()
+        hubs, out = [i for i, h in enumerate(hub) if h], []
+        for i in range(len(cls)):
+            if not hub[i]:
+                out += [(cls[i], cls[j]) for j in hubs if grp[i] != grp[j] and _sizes_fit(len(sets[i]), len(sets[j]), p, q) and similar(sets[i], sets[j], p, q)]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return every.union(to).groupBy("block", "no").applyInPandas(compare, "a bigint, b bigint")
+
+
+def _sizes_fit(m: int, n: int, p: int, q: int) -> bool:
+    return min(m, n) * q >= max(m, n) * p
+
+
+def _open_pairs(pairs: DataFrame, own: DataFrame, groups: DataFrame) -> DataFrame:
+    """(a, b): candidate pairs of large blocks whose classes are of two groups."""
+    label = own.select("cls").join(groups.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("grp"))
+    label = materialize(label, "group-labels")
+    out = pairs.join(label, "cls").join(label.select(F.col("cls").alias("hub"), F.col("grp").alias("hub_grp")), "hub").where("grp <> hub_grp")
+    return materialize(out.select(F.col("cls").alias("a"), F.col("hub").alias("b")), "open-pairs")
+
+
 def op2_jaccard(docs: DataFrame, n: int = 3, p: int = 90, q: int = 100) -> DataFrame:
     """Per document: size of its set, and the smallest doc_id that it reaches by links (equal sets are linked)."""
     rows = materialize(similarity_classes(docs, n, p, q), "classes")

@@ -116,6 +116,22 @@ def test_jaccard_large_blocks_by_chunks(spark, monkeypatch, wide):
     assert [got[i]["component_id"] for i in range(len(texts))] == comp
 
 
+@pytest.mark.parametrize("n, p, q", [(3, 90, 100), (5, 8, 10)])
+def test_one_group_of_very_many_near_copies(spark, n, p, q):
+    rng = random.Random(n)
+    base, texts = prose(rng, 120).split(), near_texts(rng, groups=3, copies=5)
+    for _ in range(1200):
+        own = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 5])):
+            own[rng.randrange(len(own))] = f"x{rng.randint(0, 99)}"
+        texts.append(" ".join(own))
+    rng.shuffle(texts)
+    size, comp = brute_components(texts, n, p, q)
+    got = by_id(ngram_join.op2_jaccard(docs_of(spark, texts), n, p, q))
+    assert [got[i]["component_id"] for i in range(len(texts))] == comp and [got[i]["n_shingles"] for i in range(len(texts))] == size
+    assert ngram_join.op2_jaccard(docs_of(spark, texts).limit(0), n, p, q).count() == 0
+
+
 def test_similar_sets_always_share_a_key():
     rng = np.random.default_rng(1)
     for p, q in ((90, 100), (8, 10), (1, 2)):
