@@ -27,13 +27,13 @@ from cropledger.session import materialize, maybe_broadcast
 LENGTH = 13
 GRAM = 5
 #: Words of one shard's index, about.
-SHARD_WORDS = 400_000
+SHARD_WORDS = 250_000
 #: The slices of an anchor with more different slices than this are dealt window by window, by the hash of the window.
 HOT_SLICES = 2_000
 #: 64-bit words of the bitmap of common anchors that is broadcast; it only saves shuffling, the join after it is exact.
 FILTER_WORDS = 1 << 18
 
-_GROUP_WORDS = 500_000  # words that are hashed at a time
+_GROUP_WORDS = 200_000  # words that are hashed at a time
 _PIECE = 1 << 22
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -48,7 +48,7 @@ class WordHashes(dict):
     """Hashes of words as they come; forgotten when there are very many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
