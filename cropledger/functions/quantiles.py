@@ -6,9 +6,9 @@ values inside them, which are few, with their counts; only those are ranked.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize, maybe_broadcast
@@ -68,23 +68,30 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
     return per.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(q)), lambda s: s["_q"]).alias("q"))
 
 
-def column_quantile(df: DataFrame, columns: Sequence[str], prob: float, accuracy: int = SKETCH_ACCURACY) -> dict[str, Column]:
+def bracket_columns(columns: Sequence[str], prob: float, accuracy: int = SKETCH_ACCURACY) -> list[Column]:
+    """Aggregates n_<column> and e_<column> from which ``column_quantile`` goes on; they fit into any pass over the rows."""
+    ends = _ends([prob], accuracy)
+    return [x for c in columns for x in (F.count(c).alias(f"n_{c}"), F.percentile_approx(F.col(c).cast("double"), ends, accuracy).alias(f"e_{c}"))]
+
+
+def column_quantile(df: DataFrame, columns: Sequence[str], prob: float, accuracy: int = SKETCH_ACCURACY, first: Mapping | None = None) -> dict[str, Column]:
     """The same quantile of many columns, as literals: two passes for all columns together, and the values inside the
-    brackets. A column without values gives NULL."""
+    brackets. A column without values gives NULL. ``first``: the figures of ``bracket_columns``, where they are known."""
     if not columns:
         return {}
-    ends = _ends([prob], accuracy)
-    first = df.agg(*[x for c in columns for x in (F.count(c).alias(f"n_{c}"), F.percentile_approx(F.col(c).cast("double"), ends, accuracy).alias(f"e_{c}"))]).first()
+    first = first or df.agg(*bracket_columns(columns, prob, accuracy)).first()
     known = [c for c in columns if first[f"n_{c}"]]
     if not known:
         return {c: F.lit(None).cast("double") for c in columns}
     val = {c: F.col(c).cast("double") for c in known}
     lo, hi = {c: first[f"e_{c}"][0] for c in known}, {c: first[f"e_{c}"][1] for c in known}
-    around = df.agg(*[x for c in known for x in (
-        F.count_if(val[c] < lo[c]).alias(f"b_{c}"), F.max(F.when(val[c] < lo[c], val[c])).alias(f"p_{c}"), F.min(F.when(val[c] > hi[c], val[c])).alias(f"s_{c}"))]).first()
-    spots = df.select(F.explode(F.array_compact(F.array(*[
+    seen = Observation()  # what lies outside the brackets is counted in the pass that gathers what is inside
+    spots = df.observe(seen, *[x for c in known for x in (
+        F.count_if(val[c] < lo[c]).alias(f"b_{c}"), F.max(F.when(val[c] < lo[c], val[c])).alias(f"p_{c}"), F.min(F.when(val[c] > hi[c], val[c])).alias(f"s_{c}"))])
+    spots = spots.select(F.explode(F.array_compact(F.array(*[
         F.when(val[c].between(lo[c], hi[c]), F.struct(F.lit(c).alias("name"), val[c].alias("v"))) for c in known]))).alias("e")).select("e.*")
-    held = spots.groupBy("name", "v").agg(F.count("*").alias("c"))
+    held = materialize(spots.groupBy("name", "v").agg(F.count("*").alias("c")), "inside-brackets")
+    around = seen.get
     place = {c: prob * (first[f"n_{c}"] - 1) for c in known}
     rank = F.create_map(*[x for c in known for x in (F.lit(c), F.lit(float(place[c] - around[f"b_{c}"])))])[F.col("name")]
     upto = held.withColumn("to", F.sum("c").over(Window.partitionBy("name").orderBy("v"))).withColumn("r", rank)

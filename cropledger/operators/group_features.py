@@ -38,6 +38,12 @@ class PriceCube:
     def largest(self, *keys: str) -> int:
         return self.cells.groupBy(*keys).agg(F.sum("rows").alias("r")).agg(F.max("r")).first()[0] or 0
 
+    def largest_series_and_place(self) -> tuple[int, int]:
+        series = self.cells.groupBy(*SERIES_KEYS).agg(F.sum("rows").alias("r"))
+        place = series.groupBy("state", "district").agg(F.max("r").alias("one"), F.sum("r").alias("all"))
+        row = place.agg(F.max("one"), F.max("all")).first()
+        return row[0] or 0, row[1] or 0
+
     def stats(self, keys: Sequence[str], prefix: str, want: Sequence[str]) -> DataFrame:
         """Roll up to ``keys``: mean, std, min, max and row count."""
         n = F.sum("n")

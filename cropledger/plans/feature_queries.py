@@ -456,31 +456,84 @@ def feature_catalog(spark, sf_dir):
     return catalog(engineer_all_features(o, wx.weather(o), impute=False))
 
 
-# The feature stage is compared on a cross-section of its columns: every group of features, imputed.
-_WROLL = f"OVER (PARTITION BY state, district ORDER BY crop, {ORDER} ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)"
-_MA7 = f"round(sum(CAST(round(price * 10000) AS BIGINT)) OVER ({WIN} ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) / count(*) OVER ({WIN} ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)) / 10000.0"
-
-
-@query("engineer_all_features", f"""WITH {J}, f AS (SELECT *, lag(price, 1) OVER ({WIN}) AS l1, lag(price, 30) OVER ({WIN}) AS l30, {_MA7} AS ma7,
-     stddev_samp(price) OVER ({WIN} ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS sd7,
-     CASE WHEN count(*) OVER g = 1 THEN 0 ELSE price - lag(price) OVER (g ORDER BY {ORDER}) END AS yoy,
-     avg(temperature) {_WROLL} AS t7, avg(rainfall) {_WROLL} AS r7 FROM joined
-     WINDOW g AS (PARTITION BY crop, state, district, month(date), day(date))),
-   s AS (SELECT state, avg(price) AS m, quantile_cont(price, 0.5) AS md FROM obs GROUP BY 1),
-   c AS (SELECT crop, min(price) AS lo, max(price) AS hi FROM obs GROUP BY 1),
-   i AS (SELECT quantile_cont(l1, 0.5) AS l1, quantile_cont(l30, 0.5) AS l30, quantile_cont(price - l30, 0.5) AS c30, quantile_cont(sd7, 0.5) AS sd7,
-     quantile_cont(yoy, 0.5) AS yoy, avg(temperature) AS t, avg(t7) AS t7, avg(r7) AS r7 FROM f)
-   SELECT {K}, {R('sin(2 * pi() * month(date) / 12)', 6)} AS month_sin, (isodow(date) >= 6)::INT AS is_weekend,
-     {R('(max_price - min_price) / (price + 1e-6)', 6)} AS price_volatility, {R('coalesce(f.l1, i.l1)')} AS price_lag_1, {R('coalesce(f.l30, i.l30)')} AS price_lag_30,
-     {R('coalesce(price - f.l30, i.c30)')} AS price_change_30, {R('coalesce(f.sd7, i.sd7)', 2)} AS price_std_7, {R('coalesce(f.yoy, i.yoy)')} AS price_yoy_change,
-     {R('(price - ma7) / (ma7 + 1e-6)')} AS price_vs_ma_7, {R('(price - s.m) / (s.m + 1e-6)')} AS price_vs_state_avg, {R('s.md')} AS state_price_median,
-     {R('(price - c.lo) / (c.hi - c.lo + 1e-6)')} AS crop_price_position, {R('coalesce(temperature, i.t)', 6)} AS temperature,
-     {R('coalesce(f.t7, i.t7)', 5)} AS temp_ma_7, {R('coalesce(f.r7, i.r7)', 5)} AS rainfall_ma_7 FROM f JOIN s USING (state) JOIN c USING (crop), i""".replace(
-    "FROM f JOIN s USING (state) JOIN c USING (crop), i", "FROM f JOIN s USING (state) JOIN c USING (crop) CROSS JOIN i"))
+def _over(n, where=WIN):
+    return f"OVER ({where} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+
+
+def _feature_sql():
+    """(name, SQL over the joined rows, digits that are compared, whether it can be missing) of every feature."""
+    place = f"PARTITION BY state, district ORDER BY crop, {ORDER}"
+    for name, step in (("calendar_parts", None), ("cyclical_encoding", 6), ("season_flags", None), ("crop_season_flags", None), ("weekend_flag", None)):
+        for column in _CAL_COLS[name]:
+            yield column, f"{column}", step, False
+    yield from ((c, c, 4, False) for c in ("min_price", "max_price"))
+    yield "price_range", "max_price - min_price", 4, False
+    yield "price_range_pct", "CASE WHEN min_price > 0 THEN (max_price - min_price) / min_price ELSE 0 END", 6, False
+    yield "price_volatility", "(max_price - min_price) / (price + 1e-6)", 6, False
+    for k in LAGS:
+        lag = f"lag(price, {k}) OVER ({WIN})"
+        yield f"price_lag_{k}", lag, 4, True
+        yield f"price_change_{k}", f"price - {lag}", 4, True
+        yield f"price_change_pct_{k}", f"CASE WHEN {lag} > 0 THEN (price - {lag}) / {lag} * 100 ELSE 0 END", 4, False
+    for n in FRAMES:
+        ma = f"sum(CAST(round(price * 10000) AS BIGINT)) {_over(n)} / count(*) {_over(n)} / 10000.0"
+        yield f"price_ma_{n}", f"round(sum(CAST(round(price * 10000) AS BIGINT)) {_over(n)} / count(*) {_over(n)}) / 10000.0", 4, False
+        yield f"price_std_{n}", f"stddev_samp(price) {_over(n)}", 2, True
+        yield f"price_min_{n}", f"min(price) {_over(n)}", 4, False
+        yield f"price_max_{n}", f"max(price) {_over(n)}", 4, False
+        yield f"price_vs_ma_{n}", f"(price - {ma}) / ({ma} + 1e-6)", 4, False
+    yield "price_yoy_change", f"CASE WHEN count(*) OVER g = 1 THEN 0 ELSE price - lag(price) OVER (g ORDER BY {ORDER}) END", 4, True
+    for n in (7, 30):
+        yield f"temp_ma_{n}", f"avg(temperature) {_over(n, place)}", 5, True
+        yield f"rainfall_ma_{n}", f"avg(rainfall) {_over(n, place)}", 5, True
+    yield "rainfall_sum_30", f"sum(rainfall) {_over(30, place)}", 5, True
+    for grain in ("state", "district", "crop", "state_crop"):
+        t = grain.replace("_", "")
+        yield f"{grain}_price_avg", f"{t}.m", 4, False
+        yield f"{grain}_price_std", f"{t}.sd", 4, grain == "state_crop"
+        yield f"price_vs_{grain}" + ("" if grain == "state_crop" else "_avg"), f"(price - {t}.m) / ({t}.m + 1e-6)", 4, False
+    yield from ((f"{t}_price_median", f"{t}.md", 4, False) for t in ("state", "crop"))
+    yield from ((f"{t}_frequency", f"{t}{'name' if t == 'district' else ''}.n", None, False) for t in ("state", "district", "crop"))
+    yield "crop_price_min", "crop.lo", 4, False
+    yield "crop_price_max", "crop.hi", 4, False
+    yield "crop_price_range", "crop.hi - crop.lo", 4, False
+    yield "crop_price_position", "(price - crop.lo) / (crop.hi - crop.lo + 1e-6)", 4, False
+    yield "state_month_price_avg", "statemonth.m", 4, False
+    yield "crop_month_price_avg", "cropmonth.m", 4, False
+
+
+FEATURES = list(_feature_sql())
+_GRAINS = {"state": "state", "district": "state, district", "crop": "crop", "statecrop": "state, crop", "statemonth": "state, month", "cropmonth": "crop, month",
+           "districtname": "district"}
+
+
+def _all_features_sql():
+    calendar = ", ".join(CAL[c] for c in ("calendar_parts", "cyclical_encoding", "season_flags", "crop_season_flags", "weekend_flag"))
+    tables = "".join(f""", {t}_t AS (SELECT {on}, avg(price) AS m, stddev_samp(price) AS sd, min(price) AS lo, max(price) AS hi, count(*) AS n,
+      {"quantile_cont(price, 0.5)" if t in ("state", "crop") else "NULL"} AS md FROM dated GROUP BY {on})""" for t, on in _GRAINS.items())
+    joins = " ".join(f"JOIN {t}_t {t} ON " + " AND ".join(f"{t}.{c} = dated.{c}" for c in on.split(", ")) for t, on in _GRAINS.items())
+    qualified = {c: f"dated.{c}" for c in ("state", "district", "crop", "month")}
+    made = []
+    for name, sql, _, _ in FEATURES:
+        for c, q in qualified.items():
+            sql = q if sql == c else sql.replace("BY crop, state, district", "BY dated.crop, dated.state, dated.district").replace(
+                "BY state, district ORDER BY crop", "BY dated.state, dated.district ORDER BY dated.crop")
+        made.append(f"{sql} AS {name}")
+    missing = [n for n, _, _, gap in FEATURES if gap]
+    fills = ", ".join(f"{'quantile_cont(' + n + ', 0.5)' if 'price' in n else 'avg(' + n + ')'} AS {n}" for n in missing)
+    key = ", ".join(f"f.{c}" for c in KEY)
+    out = ", ".join(f"{R(f'coalesce(f.{n}, i.{n})' if gap else 'f.' + n, d) if d else 'f.' + n} AS {n}" for n, _, d, gap in FEATURES)
+    own = ", ".join(f"dated.{c}" for c in KEY)
+    return f"""WITH {J}, dated AS (SELECT *, {calendar} FROM joined){tables},
+      f AS (SELECT {own}, temperature, rainfall, {", ".join(made)} FROM dated {joins}
+        WINDOW g AS (PARTITION BY dated.crop, dated.state, dated.district, dated.month, dated.day)),
+      i AS (SELECT avg(temperature) AS temperature, {fills} FROM f)
+      SELECT {key}, {R('coalesce(f.temperature, i.temperature)', 6)} AS temperature, coalesce(f.rainfall, 0.0)::DOUBLE AS rainfall, {out} FROM f CROSS JOIN i"""
+
+
+@query("engineer_all_features", _all_features_sql())
 def engineer_all(spark, sf_dir):
     o = obs(spark, sf_dir)
-    digits = {"month_sin": 6, "price_volatility": 6, "price_lag_1": 4, "price_lag_30": 4, "price_change_30": 4, "price_std_7": 2,
-              "price_yoy_change": 4, "price_vs_ma_7": 4, "price_vs_state_avg": 4, "state_price_median": 4, "crop_price_position": 4,
-              "temperature": 6, "temp_ma_7": 5, "rainfall_ma_7": 5}
-    out = engineer_all_features(o, wx.weather(o)).select(*KEY, "is_weekend", *digits)
+    digits = {"temperature": 6, **{n: d for n, _, d, _ in FEATURES if d}}
+    out = engineer_all_features(o, wx.weather(o)).select(*KEY, "temperature", "rainfall", *[n for n, _, _, _ in FEATURES])
     return rounded(out, **digits)

@@ -1,22 +1,27 @@
 """Structured Streaming jobs over the prediction log and the observations.
 
-Jobs run to the end of the available input and keep a table up to date batch by batch. Rows may come in any order: partial
-figures are merged, so late rows count and windows that are still open are shown. A job given a path of its own resumes there.
+Jobs run to the end of the available input. Each batch leaves a table of its own, of what it adds or changes, and every so many
+batches the tables are folded into one, so a batch costs as much as it brings. Rows may come in any order: partial figures are
+added up, so late rows count and windows that are still open are shown. A job given a path of its own resumes there.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import IntegralType, StructField, StructType, LongType
 
 from ..operators.monitor import log_predictions
-from ..operators.series_features import latest_n_per_series
 from ..session import new_path
 from ..sources.tables import table
-from ..sources.views import log_columns
+from ..sources.views import ORDER, SERIES, log_columns
+
+_STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,27 +42,40 @@ def run_to_table(stream: DataFrame, label: str, path: str | None = None) -> Data
     return spark.read.schema(stream.schema).parquet(f"{root}/rows")
 
 
-def upsert_table(stream: DataFrame, merge: Callable[[DataFrame, DataFrame | None], DataFrame], label: str, path: str | None = None) -> DataFrame:
-    """The table that ``merge`` makes of each batch and the table before it.
+#: Batches whose tables are folded into one.
+FOLD_BATCHES = 20
+
 
-    Versions take turns in two folders: a batch reads the one and overwrites the other, so a batch that is run again gives the
-    same version, and no more than two are kept. A run without new input returns the table as it was.
+def kept_by_batches(stream: DataFrame, shape: Callable[[DataFrame], DataFrame], fold: Callable[[DataFrame], DataFrame], label: str, path: str | None = None,
+                    mode: str = "append") -> DataFrame:
+    """What ``fold`` makes of the tables that ``shape`` makes of the batches (with their number as ``batch``).
+
+    A batch that is run again overwrites its own table only. Folded tables take turns in two folders; folding what is folded
+    already must change nothing. A run without new input returns the table as it was.
     """
     spark = stream.sparkSession
     root = path or new_path(spark, label)
-
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        before = batch.sparkSession.read.parquet(f"{root}/turn={(batch_id - 1) % 2}").drop("version") if batch_id else None
-        merge(batch, before).withColumn("version", F.lit(batch_id)).write.mode("overwrite").parquet(f"{root}/turn={batch_id % 2}")
-
-    # A first, empty version makes the table readable before any batch.
-    empty = merge(spark.createDataFrame([], stream.schema), None).withColumn("version", F.lit(-1))
-    empty.write.mode("ignore").parquet(f"{root}/turn=start")
-    query = stream.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    empty = shape(spark.createDataFrame([], stream.schema))
+    columns = empty.columns
+    empty.withColumn("upto", F.lit(-1).cast("bigint")).write.mode("ignore").parquet(f"{root}/folded/turn=-1")
+    empty.write.mode("ignore").parquet(f"{root}/batches/batch=-1")
+
+    def current(session: SparkSession) -> DataFrame:
+        folded = session.read.schema(StructType([*empty.schema.fields, StructField("upto", LongType())])).parquet(f"{root}/folded")
+        upto = folded.agg(F.coalesce(F.max("upto"), F.lit(-1)).alias("u")).first()["u"]
+        newer = session.read.option("basePath", f"{root}/batches").parquet(f"{root}/batches").where(F.col("batch") > upto)
+        own = folded.where(F.col("upto") == upto).select(*columns, F.col("upto").alias("batch"))
+        return fold(own.unionByName(newer.select(*columns, F.col("batch").cast("bigint").alias("batch")))).select(*columns)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        shape(batch).write.mode("overwrite").parquet(f"{root}/batches/batch={number}")
+        if (number + 1) % FOLD_BATCHES == 0:
+            turn = (number + 1) // FOLD_BATCHES % 2
+            current(batch.sparkSession).withColumn("upto", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{root}/folded/turn={turn}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    versions = spark.read.schema(empty.schema).parquet(f"{root}/turn=*")
-    newest = versions.agg(F.coalesce(F.max("version"), F.lit(-1)).alias("v")).select("v").scalar()
-    return versions.filter(F.col("version") == newest).drop("version")
+    return current(spark)
 
 
 def prediction_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,18 +87,29 @@ def partial_stats() -> dict[str, Column]:
 
 
 def windowed_stats(log: DataFrame, size: str, slide: str | None, label: str, path: str | None = None) -> DataFrame:
-    """Usage stats per model and event-time window. Counts and sums of each batch are added to those before."""
-    span = F.window("ts", size, slide) if slide else F.window("ts", size)
-    keys = ["window_start", "window_end", "model"]
-
-    def merge(batch: DataFrame, before: DataFrame | None) -> DataFrame:
-        own = batch.groupBy(span.alias("w"), "model").agg(*[c.alias(n) for n, c in partial_stats().items()])
-        own = own.select(F.to_date("w.start").alias("window_start"), F.to_date("w.end").alias("window_end"), "model", *partial_stats())
-        both = own if before is None else own.unionByName(before)
-        return both.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in partial_stats()])
-
-    t = upsert_table(log, merge, label, path)
-    return t.select(*keys, F.col("total").alias("total_predictions"), (F.col("failed") * 100.0 / F.col("total")).alias("error_rate"),
+    """Usage stats per model and event-time window of whole days; a sliding window moves by one day.
+
+    What is kept are panes, one for each day and model; a batch adds to those of its days. A sliding window is a sum over the
+    panes of its days.
+    """
+    days = int(size.split()[0])
+    if size.split()[1].rstrip("s") != "day" or slide not in (None, "1 day") or (slide is None and days != 1):
+        raise ValueError("windows are single days, or days that slide by one")
+    names = list(partial_stats())
+
+    def panes(batch: DataFrame) -> DataFrame:
+        return batch.groupBy(F.to_date("ts").alias("day"), "model").agg(*[c.alias(n) for n, c in partial_stats().items()])
+
+    def add(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("day", "model").agg(*[F.sum(n).alias(n) for n in names])
+
+    t = kept_by_batches(log, panes, add, label, path)
+    if days > 1:
+        grid = t.groupBy("model").agg(F.explode(F.sequence(F.date_sub(F.min("day"), days - 1), F.max("day"))).alias("day"))
+        over = Window.partitionBy("model").orderBy(F.unix_date("day")).rangeBetween(0, days - 1)
+        t = grid.join(t, ["model", "day"], "left").select("model", "day", *[F.sum(n).over(over).alias(n) for n in names]).where("total > 0")
+    return t.select(F.col("day").alias("window_start"), F.date_add("day", days).alias("window_end"), "model",
+                    F.col("total").alias("total_predictions"), (F.col("failed") * 100.0 / F.col("total")).alias("error_rate"),
                     F.try_divide(F.col("error_sum"), F.col("with_actual")).alias("average_error"), F.col("with_actual").alias("predictions_with_actual"))
 
 
@@ -100,11 +129,49 @@ def dedupe_stream(observed: DataFrame, keys: list[str], late: str | None = None)
     return observed.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def latest_conditions(observed: DataFrame, label: str = "latest", rows: int = 30, path: str | None = None) -> DataFrame:
-    """Latest rows per series, kept up to date batch by batch."""
+class LatestRows(StatefulProcessor):
+    """Keeps the latest rows of every key as list state, and gives them when the key has new ones."""
 
-    def merge(batch: DataFrame, before: DataFrame | None) -> DataFrame:
-        own = latest_n_per_series(batch, rows).drop("rn")
-        return own if before is None else latest_n_per_series(own.unionByName(before), rows).drop("rn")
+    def __init__(self, schema: StructType, order: Sequence[str], rows: int, ttl_ms: int | None):
+        self.schema, self.places, self.rows, self.ttl_ms = schema, [schema.names.index(c) for c in order], rows, ttl_ms
+        self.whole = [isinstance(f.dataType, IntegralType) for f in schema.fields]
 
-    return upsert_table(observed, merge, label, path)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getListState("latest", self.schema, self.ttl_ms)
+
+    def _row(self, values: tuple) -> tuple:
+        return tuple(None if v is None or v != v else int(v) if whole else v for v, whole in zip(values, self.whole))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = [self._row(r) for r in self.state.get()] if self.state.exists() else []
+        for batch in rows:
+            held += [self._row(r) for r in batch[self.schema.names].itertuples(index=False, name=None)]
+            held.sort(key=lambda r: [(r[i] is not None, r[i]) if r[i] is not None else (False, 0) for i in self.places], reverse=True)
+            del held[self.rows:]  # no more than a batch beyond what stays is held
+        self.state.put(held)
+        yield pd.DataFrame(held, columns=self.schema.names, dtype=object)
+
+    def close(self) -> None:
+        pass
+
+
+def latest_conditions(observed: DataFrame, label: str = "latest", rows: int = 30, path: str | None = None, ttl_ms: int | None = None) -> DataFrame:
+    """Latest rows per series, kept in a state store: a batch reads and changes the series that it has rows of.
+
+    With ``ttl_ms`` a series is forgotten by the state that long after its last rows; the table still shows them.
+    """
+    spark, schema = observed.sparkSession, observed.schema
+    held = {k: spark.conf.get(k, None) for k in (_STORE,)}
+    spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        changed = observed.groupBy(*SERIES).transformWithStateInPandas(
+            LatestRows(schema, ORDER, rows, ttl_ms), schema, "Update", "ProcessingTime" if ttl_ms else "None")
+
+        def newest(rows_: DataFrame) -> DataFrame:
+            last = rows_.groupBy(*SERIES).agg(F.max("batch").alias("batch"))
+            return rows_.join(last, [*SERIES, "batch"])
+
+        return kept_by_batches(changed, lambda batch: batch, newest, label, path, "update")
+    finally:
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
