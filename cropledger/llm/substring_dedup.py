@@ -344,6 +344,7 @@ def _slices(source: DataFrame, length: int, gram: int) -> DataFrame:
                 if n >= _GROUP_WORDS:
                     yield close(held)
                     held, n = [], 0
+            del b  # so that no two batches of texts are held
             if held:
                 yield close(held)
 
@@ -365,7 +366,9 @@ def _shard_rows(source: DataFrame, kinds: DataFrame, length: int) -> DataFrame:
     """(anchor, kind, doc, uses, ofs, window, words) of every kind: whole, or window by window where the anchor is hot (with the
     window's hash). Words are hashes; uses are the slices of the kind."""
     columns = ["anchor", "kind", "doc", "uses", "ofs", "window", "words"]
-    per_text = kinds.groupBy("tid").agg(F.collect_list(F.struct("anchor", "kind", "doc", "uses", "first", "windows", "hot")).alias("slices"))
+    fields = ["anchor", "kind", "doc", "uses", "first", "windows", "hot"]
+    per_text = kinds.groupBy("tid").agg(F.collect_list(F.struct(*fields)).alias("slices"))
+    per_text = per_text.select("tid", *[F.col(f"slices.{c}").alias(c) for c in fields])
     texts = source.where("doc is not null").join(maybe_broadcast(kinds.select(F.col("tid").alias("_tid")).distinct()), F.col("tid") == F.col("_tid"), "left_semi")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -377,22 +380,22 @@ def _shard_rows(source: DataFrame, kinds: DataFrame, length: int) -> DataFrame:
 
         for b in batches:
             out = []
-            for text, slices in zip(b["text"], b["slices"]):
+            for text, *slices in zip(*(b[c] for c in ("text", *fields))):
                 h = cache.of(words_of(text)).view(np.int64)
-                for s in slices:
-                    at, n = s["first"], s["windows"]
-                    if not s["hot"]:
-                        out.append((s["anchor"], s["kind"], s["doc"], s["uses"], 0, None, h[at:at + n + length - 1]))
+                for anchor, kind, doc, uses, at, n, hot in zip(*(x.tolist() for x in slices)):
+                    if not hot:
+                        out.append((anchor, kind, doc, uses, 0, None, h[at:at + n + length - 1]))
                     else:
                         windows = [h[i:i + length] for i in range(at, at + n)]
-                        out += [(s["anchor"], s["kind"], s["doc"], s["uses"], i, xxhash.xxh3_64_intdigest(w.tobytes()) >> 1, w) for i, w in enumerate(windows)]
-                if len(out) > 50_000:
+                        out += [(anchor, kind, doc, uses, i, xxhash.xxh3_64_intdigest(w.tobytes()) >> 1, w) for i, w in enumerate(windows)]
+                if len(out) > 20_000:
                     yield frame(out)
                     out = []
+            del b
             yield frame(out)
 
     cut_kind = "anchor bigint, kind bigint, doc bigint, uses bigint, ofs int, window bigint, words array<bigint>"
-    return texts.select("tid", "text").join(per_text, "tid").select("text", "slices").mapInPandas(cut, cut_kind)
+    return texts.select("tid", "text").join(per_text, "tid").select("text", *fields).mapInPandas(cut, cut_kind)
 
 
 def _search(rows: DataFrame, words: int, length: int) -> DataFrame:
@@ -436,10 +439,10 @@ def _repeats(source: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return found.union(back.select("anchor", "kind", "ofs", "n", "least"))
 
 
-def _spans(runs: list, length: int) -> list[int]:
+def _spans(firsts: list[int], numbers: list[int], length: int) -> list[int]:
     """Runs of windows (first, number) as maximal word runs [first, end), one after the other."""
     out: list[int] = []
-    for a, n in sorted((r["first"], r["n"]) for r in runs):
+    for a, n in sorted(zip(firsts, numbers)):
         if out and a <= out[-1]:
             out[-1] = max(out[-1], a + n + length - 1)
         else:
@@ -457,12 +460,13 @@ def passage_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tu
     release(flat)
     found = materialize(_repeats(source, wanted, length), "passage-runs")
     gone = wanted.join(found, ["anchor", "kind"]).where("least < doc").select("tid", (F.col("first") + F.col("ofs")).alias("first"), "n")
-    gone = materialize(gone.groupBy("tid").agg(F.collect_list(F.struct("first", "n")).alias("runs")), "passage-spans")
+    gone = gone.groupBy("tid").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
+    gone = materialize(gone.select("tid", F.col("runs.first").alias("firsts"), F.col("runs.n").alias("numbers")), "passage-spans")
     release(wanted)
 
     def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b[["tid"]].assign(spans=[_spans(list(r), length) for r in b["runs"]], text=b["text"])
+            yield b[["tid"]].assign(spans=[_spans(f.tolist(), n.tolist(), length) for f, n in zip(b["firsts"], b["numbers"])], text=b["text"])
 
     touched = source.where("doc is not null").select("tid", "text")
     touched = touched.join(maybe_broadcast(gone.select(F.col("tid").alias("_tid"))), F.col("tid") == F.col("_tid"), "left_semi")
