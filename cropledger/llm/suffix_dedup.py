@@ -195,12 +195,17 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Data
             yield b[["doc_id", "tid", "n_bytes"]].assign(sha=[hashlib.sha256(x).hexdigest() for x in data], slices=[[dict(zip(("anchor", "a", "b", "first", "windows"), s)) for s in slices_of(x, length)] for x in data])
 
     slice_kind = "array<struct<anchor: bigint, a: bigint, b: bigint, first: int, windows: int>>"
-    rows = materialize(source.mapInPandas(read, f"doc_id {kind}, tid bigint, n_bytes bigint, sha string, slices {slice_kind}"), "slices")
-    every = rows.select("tid", "n_bytes", F.explode("slices").alias("s")).select("tid", "n_bytes", "s.*")
+    rows = source.mapInPandas(read, f"doc_id {kind}, tid bigint, n_bytes bigint, sha string, slices {slice_kind}")
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "slices")
+    # Equal texts are one from here on, with their number; the documents come back at the end.
+    copies = rows.groupBy("tid", "n_bytes").agg(F.min("row").alias("first_row"), F.count("*").alias("copies")).where("copies > 1")
+    copies = maybe_broadcast(materialize(copies, "copied-texts"))
+    once = rows.join(copies, ["tid", "n_bytes"], "left").where("first_row is null or row = first_row")
+    every = once.select("tid", "n_bytes", F.coalesce("copies", F.lit(1)).alias("copies"), F.explode("slices").alias("s")).select("tid", "n_bytes", "copies", "s.*")
     # Written first, so that the join below is one of plain tables, whose hot anchors Spark can split.
-    common = materialize(every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "common-anchors")
+    common = materialize(every.groupBy("anchor").agg(F.sum("copies").alias("n")).where("n > 1").select("anchor"), "common-anchors")
     shared = materialize(every.join(common, "anchor"), "shared-slices")
-    kinds = shared.groupBy("a", "b").agg(F.min("anchor").alias("anchor"), F.min("windows").alias("windows"), F.count("*").alias("m"),
+    kinds = shared.groupBy("a", "b").agg(F.min("anchor").alias("anchor"), F.min("windows").alias("windows"), F.sum("copies").alias("m"),
                                          F.min(F.struct("tid", "n_bytes", "first")).alias("one"))
     kinds = materialize(kinds.select("a", "b", "anchor", "windows", "m", "one.*"), "slice-kinds")
     open_ = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("m").alias("least")).where("kinds > 1 and least = 1")
