@@ -15,7 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cropledger.llm.common import schema_of, text_of
+from cropledger.llm.common import release, schema_of, text_of
+from cropledger.session import materialize
 
 WINDOW = 10
 #: So many windows at most are sent to the tasks at once; a larger benchmark is searched for slice by slice.
@@ -91,18 +92,20 @@ def mark_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     """The kept columns of every document, n_words, hit_spans [first, end) in words (merged) and sorted items.
 
     Null and empty texts have no words. Repeated rows each get their result. An empty benchmark hits nothing.
-    Documents are never shuffled: the windows go to the tasks, in slices of bounded size.
+    Documents are never shuffled: the windows go to the tasks, in slices of bounded size. Of several slices each is searched
+    for and let go of before the next is gathered, so the driver holds one; each is one pass over the documents.
     """
     spark = docs.sparkSession
     keep = keep or ["doc_id"]
-    windows = benchmark_windows(benchmark, window)
+    windows = materialize(benchmark_windows(benchmark, window), "benchmark-windows")
     n = windows.count()
+    before = None
     slices = max(1, -(-n // SLICE_WINDOWS))
     out = docs.select(*keep, F.col("text").alias("_text"), F.array().cast("array<int>").alias("_spans"),
                       F.array().cast("array<string>").alias("_items"))
     schema = schema_of(out, [*keep, "_text", "_spans", "_items"], "_n_words bigint")
     for part in range(slices):
-        own = windows if slices == 1 else windows.where(F.pmod(F.xxhash64("window"), F.lit(slices)) == part)
+        own = windows if slices == 1 else windows.where(F.pmod(F.xxhash64("window", "item"), F.lit(slices)) == part)
         sent = spark.sparkContext.broadcast([(bytes(r[0]), r[1]) for r in own.collect()])
 
         def scan(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
@@ -128,6 +131,12 @@ def mark_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
                 yield batch.assign(_spans=spans, _items=items, _n_words=counts)
 
         out = out.drop("_n_words").mapInPandas(scan, schema)
+        if slices > 1:
+            done = materialize(out, "overlaps")
+            sent.unpersist()
+            if before is not None:
+                release(before)
+            before = out = done
     return out.select(*keep, F.col("_text").alias("text") if "text" not in keep else F.lit(0).alias("_"),
                       F.col("_n_words").alias("n_words"), F.col("_spans").alias("hit_spans"),
                       F.col("_items").alias("items")).drop("_")

@@ -27,6 +27,7 @@ from cropledger.llm.common import schema_of
 #: Pages that the trees are trained on, at most: those of the smallest hashed ids among the pages with a landmark.
 FIT_PAGES = 400
 LAYOUTS = 5  # rebuilt forms of each of them
+PAGE_EXAMPLES = 4_000  # nodes of one page and its rebuilt forms that are learned from
 PAGES_AT_ONCE = 128
 TREES, DEPTH, RATE, BINS = 60, 4, 0.2, 24
 
@@ -478,27 +479,32 @@ def _rebuilt_marks(nodes: list[Node]) -> np.ndarray:
     return inside
 
 
-def _examples(pages: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _examples(page: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes of a page and of its other layouts, at most PAGE_EXAMPLES, drawn evenly."""
     xs, ys, ws = [], [], []
-    for page in pages:
-        rng = np.random.default_rng(zlib.crc32(page.encode("utf-8", "surrogatepass")))
-        made = [(nodes_of(parse(page)), marks_of(page))]
-        for other in layouts(page, rng, LAYOUTS):
-            nodes = nodes_of(parse(other))
-            made.append((nodes, _rebuilt_marks(nodes)))
-        for nodes, marks in made:
-            x = features(nodes)
-            own = np.expm1(x[:, 1])
-            told = own > 0
-            xs.append(x[told])
-            ys.append(marks[told].astype(float))
-            ws.append(np.sqrt(own[told]) / 8)
-    return np.vstack(xs), np.concatenate(ys), np.concatenate(ws)
+    rng = np.random.default_rng(zlib.crc32(page.encode("utf-8", "surrogatepass")))
+    made = [(nodes_of(parse(page)), marks_of(page))]
+    for other in layouts(page, rng, LAYOUTS):
+        nodes = nodes_of(parse(other))
+        made.append((nodes, _rebuilt_marks(nodes)))
+    for nodes, marks in made:
+        x = features(nodes)
+        own = np.expm1(x[:, 1])
+        told = own > 0
+        xs.append(x[told])
+        ys.append(marks[told].astype(float))
+        ws.append(np.sqrt(own[told]) / 8)
+    x, y, w = np.vstack(xs), np.concatenate(ys), np.concatenate(ws)
+    if len(x) > PAGE_EXAMPLES:
+        kept = np.sort(rng.permutation(len(x))[:PAGE_EXAMPLES])
+        x, y, w = x[kept], y[kept], w[kept]
+    return x, y, w
 
 
 def fit_extractor(pages: DataFrame, rows: int = FIT_PAGES) -> BoostedTrees | None:
-    """Examples are made in the tasks and the trees are grown on the driver; `rows` bounds both. None without landmarks."""
-    marked = pages.select("html", F.xxhash64("page_id", "html").alias("h")).where(F.lower(F.col("html")).rlike(r"<(article|main)[\s>]") & (F.length("html") < 50_000))
+    """Examples are made in the tasks and the trees are grown on the driver; `rows` and PAGE_EXAMPLES bound both. Pages with a
+    landmark teach, whatever their length. None where no page has one."""
+    marked = pages.select("html", F.xxhash64("page_id", "html").alias("h")).where(F.lower(F.col("html")).rlike(r"<(article|main)[\s>]"))
     chosen = marked.select(F.col("h").alias("chosen")).orderBy("chosen").limit(rows)
     sample = marked.join(F.broadcast(chosen), F.col("h") == F.col("chosen"), "left_semi")
 
@@ -506,7 +512,7 @@ def fit_extractor(pages: DataFrame, rows: int = FIT_PAGES) -> BoostedTrees | Non
         for b in batches:
             for page in b["html"]:
                 if marks_of(page) is not None:
-                    x, y, w = _examples([page])
+                    x, y, w = _examples(page)
                     yield pd.DataFrame({"x": [x.astype(np.float32).tobytes()], "y": [y.astype(np.int8).tobytes()], "w": [w.astype(np.float32).tobytes()]})
 
     found = sample.mapInPandas(make, "x binary, y binary, w binary").limit(rows).collect()
@@ -519,7 +525,8 @@ def fit_extractor(pages: DataFrame, rows: int = FIT_PAGES) -> BoostedTrees | Non
 
 
 def main_texts(pages: list[str | None], model: BoostedTrees | None) -> list[str]:
-    """The main text of each page; the trees look at the nodes of all of them at once. Without a model all text that is shown is taken."""
+    """The main text of each page; the trees look at the nodes of all of them at once. Without a model (no page of
+    the table has a landmark to learn from) all text that is shown is taken."""
     trees = [nodes_of(parse(p)) for p in pages]
     if model is None:
         return [text_of_nodes(nodes, np.ones(len(nodes), dtype=bool)) for nodes in trees]
@@ -546,4 +553,6 @@ def extract(pages: DataFrame, model: BoostedTrees | None, keep: list[str]) -> Da
 
 
 def op5_html_main(pages: DataFrame) -> DataFrame:
+    """Per page: page_id, url, main text and its code points. Null and empty pages have no text; repeated rows and null ids get
+    their result like others; long pages are read whole; an empty table gives an empty result."""
     return extract(pages, fit_extractor(pages), ["page_id", "url"])

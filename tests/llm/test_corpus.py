@@ -273,6 +273,20 @@ def test_main_text_by_learned_trees(spark):
     assert html_main.fit_extractor(odd) is None
 
 
+def test_long_pages_teach_and_pages_without_landmarks_give_what_they_show(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").where(F.lower("html").contains("<article"))
+    long = pages.withColumn("html", F.concat("html", F.lit("<!--" + "x" * 60_000 + "-->")))
+    model = html_main.fit_extractor(long)
+    assert model is not None
+    got = html_main.extract(long, model, ["page_id"]).collect()
+    assert all(r["n_chars"] == len(r["text"]) > 0 for r in got)
+    html_main_few = html_main._examples(PAGE.replace('<div class="post-content">', "<article>").replace('</div>\n<div class="sidebar">', '</article>\n<div class="sidebar">'))
+    assert len(html_main_few[0]) == len(html_main_few[1]) == len(html_main_few[2]) <= html_main.PAGE_EXAMPLES
+    bare = spark.createDataFrame([(1, "u", PAGE)], "page_id bigint, url string, html string")
+    assert "Home" in html_main.op5_html_main(bare).first()["text"]
+    assert html_main.op5_html_main(bare.limit(0)).count() == 0
+
+
 def test_decoding_never_contradicts_itself():
     nodes = html_main.nodes_of(html_main.parse("<div><p>a</p><div><p>b</p><p>c</p></div></div>"))
     own = np.array([1.0 if x.tag == "p" else 0.0 for x in nodes])
