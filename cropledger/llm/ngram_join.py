@@ -29,8 +29,8 @@ WIDE_PART = 8
 #: Blocks of more classes are first compared with about HUBS of their classes, in ROUNDS, each in chunks of CHUNK_ROWS.
 BLOCK_ROWS = 400
 CHUNK_ROWS = 200
-HUBS = 16
-ROUNDS = 3
+HUBS = 24
+ROUNDS = 1
 #: Classes that one task compares at a time, in blocks put together.
 TASK_ROWS = 600
 
@@ -174,7 +174,7 @@ def _class_of(grams: np.ndarray) -> int | None:
 
 
 def _meetings(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
-    """(x, y, level, spare of x, wide) from postings sorted by key and class: all pairs x < y of a key, or, for a wide key, every
+    """(x, y, level, spare of x, wide) from postings (key, cls, level and spare in one) sorted by key and class: all pairs x < y of a key, or, for a wide key, every
     class x and the first one y. No more than `most` classes of a key are held at a time."""
     key, last, wide, seen, out = None, None, False, [], []
 
@@ -189,7 +189,8 @@ def _meetings(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFra
     for b in batches:
         if not len(b):
             continue
-        k, c, level, spare = (b[x].to_numpy() for x in ("key", "cls", "level", "spare"))
+        k, c, own = (b[x].to_numpy() for x in ("key", "cls", "own"))
+        level, spare = own >> 32, own & 0xFFFFFFFF
         more = np.r_[True, k[1:] == k[:-1]]  # keys that stand alone within the batch are passed over
         at = np.flatnonzero(more | np.r_[more[1:], True])
         for key_i, c_i, level_i, spare_i in zip(k[at].tolist(), c[at].tolist(), level[at].tolist(), spare[at].tolist()):
@@ -238,9 +239,9 @@ def _candidates(source: DataFrame, n: int, p: int, q: int) -> DataFrame:
                 some = made[i:i + 256]
                 size = [len(m[3]) for m in some]
                 yield pd.DataFrame({"key": np.concatenate([m[3] for m in some]).view(np.int64), "cls": np.repeat([m[0] for m in some], size),
-                                    "level": np.repeat([m[1] for m in some], size).astype(np.int32), "spare": np.repeat([m[2] for m in some], size).astype(np.int32)})
+                                    "own": np.repeat([m[1] << 32 | m[2] for m in some], size)})
 
-    posted = source.select("text").mapInPandas(post, "key bigint, cls bigint, level int, spare int")
+    posted = source.select("text").mapInPandas(post, "key bigint, cls bigint, own bigint")
     most = WIDE_PART
     met = posted.repartition("key").sortWithinPartitions("key", "cls").mapInPandas(lambda batches: _meetings(batches, most), "x bigint, y bigint, level int, spare int, wide boolean")
     met = materialize(met, "meetings")
