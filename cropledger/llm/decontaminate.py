@@ -143,7 +143,11 @@ def mark_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
 
 
 def op7_decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per document: words, words inside an occurring window, and the items whose windows occur."""
+    """Per document: words, words inside an occurring window, and the items whose windows occur.
+
+    Null and empty texts have no words; items without words have no window; a null item_id counts as ''. Long texts count whole,
+    repeated rows and null doc_ids get their result like others. An empty benchmark hits nothing, an empty table gives none.
+    """
     m = mark_overlaps(docs, benchmark, window)
     hit = F.aggregate(F.sequence(F.lit(1), F.expr("greatest(size(hit_spans), 1)"), F.lit(2)), F.lit(0).cast("bigint"),
                       lambda acc, i: acc + F.coalesce(F.get("hit_spans", i) - F.get("hit_spans", i - 1), F.lit(0)))

@@ -105,6 +105,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 
 def op3_line_dedup(docs: DataFrame) -> DataFrame:
+    """What dedup_lines() gives. Null and empty texts have no lines, blank lines always stay, long texts and lines count whole. Of
+    equal or near lines the one of the smallest doc_id, then the first there, stays. An empty table gives an empty result."""
     return dedup_lines(docs)
 
 

@@ -124,7 +124,8 @@ def _drawn(rows: DataFrame, cells: DataFrame, keep: float, targets: dict[str, Da
 def mix(docs: DataFrame, keep: float = KEEP, targets: dict[str, DataFrame] | None = None) -> DataFrame:
     """_row (all columns), _source, _lang, _topic, _tokens, weight, p, expected, kept and copies of every document.
 
-    `copies` make the sample that holds the targets, `kept` the one without repeats. targets: by name of a dimension a table
+    Null values of a dimension count as '', null texts as empty, long texts whole; documents of one id, or without one, are drawn
+    alike. `copies` make the sample that holds the targets, `kept` the one without repeats. targets: by name of a dimension a table
     (value, share) of one's own. A document without tokens is drawn like the others of its cell, once at most. An empty table
     gives no rows.
     """
@@ -133,14 +134,16 @@ def mix(docs: DataFrame, keep: float = KEEP, targets: dict[str, DataFrame] | Non
 
 
 def op8_mixture(docs: DataFrame) -> DataFrame:
-    """Cell, weight, and probability and decision of every document where none may be repeated."""
+    """Cell, weight, and probability and decision of every document where none may be repeated. Nulls, repeats and empty tables as
+    in mix()."""
     m = mix(docs.select("doc_id", "text", "source", "lang"))
     return m.select("_row.doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"),
                     F.col("_tokens").alias("tokens"), F.round("weight", 6).alias("weight"), F.round("p", 6).alias("p"), "kept")
 
 
 def op8_copies(docs: DataFrame) -> DataFrame:
-    """Cell, weight, expected and drawn copies of every document; the copies together hold the targets."""
+    """Cell, weight, expected and drawn copies of every document; the copies together hold the targets. Nulls, repeats and empty
+    tables as in mix()."""
     m = mix(docs.select("doc_id", "text", "source", "lang"))
     return m.select("_row.doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"),
                     F.col("_tokens").alias("tokens"), F.round("weight", 6).alias("weight"), F.round("expected", 6).alias("expected"), "copies")

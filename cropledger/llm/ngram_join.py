@@ -392,7 +392,11 @@ def _open_pairs(pairs: DataFrame, own: DataFrame, groups: DataFrame) -> DataFram
 
 
 def op2_jaccard(docs: DataFrame, n: int = 3, p: int = 90, q: int = 100) -> DataFrame:
-    """Per document: size of its set, and the smallest doc_id that it reaches by links (equal sets are linked)."""
+    """Per document: size of its set, and the smallest doc_id that it reaches by links (equal sets are linked).
+
+    Null, empty and blank texts have no set: size 0, component their own doc_id. Long texts count whole. Repeated rows each get
+    their result; a null doc_id is never the smallest but where all of a component are null. An empty table gives an empty result.
+    """
     rows = materialize(similarity_classes(docs, n, p, q), "classes")
     least = materialize(rows.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("least")), "least")
     out = rows.join(least, "root", "left")

@@ -223,5 +223,6 @@ def pseudonymise(docs: DataFrame, key: str, keep: list[str] | None = None) -> Da
 
 
 def op6_pseudonyms(docs: DataFrame, key: str = "example key: a deployment passes its own") -> DataFrame:
-    """doc_id, text and the number of values replaced of each kind."""
+    """doc_id, text and the number of values replaced of each kind. Null and empty texts give empty ones, long texts count whole,
+    repeated rows and null ids get their result like others; an empty table gives an empty result."""
     return pseudonymise(docs, key).drop("spans")

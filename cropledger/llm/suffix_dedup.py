@@ -290,7 +290,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def op4_suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Per document: bytes, bytes removed, maximal removed runs, and the hash of what stays."""
+    """Per document: bytes, bytes removed, maximal removed runs, and the hash of what stays.
+
+    A null text is empty, and loses nothing like all texts shorter than `length`; long texts count whole. Rows repeated word for
+    word, ids included or null, repeat each other, so all of them lose what is long enough. An empty table gives an empty result.
+    """
     rows, touched = repeat_spans(docs, length)
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

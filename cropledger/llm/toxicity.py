@@ -84,7 +84,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> To
 
 
 def op1_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted (1 from 0.3) of every document."""
+    """doc_id, held_out, score and predicted (1 from 0.3) of every document.
+
+    Null and empty texts have no terms and get the score of such; long texts count whole. Equal texts get equal scores. A null
+    doc_id is scored and not held out. Rows without a label, and null labels, teach nothing; without labels all score 0. An empty
+    table gives an empty result.
+    """
     scored = fit_toxicity(docs, labels).score(docs.select("doc_id", "text"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
                          (F.col("score") >= REJECT_FROM).cast("int").alias("predicted"))
