@@ -12,7 +12,6 @@ the least document of the interval tells from which document on the window is a
 from __future__ import annotations
 
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +26,7 @@ from cropledger.session import materialize, maybe_broadcast
 LENGTH = 13
 GRAM = 5
 #: Words of one shard's index, about.
-SHARD_WORDS = 250_000
+SHARD_WORDS = 300_000
 #: The slices of an anchor with more different slices than this are dealt window by window, by the hash of the window.
 HOT_SLICES = 2_000
 #: 64-bit words of the bitmap of common anchors that is broadcast; it only saves shuffling, the join after it is exact.
@@ -109,18 +108,24 @@ def huffman_lengths(count: np.ndarray) -> np.ndarray:
     """Code lengths of symbols by their counts; a symbol that stands alone has one bit."""
     if len(count) == 1:
         return np.ones(1, dtype=np.int64)
-    heap = [(c, i) for i, c in enumerate(count.tolist())]
-    heapq.heapify(heap)
-    parent, top = [0] * (2 * len(heap) - 1), len(heap)
-    while len(heap) > 1:
-        (c1, a), (c2, b) = heapq.heappop(heap), heapq.heappop(heap)
-        parent[a] = parent[b] = top
-        heapq.heappush(heap, (c1 + c2, top))
-        top += 1
-    depth = [0] * top
-    for i in range(top - 2, -1, -1):
+    # Nodes are made by rising weight, so the two least are always at the heads of two queues.
+    order = np.argsort(count, kind="stable")
+    weight, n = count[order].tolist(), len(count)
+    parent, leaf, made = [0] * (2 * n - 1), 0, n
+    for top in range(n, 2 * n - 1):
+        total = 0
+        for _ in range(2):
+            if leaf < n and (made >= top or weight[leaf] <= weight[made]):
+                total, parent[leaf], leaf = total + weight[leaf], top, leaf + 1
+            else:
+                total, parent[made], made = total + weight[made], top, made + 1
+        weight.append(total)
+    depth = [0] * (2 * n - 1)
+    for i in range(2 * n - 3, -1, -1):
         depth[i] = depth[parent[i]] + 1
-    return np.array(depth[:len(count)], dtype=np.int64)
+    out = np.empty(n, dtype=np.int64)
+    out[order] = depth[:n]
+    return out
 
 
 class WaveletTree:
@@ -135,10 +140,8 @@ class WaveletTree:
         order = np.lexsort((np.arange(symbols), self.len))
         order = order[self.len[order] > 0]
         self.code = np.zeros(symbols, dtype=np.int64)  # canonical, aligned to the left of `depth` bits
-        at = 0
-        for s, n in zip(order.tolist(), self.len[order].tolist()):
-            self.code[s] = at
-            at += 1 << (self.depth - n)
+        room = np.int64(1) << (self.depth - self.len[order])
+        self.code[order] = np.cumsum(room) - room
         self.start = np.zeros((self.depth + 1, symbols), dtype=np.int64)  # of the symbol's node on each level
         for level in range(self.depth + 1):
             held = np.where(self.len[order] > level, count[order], 0)
@@ -364,7 +367,7 @@ def _wanted(slices: DataFrame) -> DataFrame:
 
 def _shard_rows(source: DataFrame, kinds: DataFrame, length: int) -> DataFrame:
     """(anchor, kind, doc, uses, ofs, window, words) of every kind: whole, or window by window where the anchor is hot (with the
-    window's hash). Words are hashes; uses are the slices of the kind."""
+    window's hash). Words are hashes of eight bytes; uses are the slices of the kind."""
     columns = ["anchor", "kind", "doc", "uses", "ofs", "window", "words"]
     fields = ["anchor", "kind", "doc", "uses", "first", "windows", "hot"]
     per_text = kinds.groupBy("tid").agg(F.collect_list(F.struct(*fields)).alias("slices"))
@@ -384,28 +387,28 @@ def _shard_rows(source: DataFrame, kinds: DataFrame, length: int) -> DataFrame:
                 h = cache.of(words_of(text)).view(np.int64)
                 for anchor, kind, doc, uses, at, n, hot in zip(*(x.tolist() for x in slices)):
                     if not hot:
-                        out.append((anchor, kind, doc, uses, 0, None, h[at:at + n + length - 1]))
+                        out.append((anchor, kind, doc, uses, 0, None, h[at:at + n + length - 1].tobytes()))
                     else:
-                        windows = [h[i:i + length] for i in range(at, at + n)]
-                        out += [(anchor, kind, doc, uses, i, xxhash.xxh3_64_intdigest(w.tobytes()) >> 1, w) for i, w in enumerate(windows)]
+                        windows = [h[i:i + length].tobytes() for i in range(at, at + n)]
+                        out += [(anchor, kind, doc, uses, i, xxhash.xxh3_64_intdigest(w) >> 1, w) for i, w in enumerate(windows)]
                 if len(out) > 20_000:
                     yield frame(out)
                     out = []
             del b
             yield frame(out)
 
-    cut_kind = "anchor bigint, kind bigint, doc bigint, uses bigint, ofs int, window bigint, words array<bigint>"
+    cut_kind = "anchor bigint, kind bigint, doc bigint, uses bigint, ofs int, window bigint, words binary"
     return texts.select("tid", "text").join(per_text, "tid").select("text", *fields).mapInPandas(cut, cut_kind)
 
 
 def _search(rows: DataFrame, words: int, length: int) -> DataFrame:
     """(anchor, kind, ofs, n, least): of every kind the runs of windows that have one least document. rows: (anchor, kind, doc,
     words); equal anchors meet in a shard."""
-    shards = max(1, -(-words // SHARD_WORDS))
+    shards = max(1, -(-int(words) // SHARD_WORDS))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates(["anchor", "kind"])
-        least = least_documents([np.asarray(x).view(np.uint64) for x in pdf["words"]], pdf["doc"].to_numpy(), length)
+        least = least_documents([np.frombuffer(x, dtype=np.uint64) for x in pdf["words"]], pdf["doc"].to_numpy(), length)
         sizes = np.array([len(x) for x in least])
         flat, row = np.concatenate(least), np.repeat(np.arange(len(sizes)), sizes)
         new = np.flatnonzero(np.r_[True, (flat[1:] != flat[:-1]) | (row[1:] != row[:-1])])
@@ -433,7 +436,7 @@ def _repeats(source: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     cold, each = rows.where("window is null"), rows.where("window is not null")
     shared = each.groupBy("window").agg(F.min("doc").alias("doc"), F.first("words").alias("words"), F.sum("uses").alias("uses")).where("uses > 1")
     shared = materialize(shared.select(F.col("window").alias("anchor"), F.lit(0).cast("bigint").alias("kind"), "doc", "words"), "hot-windows")
-    total = cold.select("words").union(shared.select("words")).agg(F.sum(F.size("words"))).first()[0] or 0
+    total = cold.select("words").union(shared.select("words")).agg(F.sum(F.octet_length("words") / 8)).first()[0] or 0
     found = materialize(_search(cold.select("anchor", "kind", "doc", "words").union(shared), total, length), "shard-runs")
     back = each.select("anchor", "kind", "ofs", F.col("window").alias("w")).join(found.select(F.col("anchor").alias("w"), "n", "least"), "w")
     return found.union(back.select("anchor", "kind", "ofs", "n", "least"))
