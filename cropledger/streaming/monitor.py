@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -168,8 +170,9 @@ def latest_conditions(observed: DataFrame, label: str = "latest", rows: int = 30
             LatestRows(schema, ORDER, rows, ttl_ms), schema, "Update", "ProcessingTime" if ttl_ms else "None")
 
         def newest(rows_: DataFrame) -> DataFrame:
-            last = rows_.groupBy(*SERIES).agg(F.max("batch").alias("batch"))
-            return rows_.join(last, [*SERIES, "batch"])
+            last = rows_.groupBy(*SERIES).agg(F.max("batch").alias("newest")).withColumnsRenamed({c: f"_{c}" for c in SERIES})
+            same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in SERIES])  # a series may lack a name
+            return rows_.join(last, same).where("batch = newest")
 
         return kept_by_batches(changed, lambda batch: batch, newest, label, path, "update")
     finally:
