@@ -13,11 +13,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cropledger.llm.common import release, text_of
@@ -31,6 +32,8 @@ SHARD_WORDS = 300_000
 HOT_SLICES = 2_000
 #: 64-bit words of the bitmap of common anchors that is broadcast; it only saves shuffling, the join after it is exact.
 FILTER_WORDS = 1 << 18
+#: Texts that a Python worker gets at a time.
+BATCH_TEXTS = 2_000
 
 _GROUP_WORDS = 200_000  # words that are hashed at a time
 _PIECE = 1 << 22
@@ -47,7 +50,7 @@ class WordHashes(dict):
     """Hashes of words as they come; forgotten when there are very many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 200_000:
+        if len(self) >= 100_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -453,15 +456,29 @@ def _spans(firsts: list[int], numbers: list[int], length: int) -> list[int]:
     return out
 
 
+@contextmanager
+def _batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs inside hand texts to Python in batches of so many rows, for the memory of workers."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
 def passage_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Three tables: (tid, n_words, sha) of every text, (tid, first_doc) of the texts that several rows have, and (tid, spans,
     text) of the texts whose first document loses words. A text is told by its hash; spans are [first, end) words."""
     source, copies = _sources(docs)
-    flat = materialize(_slices(source, length, gram), "passage-slices")
+    with _batches_of(docs.sparkSession, BATCH_TEXTS):
+        flat = materialize(_slices(source, length, gram), "passage-slices")
     info = materialize(flat.where("sha is not null").select("tid", "n_words", "sha").dropDuplicates(["tid"]), "passage-texts")
     wanted = materialize(_wanted(flat), "wanted-slices")
     release(flat)
-    found = materialize(_repeats(source, wanted, length), "passage-runs")
+    with _batches_of(docs.sparkSession, BATCH_TEXTS):
+        found = materialize(_repeats(source, wanted, length), "passage-runs")
     gone = wanted.join(found, ["anchor", "kind"]).where("least < doc").select("tid", (F.col("first") + F.col("ofs")).alias("first"), "n")
     gone = gone.groupBy("tid").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
     gone = materialize(gone.select("tid", F.col("runs.first").alias("firsts"), F.col("runs.n").alias("numbers")), "passage-spans")
