@@ -10,6 +10,7 @@ from cropledger.functions.quantiles import column_quantile, quantiles
 from cropledger.operators import group_features as gf
 from cropledger.operators import impute as imp
 from cropledger.operators import series_features as sf
+from cropledger.operators.panel_features import engineer_all_features
 from cropledger.plans.series import global_position, over_series
 
 
@@ -104,3 +105,17 @@ def test_few_states_are_broadcast_though_cells_are_many(panel):
     plan = gf.state_price_stats(with_month, cube)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     same(gf.group_features(with_month, cube), gf.group_features(with_month, gf.PriceCube(panel)))
+
+
+def test_medians_of_all_features_do_not_reach_the_driver_as_sketches(panel, monkeypatch):
+    seen, plain = [], type(panel).observe
+
+    def observe(self, name, *columns):
+        seen.extend(map(str, columns))
+        return plain(self, name, *columns)
+
+    monkeypatch.setattr(type(panel), "observe", observe)
+    rows = panel.withColumns({"min_price": F.when(F.col("linenumber") % 2 == 0, F.col("price")), "max_price": F.col("price")})
+    out = engineer_all_features(rows)
+    assert out.filter("min_price IS NULL").count() == 0 and seen
+    assert not [c for c in seen if "percentile" in c]
