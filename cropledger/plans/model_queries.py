@@ -43,8 +43,10 @@ def scored(spark, sf_dir):
 
 
 def tested(spark, sf_dir):
+    """The test rows, melted and written once: the metrics read them several times."""
     keep = list(dict.fromkeys(["split", *SERIES, *ORDER]))
-    return ev.melt_predictions(scored(spark, sf_dir), MODELS, keep).filter("split = 'test'")
+    rows = scored(spark, sf_dir).filter("split = 'test'")
+    return ev.melt_predictions(materialize(rows.select(*keep, *MODELS), "tested"), MODELS, keep)
 
 
 def METRICS(y="y", p="y_hat"):
