@@ -9,7 +9,7 @@ all their whole variants, which few different lines can have in common.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cropledger.llm.common import text_of
@@ -44,9 +44,9 @@ def whole_keys(line: Column) -> Column:
 
 
 def _shared(keyed: DataFrame) -> DataFrame:
-    """(key, line, n) of the keys that several lines have; n counts them. Counted in the map tasks first."""
-    counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    return keyed.join(counts, "key")
+    """(key, line, n) of the keys that several lines have; n counts them. Keys are made and shuffled once; what a task holds of a
+    key beyond a few thousand rows of two numbers is spilled."""
+    return keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
 
 
 def _pairs(shared: DataFrame) -> DataFrame:

@@ -483,3 +483,11 @@ def test_pipeline_stages(spark):
         docs = out
         counts.append(docs.count())
     assert counts == sorted(counts, reverse=True) and counts[-1] > 0.5 * counts[0] and "shard" in docs.columns
+
+
+def test_keys_of_lines_are_made_once(spark):
+    rows = [(k, 100 * k + i) for k in range(1, 6) for i in range(k)]
+    keyed = spark.createDataFrame([([k], line) for k, line in rows], "keys array<long>, line long").select(F.explode("keys").alias("key"), "line")
+    shared = line_dedup._shared(keyed)
+    assert shared._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
+    assert {tuple(r) for r in shared.select("key", "line", "n").collect()} == {(k, line, k) for k, line in rows if k > 1}
