@@ -10,6 +10,17 @@ from .fixed_values import DATE_FORMATS, PLACEHOLDERS
 EPS = 1e-6
 TICK = 10_000
 
+#: How known dates are read without a formatter: a shape that only texts with a possible day and month have, and the places of
+#: year, month and day in it. A formatter costs several times as much, and an exception for each text that it cannot read.
+_DAY, _MONTH = r"(0?[1-9]|[12]\d|3[01])", r"(0?[1-9]|1[0-2])"
+_NUMERIC = {
+    DATE_FORMATS[0]: (rf"^{_DAY}/{_MONTH}/(\d{{4}})\z", "$3-$2-$1T"),
+    DATE_FORMATS[1]: (rf"^{_DAY}-{_MONTH}-(\d{{4}})\z", "$3-$2-$1T"),
+    DATE_FORMATS[2]: (rf"^(\d{{4}})-{_MONTH}-{_DAY}\z", "$1-$2-$3T"),
+}
+_MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+_NAMED = {DATE_FORMATS[3]: ",".join(m[:3] for m in _MONTHS), DATE_FORMATS[4]: ",".join(_MONTHS)}
+
 
 def ticks(price: Column) -> Column:
     """Price in ten-thousandths. Whole numbers add up exactly whatever order tasks finish in."""
@@ -53,13 +64,26 @@ def to_int(c: Column | str, default: int | None = None) -> Column:
     return value if default is None else F.coalesce(value, F.lit(default))
 
 
+def _date_of(text: Column, shape: str, form: str) -> Column:
+    """Date of a text that has the shape, by the format. The known formats are put as ISO text, which casts by itself; the T
+    ends the day, so that a line end behind it is no part of a date."""
+    if (shape, form) in _NUMERIC:
+        strict, iso = _NUMERIC[shape, form]
+        return F.when(text.rlike(strict), F.regexp_replace(text, strict, iso).try_cast("date"))
+    if (shape, form) in _NAMED:
+        month = F.find_in_set(F.lower(F.split_part(text, F.lit(" "), F.lit(2))), F.lit(_NAMED[shape, form]))
+        iso = F.concat(F.split_part(text, F.lit(" "), F.lit(3)), F.lit("-"), month.cast("string"), F.lit("-"), F.split_part(text, F.lit(" "), F.lit(1)), F.lit("T"))
+        return F.when(text.rlike(shape) & (month > 0), iso.try_cast("date"))
+    return F.when(text.rlike(shape), F.try_to_date(text, form))
+
+
 def to_date_any(c: Column | str, as_of: str | None = None, formats: tuple[tuple[str, str], ...] = DATE_FORMATS) -> Column:
     """Date by the first format that reads the text, else ``as_of``.
 
     A format is only tried on text of its shape: a failed parse costs far more than the check.
     """
     text = F.trim(c)
-    tries = [F.when(text.rlike(shape), F.try_to_date(text, f)) for shape, f in formats]
+    tries = [_date_of(text, shape, f) for shape, f in formats]
     if as_of is not None:
         tries.append(F.lit(as_of).cast("date"))
     return F.coalesce(*tries)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import compiled_methods
 from .tables import spread, table
 
 SERIES = ["crop", "state", "district"]
@@ -95,6 +96,7 @@ def named(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``named`` with deterministic dirt: every field is text and wrong in its own way."""
+    compiled_methods(spark)
     base = wide(spark, sf_dir).withColumns({
         "s": pick(STATES, F.col("regionkey")),
         "d": pick(DISTRICTS, F.col("nationkey")),
