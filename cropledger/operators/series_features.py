@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -19,16 +21,63 @@ def lag_columns(w: WindowSpec, lags: Sequence[int] = LAGS) -> dict[str, Column]:
     return {f"price_lag_{k}": F.lag("price", k).over(w) for k in lags}
 
 
-def rolling_columns(w: WindowSpec, frames: Sequence[int] = FRAMES, end: int = 0) -> dict[str, Column]:
-    """Row frames ending at the current row, or one row earlier with ``end=-1``."""
-    out = {}
-    for n in frames:
-        f = w.rowsBetween(end - (n - 1), end)
-        out[f"price_ma_{n}"] = F.avg(ticks(F.col("price"))).over(f) / TICK
-        out[f"price_std_{n}"] = F.stddev_samp("price").over(f)
-        out[f"price_min_{n}"] = F.min("price").over(f)
-        out[f"price_max_{n}"] = F.max("price").over(f)
-    return out
+def rolling_columns(w: WindowSpec, frames: Sequence[int] = FRAMES, end: int = 0) -> list[dict[str, Column]]:
+    """Row frames ending at the current row, or one row earlier with ``end=-1``, in steps for ``over_series``.
+
+    Only the shortest frame slides over its rows. A longer one is put together from the one before it, by lags: blocks of that
+    length side by side, and single rows where they do not fill it (bounds: a last block that overlaps). A row so costs a few
+    lags, not as many rows as its frames hold. Variances are joined by counts, means and squared distances from them.
+    """
+    sizes = sorted(set(frames))
+    n, f = sizes[0], w.rowsBetween(end - (sizes[0] - 1), end)
+    steps = [{
+        "_t": ticks(F.col("price")).cast("double"), f"_sum{n}": F.sum(ticks(F.col("price")).cast("double")).over(f), f"_n{n}": F.count("price").over(f), f"_avg{n}": F.avg("price").over(f),
+        f"price_std_{n}": F.stddev_samp("price").over(f), f"price_min_{n}": F.min("price").over(f), f"price_max_{n}": F.max("price").over(f),
+    }, {
+        f"price_ma_{n}": F.when(F.col(f"_n{n}") > 0, F.col(f"_sum{n}") / F.col(f"_n{n}") / TICK),
+        f"_sq{n}": F.coalesce(F.pow(f"price_std_{n}", 2) * (F.col(f"_n{n}") - 1), F.lit(0.0)),
+    }]
+    for part, n in zip(sizes, sizes[1:]):
+        steps += _joined_frames(w, part, n, end)
+    return steps
+
+
+def rolling_names(frames: Sequence[int] = FRAMES) -> list[str]:
+    return [f"price_{c}_{n}" for n in frames for c in ("ma", "std", "min", "max")]
+
+
+def _joined_frames(w: WindowSpec, part: int, n: int, end: int) -> list[dict[str, Column]]:
+    """Steps that make the frame of ``n`` rows from that of ``part`` rows."""
+    blocks, rest = divmod(n, part)
+    back = [part * k for k in range(1, blocks)]
+    lags = {f"_{c}_{k}": F.lag(f"_{c}{part}", k).over(w) for k in back for c in ("n", "sum", "avg", "sq")}
+    lags |= {f"_{c}_{k}": F.lag(f"price_{c}_{part}", k).over(w) for k in {*back, n - part} for c in ("min", "max")}
+    single = [part * blocks + j - end for j in range(rest)]
+    lags |= {f"_{c}_row{k}": F.lag(name, k).over(w) for k in single for c, name in (("sum", "_t"), ("avg", "price"))}
+    lags = {f"{c}_of{n}": v for c, v in lags.items()}
+
+    def held(c: str, zero: bool = True) -> list[Column]:
+        out = [F.col(f"_{c}{part}"), *[F.col(f"_{c}_{k}_of{n}") for k in back]]
+        out += [F.col(f"_{c}_row{k}_of{n}") for k in single] if c in ("sum", "avg") else []
+        return [F.coalesce(x, F.lit(0)) for x in out] if zero else out
+
+    counts = [*held("n"), *[F.col(f"_avg_row{k}_of{n}").isNotNull().cast("bigint") for k in single]]
+    means = held("avg", zero=False)
+    near = F.coalesce(*means)  # means are joined as distances from one of them, which loses no digits
+    away = {f"_away{i}_of{n}": F.coalesce(m - near, F.lit(0.0)) for i, m in enumerate(means)}
+    by_count = [F.col(a) * c for a, c in zip(away, counts)]
+    some = F.col(f"_n{n}") > 0
+    total = {f"_n{n}": reduce(add, counts), f"_sum{n}": reduce(add, held("sum")), f"_near{n}": near, **away}
+    bounds = {f"price_{c}_{n}": best(F.col(f"price_{c}_{part}"), *[F.col(f"_{c}_{k}_of{n}") for k in sorted({*back, n - part})])
+              for c, best in (("min", F.least), ("max", F.greatest))}
+    moved = {f"_move{n}": reduce(add, by_count), f"_spread{n}": reduce(add, [*held("sq"), *[F.col(a) * x for a, x in zip(away, by_count)]])}
+    ends = {
+        f"price_ma_{n}": F.when(some, F.col(f"_sum{n}") / F.col(f"_n{n}") / TICK),
+        f"_avg{n}": F.when(some, F.col(f"_near{n}") + F.col(f"_move{n}") / F.col(f"_n{n}")),
+        f"_sq{n}": F.when(some, F.greatest(F.col(f"_spread{n}") - F.pow(f"_move{n}", 2) / F.col(f"_n{n}"), F.lit(0.0))).otherwise(0.0),
+    }
+    std = {f"price_std_{n}": F.when(F.col(f"_n{n}") > 1, F.sqrt(F.col(f"_sq{n}") / (F.col(f"_n{n}") - 1)))}
+    return [lags, {**total, **bounds}, moved, ends, std]
 
 
 def price_lags(df: DataFrame, keys=SERIES, order=ORDER, lags=LAGS, rows_per_task=ROWS_PER_TASK) -> DataFrame:
@@ -53,8 +102,8 @@ def rolling_price_stats(
     df: DataFrame, keys=SERIES, order=ORDER, frames=FRAMES, leak_safe=False, rows_per_task=ROWS_PER_TASK
 ) -> DataFrame:
     end = -1 if leak_safe else 0
-    return over_series(df, keys, order, lambda w: rolling_columns(w, frames, end), max(frames),
-                       rows_per_task=rows_per_task)
+    out = over_series(df, keys, order, lambda w: rolling_columns(w, frames, end), max(frames), rows_per_task=rows_per_task)
+    return out.select(*df.columns, *rolling_names(frames))
 
 
 def price_vs_ma(df: DataFrame, frames: Sequence[int] = FRAMES) -> DataFrame:
@@ -68,8 +117,9 @@ def lags_and_rolling(
 ) -> DataFrame:
     """Every lag and row frame of the series in one window: one exchange, one sort."""
     end = -1 if leak_safe else 0
-    out = over_series(df, keys, order, lambda w: {**lag_columns(w), **rolling_columns(w, end=end)},
+    out = over_series(df, keys, order, lambda w: [lag_columns(w), *rolling_columns(w, end=end)],
                       max(LAGS), rows_per_task=rows_per_task, largest=largest)
+    out = out.select(*df.columns, *[f"price_lag_{k}" for k in LAGS], *rolling_names())
     return price_vs_ma(price_change_pct(price_changes(out)))
 
 

@@ -29,7 +29,7 @@ def over_series(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    columns: Callable[[WindowSpec], dict[str, Column]],
+    columns: Callable[[WindowSpec], dict[str, Column] | list[dict[str, Column]]],
     look_back: int = 0,
     look_ahead: bool = False,
     cell: int = 1,
@@ -38,15 +38,25 @@ def over_series(
 ) -> DataFrame:
     """Add ``columns(window)``; frames reach at most ``look_back`` rows back and one row ahead.
 
+    A list of columns is added one after the other, so that later ones use earlier ones; names with an underscore in front go at
+    the end.
     The first ``cell`` order columns name the unit that is never cut (a day). ``largest`` is an upper
     bound of the rows per group where the caller already has one; otherwise they are counted.
     """
     if (largest_group(df, keys) if largest is None else largest) <= rows_per_task:
-        return df.withColumns(columns(Window.partitionBy(*keys).orderBy(*order)))
+        return _added(df, columns(Window.partitionBy(*keys).orderBy(*order)))
     cells = _runs(df, list(keys), list(order[:cell]), look_back, look_ahead, rows_per_task)
     rows = df.join(cells, [*keys, *order[:cell]]).withColumn("_run", F.explode("_targets")).drop("_targets")
     w = Window.partitionBy(*keys, "_run").orderBy(*order)
-    return rows.withColumns(columns(w)).filter("_run = _own").drop("_run", "_own")
+    return _added(rows, columns(w)).filter("_run = _own").drop("_run", "_own")
+
+
+def _added(df: DataFrame, columns: dict[str, Column] | list[dict[str, Column]]) -> DataFrame:
+    if isinstance(columns, dict):
+        return df.withColumns(columns)
+    for step in columns:
+        df = df.withColumns(step)
+    return df.drop(*[c for step in columns for c in step if c.startswith("_")])
 
 
 def _runs(
