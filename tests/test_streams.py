@@ -68,3 +68,31 @@ def test_streams_without_rows(spark, tmp_path):
     assert st.latest_conditions(stream).count() == 0
     log = files(spark, str(tmp_path / "log"), LOG, [[]])
     assert st.windowed_stats(mo.log_predictions(log), "30 days", "1 day", "sliding").count() == 0
+
+
+def test_map_tasks_hand_on_the_latest_rows_only():
+    import random
+
+    import pyarrow as pa
+
+    from cropledger.sources.views import ORDER, SERIES
+    from cropledger.streaming.monitor import newest_in_task
+
+    deal = random.Random(5)
+    rows = [{"crop": deal.choice(["a", "b", None]), "state": deal.choice(["s", None]), "district": deal.choice(["d", "e"]), "date": deal.choice([None, 1, 2, 3]),
+             "orderkey": deal.choice([None, 2**60 + i]), "linenumber": i, "partkey": 1, "suppkey": 1, "price": None if i % 5 == 0 else i / 7} for i in range(3_000)]
+    kinds = pa.schema([("crop", pa.string()), ("state", pa.string()), ("district", pa.string()), ("date", pa.int32()), ("orderkey", pa.int64()),
+                       ("linenumber", pa.int32()), ("partkey", pa.int64()), ("suppkey", pa.int64()), ("price", pa.float64())])
+    batches = lambda: iter(pa.Table.from_pylist(rows, kinds).to_batches(max_chunksize=100))
+
+    def latest(some):
+        series = {}
+        for r in some:
+            series.setdefault(tuple(r[c] for c in SERIES), []).append(tuple(r[c] for c in ORDER))
+        return {k: sorted(v, key=lambda t: [(x is not None, x or 0) for x in t], reverse=True)[:4] for k, v in series.items()}
+
+    once = [r for b in newest_in_task(batches(), ORDER, 4) for r in b.to_pylist()]
+    assert len(once) == 12 * 4 and latest(once) == latest(rows)
+    early = [r for b in newest_in_task(batches(), ORDER, 4, held_rows=60) for r in b.to_pylist()]
+    assert 48 < len(early) < 3_000 and latest(early) == latest(rows)
+    assert list(newest_in_task(iter([]), ORDER, 4)) == []
