@@ -468,9 +468,10 @@ def _batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, old)
 
 
-def passage_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Three tables: (tid, n_words, sha) of every text, (tid, first_doc) of the texts that several rows have, and (tid, spans,
-    text) of the texts whose first document loses words. A text is told by its hash; spans are [first, end) words."""
+def passage_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Four tables: (tid, doc, text) of the first document of every text, (tid, n_words, sha) of every text, (tid, first_doc) of the
+    texts that several rows have, and (tid, firsts, numbers) of the texts whose first document loses words. A text is told by its hash;
+    firsts and numbers are runs of windows that are repeats."""
     source, copies = _sources(docs)
     with _batches_of(docs.sparkSession, BATCH_TEXTS):
         flat = materialize(_slices(source, length, gram), "passage-slices")
@@ -483,14 +484,7 @@ def passage_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tu
     gone = gone.groupBy("tid").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
     gone = materialize(gone.select("tid", F.col("runs.first").alias("firsts"), F.col("runs.n").alias("numbers")), "passage-spans")
     release(wanted)
-
-    def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b[["tid"]].assign(spans=[_spans(f.tolist(), n.tolist(), length) for f, n in zip(b["firsts"], b["numbers"])], text=b["text"])
-
-    touched = source.where("doc is not null").select("tid", "text")
-    touched = touched.join(maybe_broadcast(gone.select(F.col("tid").alias("_tid"))), F.col("tid") == F.col("_tid"), "left_semi")
-    return info, copies, touched.join(gone, "tid").mapInPandas(spans, "tid bigint, spans array<int>, text string")
+    return source, info, copies, gone
 
 
 def kept_words(text: str, spans: list[int]) -> bytes:
@@ -514,34 +508,39 @@ def remove_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     A null text has no words. A row without doc_id is no source and keeps all its words; rows that repeat a doc_id are not
     earlier than each other. Ids are whole numbers. An empty table gives an empty result.
     """
-    _, copies, touched = passage_spans(docs, length, gram)
+    _, _, copies, gone = passage_runs(docs, length, gram)
     rows = docs.select("doc_id", F.xxhash64(text_of()).alias("tid"), text_of().alias("text"), F.col("doc_id").cast("bigint").alias("doc"))
-    rows = rows.join(maybe_broadcast(copies), "tid", "left").join(touched.select("tid", "spans"), "tid", "left")
+    rows = rows.join(maybe_broadcast(copies), "tid", "left").join(gone, "tid", "left")
 
     def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for text, spans, copy, null in zip(b["text"], b["spans"], b["copy"], b["null"]):
+            for text, firsts, numbers, copy, null in zip(b["text"], b["firsts"], b["numbers"], b["copy"], b["null"]):
                 n = len(words_of(text))
-                spans = [] if null else [0, n] if copy and n >= length else [] if copy or spans is None else list(spans)
+                spans = [] if null else [0, n] if copy and n >= length else [] if copy or firsts is None else _spans(firsts.tolist(), numbers.tolist(), length)
                 out.append((kept_words(text, spans).decode("utf-8", "surrogatepass"), spans))
             yield b[["doc_id"]].assign(text=[x[0] for x in out], spans=[x[1] for x in out])
 
-    rows = rows.select("doc_id", "text", "spans", F.coalesce(F.col("doc") > F.col("first_doc"), F.lit(False)).alias("copy"), F.col("doc").isNull().alias("null"))
+    rows = rows.select("doc_id", "text", "firsts", "numbers", F.coalesce(F.col("doc") > F.col("first_doc"), F.lit(False)).alias("copy"), F.col("doc").isNull().alias("null"))
     return rows.mapInPandas(strip, f"doc_id {dict(docs.dtypes)['doc_id']}, text string, spans array<int>")
 
 
 def op12_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Per document: words, words removed, and the hash of the words that stay. Nulls, repeats and empty tables as in
     remove_passages."""
-    info, copies, touched = passage_spans(docs, length)
+    source, info, copies, gone = passage_runs(docs, length)
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            spans = [list(s) for s in b["spans"]]
-            yield b[["tid"]].assign(removed=[sum(s[1::2]) - sum(s[::2]) for s in spans], kept=[hashlib.sha256(kept_words(t, s)).hexdigest() for t, s in zip(b["text"], spans)])
+            spans = [_spans(f.tolist(), n.tolist(), length) for f, n in zip(b["firsts"], b["numbers"])]
+            made = b[["tid"]].assign(removed=[sum(s[1::2]) - sum(s[::2]) for s in spans], kept=[hashlib.sha256(kept_words(t, s)).hexdigest() for t, s in zip(b["text"], spans)])
+            del b
+            yield made
 
-    cut = touched.mapInPandas(digest, "tid bigint, removed bigint, kept string").dropDuplicates(["tid"])
+    touched = source.where("doc is not null").select("tid", "text")
+    touched = touched.join(maybe_broadcast(gone.select(F.col("tid").alias("_tid"))), F.col("tid") == F.col("_tid"), "left_semi").join(gone, "tid")
+    with _batches_of(docs.sparkSession, BATCH_TEXTS):  # one Python step, so a task has one worker
+        cut = materialize(touched.mapInPandas(digest, "tid bigint, removed bigint, kept string").dropDuplicates(["tid"]), "cut-texts")
     whole = F.col("copy") & (F.col("n_words") >= length)
     own = ~F.col("copy") & F.col("doc_id").isNotNull()
     out = _by_row(docs, copies).join(info, "tid").join(cut, "tid", "left")

@@ -12,6 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cropledger.llm import conv_repair, prefix_trie, substring_dedup
+from cropledger.llm.common import release
+from cropledger.session import materialize
 
 WORD, GAP = re.compile(r"[^\x20\x09-\x0D]+"), re.compile(r"[\x20\x09-\x0D]")
 
@@ -64,6 +66,20 @@ def test_passages_against_brute_force(spark, monkeypatch, hot, shard, length):
     assert kept == sorted(((d, h) for d, _, _, h in got), key=str)
 
 
+def test_passages_have_one_python_step_in_a_stage(spark):
+    # Two steps in a row had two Python workers for each task, and the texts went back to the JVM between them.
+    plan = substring_dedup.op12_passages(passages_frame(spark, passage_rows(random.Random(5), 20)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") < 2
+
+
+def test_tables_are_released_without_python_workers(spark, monkeypatch):
+    table = materialize(spark.range(9).select("id", F.array("id").alias("a"), F.lit("x").alias("s")), "released")
+    monkeypatch.setattr(type(spark), "createDataFrame", None)
+    release(table)
+    after = spark.read.parquet(table.inputFiles()[0].rsplit("/", 1)[0])
+    assert after.count() == 0 and after.dtypes == table.dtypes
+
+
 def test_passages_of_no_rows(spark):
     assert substring_dedup.op12_passages(passages_frame(spark, [])).count() == 0
     assert [r["n_removed"] for r in substring_dedup.op12_passages(passages_frame(spark, [(1, "a b"), (2, None)])).collect()] == [0, 0]
