@@ -17,9 +17,10 @@ def components(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     both = materialize(both, "edges")
     labels = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"), "labels")
+    both = both.union(labels.select(F.col("node").alias("a"), F.col("node").alias("b")))  # a node's own label is one of those around it
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        lower = labels.join(near, "node").select("node", "root", F.least("root", "near").alias("low"))
+        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node"))
+        lower = near.agg(F.min("root").alias("low"), F.min(F.when(F.col("a") == F.col("b"), F.col("root"))).alias("root"))
         jump = labels.select(F.col("node").alias("low"), F.col("root").alias("far"))
         step = materialize(lower.join(jump, "low").select("node", F.least("low", "far").alias("root"), (F.least("low", "far") < F.col("root")).alias("changed")), "labels")
         labels = step.select("node", "root")

@@ -60,7 +60,8 @@ def rake(cells: DataFrame, dims: list[str], rounds: int = ROUNDS, flatten: float
     """Cells (dims, tokens) with `weight`: tokens * weight has the target share of each value of each dimension.
 
     targets: for some dimensions a table (value, share) of one's own, in place of the flattened shares; values without a
-    share get weight 0. Sums are combined in the map tasks; every round is written to the shared folder.
+    share get weight 0. Sums are combined in the map tasks. Every step is written to the shared folder: it reads the step before it
+    twice, so the plan of a round of three would read it eight times.
     """
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     aims = [materialize(target_shares(cells, d, flatten, targets), f"aim{d}") for d in dims]
@@ -70,7 +71,7 @@ def rake(cells: DataFrame, dims: list[str], rounds: int = ROUNDS, flatten: float
             have = fitted.groupBy(d).agg(F.sum(F.col("tokens") * F.col("weight")).alias("have"))
             factor = have.where("have > 0").join(aim, d).select(d, (F.col("share") * F.lit(float(total)) / F.col("have")).alias("factor"))
             fitted = fitted.join(factor, d, "left").withColumn("weight", F.col("weight") * F.coalesce("factor", F.lit(0.0))).drop("factor")
-        fitted = materialize(fitted, "raked")
+            fitted = materialize(fitted, "raked")
     return fitted
 
 

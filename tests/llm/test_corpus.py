@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cropledger.llm import ann, decontaminate, html_main, line_dedup, mixture, ngram_join, pii, sharding, suffix_dedup, toxicity
+from cropledger.llm import ann, components, decontaminate, html_main, line_dedup, mixture, ngram_join, pii, sharding, suffix_dedup, toxicity
 
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -32,6 +32,35 @@ def prose(rng, n):
     return " ".join(rng.choice("alpha beta gamma delta omega rho sigma tau phi chi psi eta theta iota".split()) + str(rng.randint(0, 30)) for _ in range(n))
 
 
+# the driver's plans
+
+def joins_of_written_tables(monkeypatch, module):
+    """Of every table that the module writes, the joins of its plan."""
+    joins, write = [], module.materialize
+
+    def counted(df, label):
+        joins.append(len(re.findall(r"(?m)^[ :+-]*Join ", df._jdf.queryExecution().optimizedPlan().toString())))
+        return write(df, label)
+
+    monkeypatch.setattr(module, "materialize", counted)
+    return joins
+
+
+def test_a_round_of_components_joins_twice(spark, monkeypatch):
+    joins = joins_of_written_tables(monkeypatch, components)
+    edges = spark.createDataFrame([(1, 2), (3, 2), (3, 4), (4, 5), (9, 8), (8, 9), (7, 7), (-3, 20), (20, 5)], "a bigint, b bigint")
+    assert {tuple(r) for r in components.components(edges).collect()} == {(1, -3), (2, -3), (3, -3), (4, -3), (5, -3), (20, -3), (-3, -3), (8, 8), (9, 8)}
+    assert 0 < max(joins) <= 2
+    assert components.components(edges.limit(0)).count() == 0
+
+
+def test_a_step_of_raking_joins_twice(spark, monkeypatch):
+    joins = joins_of_written_tables(monkeypatch, mixture)
+    cells = spark.createDataFrame([("x", "u", "k", 10), ("x", "v", "l", 30), ("y", "u", "l", 5), ("y", None, "k", 0)], "a string, b string, c string, tokens bigint")
+    assert mixture.rake(cells, ["a", "b", "c"], rounds=1).count() == 4
+    assert 0 < max(joins) <= 2
+
+
 # 1 toxicity
 
 def test_toxicity_learns_pairs_and_ignores_order(spark):
