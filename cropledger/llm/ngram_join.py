@@ -13,6 +13,7 @@ of the leaf pairs that remain. Pairs that are already known to be connected need
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,6 +32,8 @@ BLOCK_ROWS = 400
 CHUNK_ROWS = 200
 HUBS = 24
 ROUNDS = 1
+#: Passes in which near copies of low similarity are posted: their sets have many parts, and the postings of one pass lie on disk at once.
+SLICES = 3
 #: Classes that one task compares at a time, in blocks put together.
 TASK_ROWS = 600
 
@@ -215,16 +218,16 @@ def _meetings(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFra
         yield flush()
 
 
-def _candidates(source: DataFrame, n: int, p: int, q: int) -> DataFrame:
+def _candidates(source: DataFrame, n: int, p: int, q: int, slices: int = 1) -> DataFrame:
     """(cls, hub, wide): edges that connect all classes which may be similar. Pairs that may be similar are edges themselves, but for
-    pairs of two classes that both have wide edges.
+    pairs of two classes that both have wide edges. A key is posted in one of ``slices`` passes, all its classes in the same one.
 
     Of x's parts, similar classes share `spare` at least; of those that are not wide, `spare` less the number of x's wide parts.
     Where that is one or more, the pair meets in parts that are paired, and pairs with fewer meetings go. Where it is none,
     for both, x and y share a wide part, and their edges to its first class connect them.
     """
 
-    def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def post(batches: Iterator[pd.DataFrame], number: int) -> Iterator[pd.DataFrame]:
         levels, done = Levels(p, q), set()
         for b in batches:
             made = []
@@ -234,27 +237,30 @@ def _candidates(source: DataFrame, n: int, p: int, q: int) -> DataFrame:
                 if cls is None or cls in done:
                     continue  # equal sets are posted once by a task
                 done.add(cls)
-                made += [(cls, level, spare, keys) for level, spare, keys in levels.keys(g)]
+                made += [(cls, level, spare, keys[keys % np.uint64(slices) == number] if slices > 1 else keys) for level, spare, keys in levels.keys(g)]
             for i in range(0, len(made), 256):
                 some = made[i:i + 256]
                 size = [len(m[3]) for m in some]
                 yield pd.DataFrame({"key": np.concatenate([m[3] for m in some]).view(np.int64), "cls": np.repeat([m[0] for m in some], size),
                                     "own": np.repeat([m[1] << 32 | m[2] for m in some], size)})
 
-    posted = source.select("text").mapInPandas(post, "key bigint, cls bigint, own bigint")
-    most = WIDE_PART
-    met = posted.repartition("key").sortWithinPartitions("key", "cls").mapInPandas(lambda batches: _meetings(batches, most), "x bigint, y bigint, level int, spare int, wide boolean")
-    met = materialize(met, "meetings")
+    most, passes = WIDE_PART, []
+    for number in range(slices):
+        posted = source.select("text").mapInPandas(lambda batches, number=number: post(batches, number), "key bigint, cls bigint, own bigint")
+        met = posted.repartition("key").sortWithinPartitions("key", "cls").mapInPandas(lambda batches: _meetings(batches, most), "x bigint, y bigint, level int, spare int, wide boolean")
+        passes.append(materialize(met, "meetings"))
+    met = reduce(DataFrame.union, passes)
     wide = materialize(met.where("wide").groupBy("x", "level").agg(F.count("*").alias("n_wide")), "wide-parts")
     pairs = met.where("not wide").groupBy("x", "y", "level").agg(F.count("*").alias("n"), F.min("spare").alias("spare")).join(wide, ["x", "level"], "left")
     pairs = pairs.where(F.col("n") >= F.greatest(F.lit(1), F.col("spare") - F.coalesce("n_wide", F.lit(0)))).select(F.col("y").alias("cls"), F.col("x").alias("hub"), F.lit(False).alias("wide"))
     hubs = met.where("wide and x <> y").join(wide, ["x", "level"]).where("spare <= n_wide").select(F.col("x").alias("cls"), F.col("y").alias("hub"), F.lit(True).alias("wide"))
     edges = materialize(pairs.union(hubs).distinct(), "candidates")
-    release(met)
+    for met in passes:
+        release(met)
     return edges
 
 
-def similarity_classes(docs: DataFrame, n: int, p: int, q: int) -> DataFrame:
+def similarity_classes(docs: DataFrame, n: int, p: int, q: int, slices: int = 1) -> DataFrame:
     """doc_id, th (hash of the text), n_grams, cls and root of every row: equal sets have one cls, linked ones one root.
 
     Rows without words have cls and root null. Null doc_ids and repeated rows are rows like others.
@@ -268,16 +274,18 @@ def similarity_classes(docs: DataFrame, n: int, p: int, q: int) -> DataFrame:
 
     kind = dict(docs.dtypes)["doc_id"]
     rows = materialize(source.mapInPandas(read, f"doc_id {kind}, th bigint, n_grams bigint, cls bigint"), "gram-sets")
-    edges = _candidates(source, n, p, q)
+    edges = _candidates(source, n, p, q, slices)
     blocks = components(edges.select(F.col("cls").alias("a"), F.col("hub").alias("b")))
-    links = materialize(_block_links(source, rows, edges, blocks, n, p, q), "links")
-    release(edges)
+    links, used = _block_links(source, rows, edges, blocks, n, p, q)
+    links = materialize(links, "links")
+    for done in (edges, *used):
+        release(done)
     found = components(links).select(F.col("node").alias("cls"), "root")
     return rows.select("doc_id", "th", "n_grams", "cls").join(found, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
 
 
-def _block_links(source: DataFrame, rows: DataFrame, edges: DataFrame, blocks: DataFrame, n: int, p: int, q: int) -> DataFrame:
-    """(a, b): links between classes that connect all similar classes of every block."""
+def _block_links(source: DataFrame, rows: DataFrame, edges: DataFrame, blocks: DataFrame, n: int, p: int, q: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(a, b): links between classes that connect all similar classes of every block. With them the tables of sets that they read."""
     one = rows.join(blocks.select(F.col("node").alias("cls"), F.col("root").alias("block")), "cls")
     one = materialize(one.groupBy("cls", "block").agg(F.min(F.struct("doc_id", "th")).alias("m")).select("cls", "block", "m.*"), "members")
     kept = maybe_broadcast(one.select("cls", "block", F.col("doc_id").alias("_id"), F.col("th").alias("_th")))
@@ -305,12 +313,13 @@ def _block_links(source: DataFrame, rows: DataFrame, edges: DataFrame, blocks: D
 
     links = small.groupBy("task").applyInPandas(compare, "a bigint, b bigint")
     if not some_large:
-        return links
-    return links.union(_large_block_links(members, edges, large, compare, p, q))
+        return links, [members]
+    more, used = _large_block_links(members, edges, large, compare, p, q)
+    return links.union(more), [members, *used]
 
 
-def _large_block_links(members: DataFrame, edges: DataFrame, large: DataFrame, compare, p: int, q: int) -> DataFrame:
-    """Links in blocks too large for one tree.
+def _large_block_links(members: DataFrame, edges: DataFrame, large: DataFrame, compare, p: int, q: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Links in blocks too large for one tree, and the tables of sets that they read.
 
     Each class is first compared with some hubs of its block. What is connected then is a group, and a group is never compared
     with itself. Of the candidate pairs only those between two groups are compared; then, among classes with wide parts alone,
@@ -349,7 +358,8 @@ def _large_block_links(members: DataFrame, edges: DataFrame, large: DataFrame, c
     ends = pairs.select(F.explode(F.array_distinct(F.array("c1", "c2"))).alias("chunk"), F.xxhash64("c1", "c2").alias("task"))
     met = placed.join(ends, "chunk").select("task", F.col("task").alias("block"), "cls", "grp", "grams")
     out = met.groupBy("task").applyInPandas(compare, "a bigint, b bigint")
-    return out.union(sure.select("a", "b"))
+    release(rows)
+    return out.union(sure.select("a", "b")), [own, placed]
 
 
 def _hub_links(own: DataFrame, groups: DataFrame | None, number: int, p: int, q: int) -> DataFrame:
@@ -403,10 +413,10 @@ def op2_jaccard(docs: DataFrame, n: int = 3, p: int = 90, q: int = 100) -> DataF
     return out.select("doc_id", F.col("n_grams").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, n: int = 5, p: int = 8, q: int = 10) -> DataFrame:
+def keep_one(docs: DataFrame, n: int = 5, p: int = 8, q: int = 10, slices: int = SLICES) -> DataFrame:
     """One document of each group of linked ones, that of the smallest doc_id (then text hash), with its columns as they
     are. Of rows repeated with id and text one stays. Documents without words all stay."""
-    rows = materialize(similarity_classes(docs, n, p, q).where(F.col("root").isNotNull()), "classes")
+    rows = materialize(similarity_classes(docs, n, p, q, slices).where(F.col("root").isNotNull()), "classes")
     first = materialize(rows.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("first")), "first")
     gone = rows.join(first, "root").where(~F.struct("doc_id", "th").eqNullSafe(F.col("first")))
     gone = materialize(gone.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct(), "gone")

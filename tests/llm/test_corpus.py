@@ -175,6 +175,26 @@ def test_similar_sets_always_share_a_key():
                 assert any(shared[level] >= max(1, mine[level][0], other[level][0]) for level in shared)
 
 
+def test_near_copies_post_a_part_of_their_keys_at_a_time(spark, monkeypatch):
+    """Passes of fewer postings find the same edges, and what a write shuffled does not stay for the next one."""
+    rng = random.Random(11)
+    base = [prose(rng, 60) for _ in range(12)]
+    docs = docs_of(spark, [b + " tail" * k for b in base for k in range(3)])
+    made, write = [], ngram_join.materialize
+    monkeypatch.setattr(ngram_join, "materialize", lambda df, label: made.append((label, write(df, label))) or made[-1][1])
+    monkeypatch.setattr(ngram_join, "release", lambda df: None)
+    edges = lambda slices: {tuple(r) for r in ngram_join._candidates(docs, 3, 8, 10, slices).collect()}
+    whole = edges(1)
+    (all_met,) = [t.count() for label, t in made if label == "meetings"]
+    assert whole and edges(3) == whole
+    parts = [t.count() for label, t in made if label == "meetings"][1:]
+    assert len(parts) == 3 and sum(parts) == all_met and max(parts) < 0.6 * all_met
+    kept = {}
+    for slices in (1, 3):
+        kept[slices] = {r["doc_id"] for r in ngram_join.keep_one(docs, 3, 8, 10, slices).collect()}
+    assert kept[1] == kept[3] and len(kept[1]) < 36
+
+
 def test_keep_one_keeps_columns_first_rows_and_wordless_rows(spark):
     long = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
     docs = docs_of(spark, [long + " 1", long + " 2", long + " 1", "", None, "other words", "other words"], [5, 3, 4, 9, 8, 7, 7])

@@ -119,3 +119,25 @@ def test_medians_of_all_features_do_not_reach_the_driver_as_sketches(panel, monk
     out = engineer_all_features(rows)
     assert out.filter("min_price IS NULL").count() == 0 and seen
     assert not [c for c in seen if "percentile" in c]
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    """They go as the write ends; the session's own setting stays."""
+    import time
+
+    from cropledger.session import materialize
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        found = manager.getAllFiles()
+        return {n for n in (found.apply(i).getName() for i in range(found.size())) if n.startswith("shuffle_")}
+
+    own, before = spark.conf.get(key), files()
+    frame = spark.range(50_000).repartition(4, "id").groupBy((F.col("id") % 100).alias("k")).agg(F.max("id").alias("m"))
+    assert materialize(frame, "shuffled").count() == 100 and spark.conf.get(key) == own
+    until = time.time() + 15
+    while (left := {n for n in files() - before if n.endswith(".data")}) and time.time() < until:
+        time.sleep(0.2)
+    assert len(left) <= 1  # that of the count
