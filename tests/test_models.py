@@ -38,3 +38,18 @@ def test_early_stop_permutation_and_linear_on_a_small_frame(spark):
     assert [r.feature for r in md.permutation_importance(md.train_boosted_trees(frame, 5), frame).collect()][0] == "a"
     assert {r.split for r in md.train_perceptron(frame, steps=5).collect()} == {"train", "val", "test"}
     assert {r.split for r in md.train_scaled_linear(frame).collect()} == {"train", "val", "test"}
+
+
+def test_the_training_frame_stays_alone_on_disk(spark, monkeypatch):
+    """The rows that it is made from go, and windows are fed rows without columns that follow from the row alone."""
+    from cropledger.operators import panel_features as pf
+
+    written, fed, write, window = [], [], md.materialize, pf.sf.lags_and_rolling
+    monkeypatch.setattr(md, "materialize", lambda df, label: written.append((label, write(df, label))) or written[-1][1])
+    monkeypatch.setattr(pf.sf, "lags_and_rolling", lambda df, **more: fed.extend(df.columns) or window(df, **more))
+    frame = md.training_frame(obs(spark, "/root/testdata/sf0.001").limit(300))
+    left = {label: spark.read.parquet(df.inputFiles()[0].rsplit("/", 1)[0]).count() for label, df in written}
+    assert left == {"model-inputs": 0, "training": 300} and len(md.inputs_of(frame)) == 86
+    assert not {"year", "month", "month_sin", "is_weekend", "price_range", "price_volatility"} & set(fed)
+    inputs = md.inputs_of(frame)
+    assert inputs.index("price_volatility") < inputs.index("price_lag_1") < inputs.index("price_yoy_change")
